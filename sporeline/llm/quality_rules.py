@@ -47,7 +47,7 @@ RULES = (
     Rule("longest_text", "n_words", "one", None, 100 * 10_000_000),
     Rule("symbols", "n_symbols", "n_words", None, 30),
     Rule("stop_words", "n_stop_words", "n_words", 1, None, at_least=60),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 30),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 50),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", None, 30),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", None, 90),
 )
