@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sporeline.llm import quality_rules
+from sporeline.llm import bpe_codec, quality_rules, token_counts, token_store
 
-_MODULES = (quality_rules,)
+_MODULES = (quality_rules, bpe_codec, token_counts, token_store)
 
 
 def queries() -> dict:
