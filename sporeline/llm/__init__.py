@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sporeline.llm import bpe_codec, quality_rules, token_counts, token_store
+from sporeline.llm import bpe_codec, quality_rules, simhash_dedup, token_counts, token_store
 
-_MODULES = (quality_rules, bpe_codec, token_counts, token_store)
+_MODULES = (quality_rules, bpe_codec, token_counts, token_store, simhash_dedup)
 
 
 def queries() -> dict:
