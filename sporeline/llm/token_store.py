@@ -207,10 +207,13 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_starts(blocks: DataFrame) -> DataFrame:
-    """start: the ids of all parts and blocks before a block. One row a part is all that is gathered."""
+    """start: the ids of all parts and blocks before a block.
+
+    One row a part is all that is gathered and sent to the tasks; there are as many parts as shuffle partitions.
+    """
     totals = blocks.groupBy("part").agg(F.sum(F.aggregate("n_ids", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return blocks.join(totals.select("part", before.alias("_before")), "part").withColumn("start", F.col("_before") + F.col("first_id"))
+    return blocks.join(F.broadcast(totals.select("part", before.alias("_before"))), "part").withColumn("start", F.col("_before") + F.col("first_id"))
 
 
 DIGEST_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
