@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sporeline.llm import bpe_codec, decontamination, quality_rules, simhash_dedup, token_counts, token_store
+from sporeline.llm import bpe_codec, decontamination, language_id, quality_rules, simhash_dedup, token_counts, token_store
 
-_MODULES = (quality_rules, bpe_codec, token_counts, token_store, simhash_dedup, decontamination)
+_MODULES = (quality_rules, bpe_codec, token_counts, token_store, simhash_dedup, decontamination, language_id)
 
 
 def queries() -> dict:
