@@ -140,6 +140,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SCHEMA)
 
 
+def without_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", limit: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs that no benchmark item stands in, with all their columns. Documents are filtered where they are."""
+    items = benchmark.where(benchmark[item_text].isNotNull()).select(benchmark[item_key].cast("long").alias("item_id"), benchmark[item_text].alias("text"))
+    for block in blocks_of(items, limit):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(shared.value)
+            for b in slices(batches, text):
+                yield b.filter(pa.array([not matcher.match(t) for t in b.column(text).to_pylist()]))
+
+        docs = docs.mapInArrow(work, docs.schema)
+    return docs
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -97,17 +97,21 @@ def measures(text: Column) -> Column:
     return F.struct(let(words, counts).alias("w"), let(lines, of_lines).alias("l"), symbols.alias("n_symbols"))
 
 
-def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
-    """The rules as one boolean expression over the counts."""
+def base_failed(of=F.col) -> Column:
+    return (of("n_words") < MIN_WORDS) | (100 * of("n_repeat_words") > MAX_REPEATED * of("n_words"))
+
+
+def verdict(rules: tuple[Rule, ...] = RULES, of=F.col) -> Column:
+    """The rules as one boolean expression over the counts; of gives a count's column by its name."""
     kept = F.lit(True)
     for r in rules:
-        per = F.lit(1) if r.per == "one" else F.col(r.per)
+        per = F.lit(1) if r.per == "one" else of(r.per)
         holds = F.lit(True)
         if r.low is not None:
-            holds &= 100 * F.col(r.count) >= r.low * per
+            holds &= 100 * of(r.count) >= r.low * per
         if r.high is not None:
-            holds &= 100 * F.col(r.count) <= r.high * per
-        kept &= holds | (F.col("n_words") < r.at_least)
+            holds &= 100 * of(r.count) <= r.high * per
+        kept &= holds | (of("n_words") < r.at_least)
     return kept
 
 
@@ -115,8 +119,18 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "t
     """keep's columns with the counts, base_failed and kept, for each row of docs."""
     taken = docs.select(*(F.col(c) for c in keep), measures(F.col(text)).alias("_m"))
     counts = taken.select(*keep, "_m.w.*", "_m.l.*", "_m.n_symbols")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return counts.withColumns({"base_failed": failed, "kept": ~failed & verdict(rules)})
+    return counts.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & verdict(rules)})
+
+
+def kept_rows(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns. The counts are made once for each row."""
+    w, lines = ("n_words", "word_chars", "n_stop_words", "n_repeat_words"), ("n_lines", "n_dup_lines", "n_ellipsis_lines", "n_bullet_lines")
+
+    def judged(m: Column) -> Column:
+        of = lambda name: m["w"][name] if name in w else m["l"][name] if name in lines else m[name]
+        return ~base_failed(of) & verdict(rules, of)
+
+    return docs.where(let(measures(F.col(text)), judged))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

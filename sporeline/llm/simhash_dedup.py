@@ -160,6 +160,16 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, text: str = "text
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs with one document of each group of near-duplicates: the one of the smallest doc_id.
+
+    A doc_id on several rows stays if any of them is the first of its group; rows without a doc_id all stay.
+    """
+    groups = near_duplicates(docs, max_bits, text, key).where("doc_id IS NOT NULL")
+    gone = groups.groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("_first")).where("NOT _first")
+    return docs.join(gone, docs[key].cast("long") == F.col("_gone"), "left_anti")
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
