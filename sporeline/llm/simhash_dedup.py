@@ -92,10 +92,10 @@ def _forest(fps: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.nda
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             at = queue.pop()
-            near = _linked(np.full(len(rest), at), rest, max_bits)
+            near = _linked(np.full(len(rest), at, np.uint64), rest, max_bits)
             found = rest[near]
             if len(found):
-                yield np.full(len(found), at), found
+                yield np.full(len(found), at, np.uint64), found
                 queue.extend(found.tolist())
                 rest = rest[~near]
 
