@@ -1 +1 @@
-
+"""Column functions: counter-based random numbers and hazards."""

@@ -1 +1 @@
-
+"""DataFrame operators: graph analytics, influence, rates, sampling and series."""
