@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import regex
@@ -19,7 +20,7 @@ ODD = re.compile(r" (?:\s|\Z)")
 #: Characters of a text that are cut into chunks at once.
 SPAN = 1 << 19
 #: Characters, counting some for each entry, that a worker's cache of chunks holds.
-CACHED = 40_000_000
+CACHED = 72_000_000
 
 
 def byte_letters() -> list[str]:
@@ -65,8 +66,6 @@ class Vocabulary:
         for token in ids:
             held = np.frombuffer(bytes(to_byte[c] for c in token), np.uint8).astype(np.int64)
             self.inside[held[:-1] << 8 | held[1:]] = True
-
-
         ranked = sorted((a << 32 | b, rank, new) for (a, b), (rank, new) in self.merges.items())
         self.pair_keys, self.pair_ranks, self.pair_ids = (np.array(x, np.int64) for x in zip(*ranked, strict=True)) if ranked else (np.zeros(0, np.int64),) * 3
         byte_pair = self.byte_ids[:, None] << 32 | self.byte_ids[None, :]
@@ -163,30 +162,55 @@ def parts(text: str | None, vocab: Vocabulary) -> Iterator[tuple[int | None, lis
                 yield None, chunks(span)
 
 
+class _Numbers(dict):
+    """The number of each chunk; a chunk that is new gets the next one, and waits in new (as a whole chunk)."""
+
+    def __init__(self, new: list[str], made: list, lead: str):
+        self.new, self.made, self.lead = new, made, lead
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self.made) + len(self.new)
+        self.new.append(self.lead + chunk)
+        return n
+
+
 class ChunkCache:
-    """Values of chunks, made in batches by value_of(list of whole chunks) for those not met before.
+    """Values of chunks, made in batches by values_of(list of whole chunks) for those not met before.
 
-    Chunks that start a span stand apart, for they lack the leading space that others have.
+    A chunk is looked up once for each time it stands in a text. Chunks that start a span stand apart, for they lack the
+    leading space that others have.
     """
 
     def __init__(self, values_of):
-        self.values_of, self.first, self.rest, self.held = values_of, {}, {}, 0
+        self.values_of = values_of
+        self._clear()
+
+    def _clear(self) -> None:
+        self.new, self.made, self.held = [], [], 0
+        self.first, self.rest = _Numbers(self.new, self.made, ""), _Numbers(self.new, self.made, " ")
 
-    def prepare(self, lists: list[list[str]]) -> None:
+    def numbers(self, lists: list[list[str]]) -> list[list[int]]:
+        """The numbers of each list's chunks, all of whose values are made."""
         if self.held > CACHED:
-            self.first.clear()
-            self.rest.clear()
-            self.held = 0
-        heads = {x[0] for x in lists}.difference(self.first)
-        tails = set().union(*(x[1:] for x in lists)).difference(self.rest) if lists else set()
-        new = [*heads, *(" " + x for x in tails)]
-        if new:
-            values = iter(self.values_of(new))
-            self.held += sum(map(len, new)) + 40 * len(new)
-            self.first.update((x, next(values)) for x in heads)
-            self.rest.update((x, next(values)) for x in tails)
-
-    def values(self, chunk_list: list[str]) -> list:
-        out = [self.first[chunk_list[0]]]
-        out.extend(map(self.rest.__getitem__, chunk_list[1:]))
+            self._clear()
+        first, rest = self.first, self.rest
+        out = []
+        for x in lists:
+            numbers = list(map(rest.__getitem__, islice(x, 1, None)))
+            numbers.insert(0, first[x[0]])
+            out.append(numbers)
+        if self.new:
+            self.held += sum(map(len, self.new)) + 40 * len(self.new)
+            self.made.extend(self.values_of(self.new))
+            self.new.clear()
         return out
+
+    def values(self, numbers: list[int]) -> Iterator:
+        return map(self.made.__getitem__, numbers)
+
+
+def chunk_numbers(texts: list[str | None], vocab: Vocabulary, cache: ChunkCache) -> list[list[tuple[int | None, list[int]]]]:
+    """For each text its parts: the id of a special string, or None and the numbers of a span's chunks."""
+    cut = [list(parts(t, vocab)) for t in texts]
+    numbers = iter(cache.numbers([c for x in cut for special, c in x if special is None]))
+    return [[(special, [] if special is not None else next(numbers)) for special, _ in x] for x in cut]

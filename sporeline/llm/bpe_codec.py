@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from sporeline.llm._bytebpe import PRE_TOKENS, ChunkCache, Vocabulary, merge_ranked, parts, vocabulary
+from sporeline.llm._bytebpe import PRE_TOKENS, ChunkCache, Vocabulary, chunk_numbers, merge_ranked, vocabulary
 from sporeline.llm._shared import slices, table
 
 
@@ -58,9 +58,7 @@ class Codec:
 
     def coded(self, texts: list[str | None]) -> Iterator[Iterator[list[int]]]:
         """For each text its ids, in runs of bounded length."""
-        cut = [list(parts(t, self.vocab)) for t in texts]
-        self.cache.prepare([c for x in cut for special, c in x if special is None])
-        for x in cut:
+        for x in chunk_numbers(texts, self.vocab, self.cache):
             yield ([s] if s is not None else np.frombuffer(b"".join(self.cache.values(c)), "<u4").tolist() for s, c in x)
 
     def encode(self, text: str | None) -> list[int]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sporeline.llm._bytebpe import PRE_TOKENS, ChunkCache, merge_ranked, parts, vocabulary
+from sporeline.llm._bytebpe import PRE_TOKENS, ChunkCache, chunk_numbers, merge_ranked, vocabulary
 from sporeline.llm._shared import slices, table
 
 #: Tokens that fit a training window.
@@ -37,9 +37,7 @@ class Counter:
         return [sum(counts[order[p]] for p in x) for x in cut]
 
     def counts(self, texts: list[str | None]) -> list[int]:
-        cut = [list(parts(t, self.vocab)) for t in texts]
-        self.cache.prepare([c for x in cut for special, c in x if special is None])
-        return [sum(1 if s is not None else sum(self.cache.values(c)) for s, c in x) for x in cut]
+        return [sum(1 if s is not None else sum(self.cache.values(c)) for s, c in x) for x in chunk_numbers(texts, self.vocab, self.cache)]
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "text", key: str = "doc_id") -> DataFrame:

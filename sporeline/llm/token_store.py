@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sporeline.llm._bytebpe import ChunkCache, parts, vocabulary
+from sporeline.llm._bytebpe import ChunkCache, chunk_numbers, vocabulary
 from sporeline.llm._shared import new_path, slices, table
 
 # Ids in a word and bits of each, by selector.
@@ -35,6 +35,8 @@ WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = 15
 #: Ids from which a block is full, and bytes from which a task hands on blocks.
 BLOCK_IDS = 1 << 17
+#: Chunks that the library encodes in one text.
+RUN = 256
 
 
 def _steps(fits_below: np.ndarray) -> np.ndarray:
@@ -132,16 +134,32 @@ class LibraryEncoder:
             self.vocab = vocabulary(path)
         except ValueError:
             self.vocab = None
-        self.cache = ChunkCache(lambda new: [np.array(e.ids, "<u4").tobytes() for e in self._library(new)])
+        if self.vocab is not None:
+            self.spaced = np.array([x[:1] == b" " for x in self.vocab.bytes_of])
+        self.cache = ChunkCache(self._chunks)
 
     def _library(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
+    def _chunks(self, new: list[str]) -> list[bytes]:
+        """The ids of chunks, as 32-bit words.
+
+        Chunks with no space but the one they begin with are encoded RUN at a time, end to end: the library cuts before
+        each, and only its first token begins with a space. The others are encoded one by one.
+        """
+        plain = [x for x in new if x[:1] == " " and " " not in x[1:]]
+        runs = self._library(["".join(plain[k : k + RUN]) for k in range(0, len(plain), RUN)])
+        ids = np.concatenate([np.zeros(0, "<u4"), *(np.array(e.ids, "<u4") for e in runs)])
+        whole, edges = ids.tobytes(), [4 * k for k in (*np.flatnonzero(self.spaced[ids]).tolist(), len(ids))]
+        codes = dict(zip(plain, (whole[a:b] for a, b in zip(edges, edges[1:], strict=False)), strict=True))
+        others = [x for x in new if x not in codes]
+        codes.update(zip(others, (np.array(e.ids, "<u4").tobytes() for e in self._library(others)), strict=True))
+        return list(map(codes.__getitem__, new))
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if self.vocab is None:
             return [np.array(e.ids, "<u4") for e in self._library([t or "" for t in texts])]
-        cut = [list(parts(t, self.vocab)) for t in texts]
-        self.cache.prepare([c for x in cut for special, c in x if special is None])
+        cut = chunk_numbers(texts, self.vocab, self.cache)
         whole = (b"".join(y for s, c in x for y in ([np.array([s], "<u4").tobytes()] if s is not None else self.cache.values(c))) for x in cut)
         return [np.frombuffer(x, "<u4") for x in whole]
 
