@@ -6,6 +6,9 @@ corpus each; so a list is kept for each of 20 triples of positions and the three
 Turan system: any 4 positions contain one of them, so every pair that reaches the minimum meets in some list. In a
 list, the equal bytes of a pair are tallied, pairs with 4 or more are kept, and their differing bits are counted.
 
+A list of more than LONG fingerprints is split by a fourth byte: each of its pairs shares one of the other five bytes,
+so five lists for each triple, of the byte found there, still hold every pair.
+
 Equal fingerprints are one class, so copies are never paired. Of a list only a forest of its links is handed on: short
 lists are compared in whole-array steps, and in long ones a link's end is set aside once reached, so that a large
 group of near copies costs about its size and not its square. Components are found by rounds of Spark joins.
@@ -32,8 +35,8 @@ from sporeline.llm._shared import materialize, slices, table
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: Texts' shingles that are hashed at once.
 RUN = 1 << 16
-#: Fingerprints of a list that is compared in whole-array steps.
-SHORT = 16
+#: Fingerprints of a list that is compared in whole-array steps, of a list beyond which it is split, and postings that are compared at once.
+SHORT, LONG, ROWS = 16, 1 << 14, 1 << 18
 
 
 def triples() -> list[tuple[int, int, int]]:
@@ -48,6 +51,8 @@ def triples() -> list[tuple[int, int, int]]:
 
 
 TRIPLES = triples()
+#: The positions outside each triple.
+OTHERS = np.array([[p for p in range(8) if p not in t] for t in TRIPLES])
 
 
 def fingerprint(text: str | None) -> int:
@@ -126,27 +131,43 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             fp = b.column("fp").to_numpy(zero_copy_only=False)
             held = np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8).astype(np.int64)
             keys = [i << 24 | held[:, p] << 16 | held[:, q] << 8 | held[:, r] for i, (p, q, r) in enumerate(TRIPLES)]
-            yield pa.record_batch([pa.array(np.concatenate(keys).astype(np.int32)), pa.array(np.tile(fp, len(TRIPLES)))], names=["key", "fp"])
+            yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.tile(fp, len(TRIPLES)))], names=["key", "fp"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, fp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp"))
+            hot = b.column("hot").to_numpy(zero_copy_only=False).astype(bool)
+            k, f = key[hot], np.ascontiguousarray(fp[hot])
+            bytes_ = np.take_along_axis(f.view(np.uint8).reshape(-1, 8).astype(np.int64), OTHERS[k >> 24], axis=1)
+            deeper = 1 << 40 | k[:, None] << 11 | np.arange(OTHERS.shape[1]) << 8 | bytes_
+            yield pa.record_batch([pa.array(np.r_[key[~hot], deeper.ravel()]), pa.array(np.r_[fp[~hot], np.repeat(f, OTHERS.shape[1])])], names=["key", "fp"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
             for a, b in list_links(keys, fps.astype(np.int64).view(np.uint64), max_bits):
                 yield pa.record_batch([pa.array(a.astype(np.uint64).view(np.int64)), pa.array(b.astype(np.uint64).view(np.int64))], names=["a", "b"])
 
-        keys, fps = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        keys, fps, size = [], [], 0
         for b in batches:
+            if not b.num_rows:
+                continue
             keys.append(b.column("key").to_numpy(zero_copy_only=False))
             fps.append(b.column("fp").to_numpy(zero_copy_only=False))
-            if sum(map(len, keys)) >= 1 << 18 and keys[0][:1] != keys[-1][-1:]:
+            size += b.num_rows
+            if size >= ROWS and keys[0][0] != keys[-1][-1]:
                 k, f = np.concatenate(keys), np.concatenate(fps)
                 last = int(np.searchsorted(k, k[-1]))  # the last list may go on
                 yield from out(k[:last], f[:last])
-                keys, fps = [k[last:]], [f[last:]]
-        yield from out(np.concatenate(keys), np.concatenate(fps))
+                keys, fps, size = [k[last:]], [f[last:]], len(k) - last
+        if size:
+            yield from out(np.concatenate(keys), np.concatenate(fps))
 
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    posted = fps.select("fp").mapInArrow(post, "key int, fp long").repartition(n, "key").sortWithinPartitions("key")
-    return posted.mapInArrow(meet, "a long, b long").distinct()
+    posted = fps.select("fp").mapInArrow(post, "key long, fp long")
+    hot = posted.groupBy("key").count().where(F.col("count") > LONG).select("key", F.lit(True).alias("hot"))
+    flagged = posted.join(F.broadcast(hot), "key", "left").select("key", "fp", F.coalesce("hot", F.lit(False)).alias("hot"))
+    lists = flagged.mapInArrow(split, "key long, fp long").repartition(n, "key").sortWithinPartitions("key")
+    return lists.mapInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -92,6 +92,43 @@ def test_a_list_of_near_copies_links_as_all_pairs():
     assert len({find(i) for i in range(len(ids))}) == len(set(want)) and len({(find(i), w) for i, w in enumerate(want)}) == len(set(want))
 
 
+def test_many_postings_in_a_partition_and_split_lists_link_as_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    near = rng.integers(0, 1 << 63, 6_000, np.int64)
+    family = rng.integers(0, 1 << 40, 4_000, np.int64) << 24 | 0x123456  # one triple of bytes is common
+    flips = np.array([(1 << rng.choice(63, rng.integers(1, 5), replace=False).astype(np.int64)).sum() for _ in range(2_000)])
+    fps = np.unique(np.r_[near, near[:2_000] ^ flips, family, family[:1_000] ^ (1 << 30 | 1 << 50 | 1 << 55), rng.integers(0, 1 << 63, 3_000, np.int64)])
+    u = fps.view(np.uint64)
+    want = {(int(x), int(y)) for i, x in enumerate(u) for y in u[i + 1 :][np.bitwise_count(u[i + 1 :] ^ x) <= 4]}
+    frame = spark.createDataFrame([(int(x),) for x in fps], "fp long")
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert len(fps) * len(simhash_dedup.TRIPLES) > 1 << 18
+        for smaller in ({}, {"LONG": 1_000, "ROWS": 1 << 12}):
+            for name, value in smaller.items():
+                monkeypatch.setattr(simhash_dedup, name, value)
+            got = {tuple(sorted((r.a % (1 << 64), r.b % (1 << 64)))) for r in simhash_dedup.links(frame).collect()}
+            assert got <= want
+            assert plain_roots(u.tolist(), got) == plain_roots(u.tolist(), want)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
+def plain_roots(nodes, edges):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            root[n] = n = root[root[n]]
+        return n
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {n: find(n) for n in nodes}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(300).selectExpr("id AS a", "id + 1 AS b").unionByName(spark.range(5).selectExpr("1000 + id AS a", "1000 + id AS b"))
     got = {r.node: r.root for r in components(edges).collect()}
