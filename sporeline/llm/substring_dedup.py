@@ -4,7 +4,7 @@ Texts are sequences of words (runs of word characters, lower-cased), and a text'
 are one text. The work is five Spark steps:
 
 1. seeds: of every WINDOW neighbouring runs of SEED words the one with the lowest hash is kept, wherever it stands.
-   A task links equal seeds of its own block of texts at once, and hands on one of each.
+   A task links equal seeds of its own block of texts at once, and hands on those of one text of each.
 2. matches: a shuffle by hash brings equal seeds together; each is matched with the one of the lowest key. A seed that a
    third of all texts has makes one row for each block, and one match for each text.
 3. chains: a shuffle by pair of texts; runs of matches on one diagonal are anchors, and a Fenwick tree over the places in
@@ -100,12 +100,11 @@ def seeds_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def link_block(hashes: np.ndarray, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows to keep (the first place of each hash in each text), by hash and key; whether a row is the first of its hash; and the row of that first one."""
+    """Rows by hash, key and place; whether a row is in the first text of its hash; and the first row of its hash."""
     by = np.lexsort((places, keys, hashes))
-    h, k = hashes[by], keys[by]
-    by = by[np.r_[True, (h[1:] != h[:-1]) | (k[1:] != k[:-1])]] if len(by) else by
     first = np.r_[True, hashes[by][1:] != hashes[by][:-1]][: len(by)]
-    return by, first, np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
+    of = np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
+    return by, keys[by] == keys[by][of], of
 
 
 SEED_SCHEMA = "hash long, key long, place int, other long, other_place int"

@@ -146,3 +146,15 @@ def test_remove_words():
     assert S.remove_words("One, two three. Four five!", [(1, 3)]) == "One,\n. Four five!" or S.remove_words("One, two three. Four five!", [(1, 3)]).startswith("One,")
     assert S.remove_words("a b c", [(0, 3)]) == ""
     assert S.remove_words("a b c", [(0, 1), (2, 9)]) == "b"
+
+
+def test_a_passage_that_stands_twice_in_a_text_is_cut_out_twice(spark):
+    rng = random.Random(11)
+    passage = prose(rng, 60)
+    twice = " ".join(w for _ in range(3) for w in prose(rng, 50) + passage)
+    body = prose(rng, 50) + passage + prose(rng, 50)
+    keys = spark.createDataFrame([(-1, twice)] + [(i, " ".join(body) + f" end{i}") for i in range(40)], SCHEMA).selectExpr("doc_id", "text", "xxhash64(text) AS k").orderBy("k").collect()
+    assert keys[0].doc_id >= 0  # the original is in the text of the lowest key
+    docs = spark.createDataFrame([(0, keys[0].text), (1, twice)], SCHEMA)
+    assert len({(r.start_word, r.end_word) for r in S.repeated(docs).collect() if r.doc_id == 1}) == 3
+    assert sum(" ".join(passage[20:40]) in r.text for r in S.without_repeats(docs).collect()) == 1
