@@ -6,7 +6,8 @@ are one text. The work is five Spark steps:
 1. seeds: of every WINDOW neighbouring runs of SEED words the one with the lowest hash is kept, wherever it stands.
    A task links equal seeds of its own block of texts at once, and hands on those of one text of each.
 2. matches: a shuffle by hash brings equal seeds together; each is matched with the one of the lowest key. A seed that a
-   third of all texts has makes one row for each block, and one match for each text.
+   third of all texts has makes one row for each block, and one match for each text. Then runs of MIN_WORDS words whose
+   seeds are all shared are matched alike, as the seeds of one run may have different partners.
 3. chains: a shuffle by pair of texts; runs of matches on one diagonal are anchors, and a Fenwick tree over the places in
    the other text finds each anchor's best predecessor at a cost for the gap.
 4. windows: the other text's words around a chain are cut out, once for all texts that need them.
@@ -15,7 +16,7 @@ are one text. The work is five Spark steps:
 
 A stretch of a text is repeated if chains of LEAST words or more, SIMILAR or more of them equal, cover MIN_WORDS words
 without a gap. Each stretch is reported with its chains' originals, which are in texts of lower keys. Every run of SEED + WINDOW - 1
-equal words shares a seed, so nothing depends on how often a passage stands in the corpus.
+equal words shares a seed, and every run of MIN_WORDS equal words has one partner, however often its parts stand in the corpus.
 
 Null texts and those of fewer than SEED words have no passages. Rows with equal texts are copies: all but those of the
 smallest doc_id are reported as copies of it, and the text's stretches once. Null and repeated doc_ids are reported like
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sporeline.llm._edits import distance
-from sporeline.llm._shared import materialize, slices, table
+from sporeline.llm._shared import discard, materialize, slices, table
 
 WORD = re.compile(r"\w+")
 SEED, WINDOW = 5, 8
@@ -77,8 +78,8 @@ def _sliding(x: np.ndarray, width: int, op, fill) -> np.ndarray:
     return out
 
 
-def seeds_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """hash, text's number and first word of the seeds of texts (arrays of word hashes)."""
+def _runs(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """hash of the SEED words from each place on, text's number and place; and where each text starts."""
     sizes = np.array([len(x) for x in texts], np.int64)
     room = sizes + WINDOW  # empty places, so that no window sees two texts
     starts = np.cumsum(room) - room
@@ -92,13 +93,32 @@ def seeds_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     for j in range(SEED):
         h = (h ^ codes[j : j + n]) * _MIX
         h ^= h >> np.uint64(31)
-    h = np.where(place + SEED <= sizes[owner], h * _STEP & ~np.uint64(1), _NONE)
+    return np.where(place + SEED <= sizes[owner], h * _STEP & ~np.uint64(1), _NONE), owner, place, starts
+
+
+def seeds_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hash, text's number and first word of the seeds of texts (arrays of word hashes)."""
+    h, owner, place, _ = _runs(texts)
     lowest = _sliding(h, WINDOW, np.minimum, _NONE)
     best = _sliding(lowest[::-1], WINDOW, np.maximum, np.uint64(0))[::-1]  # the highest minimum of the windows that a place is in
     at = np.flatnonzero((best == h) & (h != _NONE))
     return h[at], owner[at], place[at]
 
 
+def long_runs_of(texts: list[np.ndarray], shared: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hash, text's number and first word of the runs of MIN_WORDS words of which each seed is shared; shared: places of shared seeds."""
+    h, owner, place, starts = _runs(texts)
+    known = np.unique(h[np.concatenate([at + np.array(x, np.int64) for at, x in zip(starts.tolist(), shared, strict=True)])])
+    seen = np.isin(_sliding(h, WINDOW, np.minimum, _NONE), known).astype(np.uint8)
+    whole = _sliding(seen, MIN_WORDS - SEED - WINDOW + 2, np.minimum, np.uint8(0)) == 1
+    at = np.flatnonzero(whole & (place + MIN_WORDS <= np.array([len(x) for x in texts], np.int64)[owner]))
+    out = np.zeros(len(at), np.uint64)
+    for j in [*range(0, MIN_WORDS - SEED, SEED), MIN_WORDS - SEED]:
+        out = (out ^ h[at + j]) * _MIX
+        out ^= out >> np.uint64(31)
+    return out, owner[at], place[at]
+
+
 def link_block(hashes: np.ndarray, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows by hash, key and place; whether a row is in the first text of its hash; and the first row of its hash."""
     by = np.lexsort((places, keys, hashes))
@@ -109,6 +129,7 @@ def link_block(hashes: np.ndarray, keys: np.ndarray, places: np.ndarray) -> tupl
 
 SEED_SCHEMA = "hash long, key long, place int, other long, other_place int"
 MATCH_SCHEMA = "key long, place int, other long, other_place int"
+NAMES = ["hash", "key", "place", "other", "other_place"]
 
 
 def _rows(schema: list[str], *columns: np.ndarray) -> pa.RecordBatch:
@@ -132,43 +153,69 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, lis
         yield np.array(list(held), np.int64), list(held.values())
 
 
+def _linked(h: np.ndarray, key: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (SEED_SCHEMA) of a block: those of the first text of each hash, and matches of the others, which go along, spread by their key."""
+    by, first, of = link_block(h, key, place)
+    h, key, place = h[by].view(np.int64), key[by], place[by]
+    n = int(first.sum())
+    yield _rows(NAMES, h[first], key[first], place[first], np.zeros(n), np.full(n, -1))
+    rest = ~first
+    yield _rows(NAMES, key[rest], key[rest], place[rest], key[of[rest]], place[of[rest]])
+
+
+def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last = np.zeros(3, np.int64)  # hash, key and place of the first row of the hash that the rows before ended with
+    begun = False
+    for b in batches:
+        h, key, place, other, other_place = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in NAMES)
+        along = other_place >= 0
+        if along.any():
+            yield _rows(NAMES[1:], key[along], place[along], other[along], other_place[along])
+            h, key, place = h[~along], key[~along], place[~along]
+        if len(h):
+            rows = np.stack([h, key, place])
+            rows = np.c_[last, rows] if begun else rows
+            first = np.r_[True, rows[0, 1:] != rows[0, :-1]]
+            of = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+            found = np.flatnonzero(rows[1] != rows[1, of])
+            yield _rows(NAMES[1:], rows[1, found], rows[2, found], rows[1, of[found]], rows[2, of[found]])
+            last, begun = rows[:, of[-1]].copy(), True
+
+
+def _matched(seeds: DataFrame) -> DataFrame:
+    n = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return seeds.repartition(n, "hash").sortWithinPartitions("hash", "key", "place").mapInArrow(_match, MATCH_SCHEMA)
+
+
 def matches(docs: DataFrame) -> DataFrame:
     """key, place, other, other_place: a seed of a text (columns key, text) and an equal one in a text of lower key."""
-    names = ["hash", "key", "place", "other", "other_place"]
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for keys, texts in _blocks(batches):
             h, owner, place = seeds_of([words.of(t) for t in texts])
-            key = keys[owner]
-            by, first, of = link_block(h, key, place)
-            h, key, place = h[by].view(np.int64), key[by], place[by]
-            n = int(first.sum())
-            yield _rows(names, h[first], key[first], place[first], np.zeros(n), np.full(n, -1))
-            rest = ~first  # matches within the block go along, spread by their key
-            yield _rows(names, key[rest], key[rest], place[rest], key[of[rest]], place[of[rest]])
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.zeros(3, np.int64)  # hash, key and place of the first row of the hash that the rows before ended with
-        begun = False
-        for b in batches:
-            h, key, place, other, other_place = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names)
-            along = other_place >= 0
-            if along.any():
-                yield _rows(names[1:], key[along], place[along], other[along], other_place[along])
-                h, key, place = h[~along], key[~along], place[~along]
-            if len(h):
-                rows = np.stack([h, key, place])
-                rows = np.c_[last, rows] if begun else rows
-                first = np.r_[True, rows[0, 1:] != rows[0, :-1]]
-                of = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-                found = np.flatnonzero(rows[1] != rows[1, of])
-                yield _rows(names[1:], rows[1, found], rows[2, found], rows[1, of[found]], rows[2, of[found]])
-                last, begun = rows[:, of[-1]].copy(), True
-
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seeds = docs.select("key", "text").mapInArrow(seed, SEED_SCHEMA)
-    return seeds.repartition(n, "hash").sortWithinPartitions("hash", "key", "place").mapInArrow(match, MATCH_SCHEMA)
+            yield from _linked(h, keys[owner], place)
+
+    return _matched(docs.select("key", "text").mapInArrow(seed, SEED_SCHEMA))
+
+
+def long_matches(texts: DataFrame, matched: DataFrame) -> DataFrame:
+    """As matches(), for runs of MIN_WORDS words; texts are distinct, and matched has the matches of their seeds.
+
+    Seeds of one run may each have another partner. An equal run of MIN_WORDS words has one, whatever its seeds have. All
+    of its seeds are shared, so other runs needn't be compared.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for b in slices(batches, "text"):
+            keys = b.column("key").to_numpy(zero_copy_only=False)
+            h, owner, place = long_runs_of([words.of(t) for t in b.column("text").to_pylist()], b.column("shared").to_pylist())
+            yield from _linked(h, keys[owner], place)
+
+    ends = matched.select("key", "place").unionByName(matched.select(F.col("other").alias("key"), F.col("other_place").alias("place")))
+    shared = ends.distinct().groupBy("key").agg(F.collect_list("place").alias("shared")).where(F.size("shared") > 1)
+    return _matched(texts.join(shared, "key").select("key", "text", "shared").mapInArrow(run, SEED_SCHEMA))
 
 
 def chain_anchors(anchors: np.ndarray) -> list[list[int]]:
@@ -217,13 +264,18 @@ def split_gaps(chain: np.ndarray) -> list[np.ndarray]:
     return np.split(chain, np.flatnonzero(wide) + 1)
 
 
-def chains_of(pairs: np.ndarray, place: np.ndarray, other_place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Number of the pair and the anchors of each chain of LEAST - 2 * MARGIN words or more; pairs are numbered in order."""
+def chains_of(pairs: np.ndarray, place: np.ndarray, other_place: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Number of the pair and the anchors of each chain of LEAST - 2 * MARGIN words or more; pairs are numbered in order, matches have words."""
+    by = np.lexsort((place, place - other_place, pairs))
+    pairs, place, other_place, words = pairs[by], place[by], other_place[by], words[by]
     diagonal = place - other_place
-    new = np.r_[True, (pairs[1:] != pairs[:-1]) | (diagonal[1:] != diagonal[:-1]) | (place[1:] - place[:-1] > SEED + WINDOW)]
+    other = np.r_[True, (pairs[1:] != pairs[:-1]) | (diagonal[1:] != diagonal[:-1])]
+    run = np.cumsum(other) << 33
+    high = np.maximum.accumulate(run + place + words - SEED) - run  # the last seed's place so far on the diagonal
+    new = other | np.r_[True, place[1:] - high[:-1] > SEED + WINDOW]
     first = np.flatnonzero(new)
     final = np.r_[first[1:], len(new)] - 1
-    anchors = np.stack([place[first], place[final], other_place[first], other_place[final]], axis=1)
+    anchors = np.stack([place[first], high[final], other_place[first], high[final] - diagonal[final]], axis=1)
     of = pairs[first]
     edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])
     words = np.add.reduceat(anchors[:, 1] - anchors[:, 0] + SEED, edges[:-1])
@@ -243,10 +295,10 @@ def chains(matched: DataFrame) -> DataFrame:
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: np.ndarray) -> pa.RecordBatch:
-            key, place, other, other_place = rows
+            key, place, other, other_place, words = rows
             pairs = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (other[1:] != other[:-1])])
             at = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
-            found = list(chains_of(pairs, place, other_place))
+            found = list(chains_of(pairs, place, other_place, words))
             of = at[[p for p, _ in found]] if found else np.zeros(0, np.int64)
             # edges are rounded, so that texts that share a passage ask for the same window
             begin = [max(0, int(a[0, 2]) - MARGIN) // MARGIN * MARGIN for _, a in found]
@@ -256,7 +308,7 @@ def chains(matched: DataFrame) -> DataFrame:
         held: list[np.ndarray] = []
         size = 0
         for b in batches:
-            rows = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "place", "other", "other_place")])
+            rows = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "place", "other", "other_place", "words")])
             held.append(rows)
             size += rows.shape[1]
             if size >= ROWS and rows.shape[1] and (held[0][0, 0], held[0][2, 0]) != (rows[0, -1], rows[2, -1]):
@@ -360,7 +412,6 @@ PASSAGE_SCHEMA = "key long, start_word int, end_word int, chain_start int, chain
 
 def passages(docs: DataFrame) -> DataFrame:
     """The chains in repeated stretches of distinct texts (columns key, text), by key; other is the key of the text with the original."""
-    found = materialize(chains(matches(docs)), "chains")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in _blocks(batches):
@@ -388,6 +439,10 @@ def passages(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
 
     texts = docs.select("key", "text").mapInArrow(once, "key long, text string").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    matched = materialize(matches(docs), "matches")
+    both = matched.withColumn("words", F.lit(SEED)).unionByName(long_matches(texts, matched).withColumn("words", F.lit(MIN_WORDS)))
+    found = materialize(chains(both), "chains")
+    discard(matched)
     asked = found.groupBy(F.col("other").alias("key")).agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     windows = texts.join(asked, "key").select("key", "text", "spans").mapInArrow(cut, "other long, begin int, end int, window binary").dropDuplicates(["other", "begin", "end"])
     own = found.join(windows, ["other", "begin", "end"]).groupBy("key").agg(F.collect_list(F.struct("other", "begin", "anchors", "window")).alias("chains"))

@@ -158,3 +158,19 @@ def test_a_passage_that_stands_twice_in_a_text_is_cut_out_twice(spark):
     docs = spark.createDataFrame([(0, keys[0].text), (1, twice)], SCHEMA)
     assert len({(r.start_word, r.end_word) for r in S.repeated(docs).collect() if r.doc_id == 1}) == 3
     assert sum(" ".join(passage[20:40]) in r.text for r in S.without_repeats(docs).collect()) == 1
+
+
+def test_passages_made_of_frequent_lines_have_a_partner(spark):
+    rng = random.Random(12)
+    docs, planted = [], []
+    for k in range(12):
+        lines = [prose(rng, n) for n in ((17, 18, 19) if k % 2 else (15, 15, 15, 15))]
+        docs += [prose(rng, 30) + line + prose(rng, 30) for line in lines for _ in range(8)]
+        planted.append((len(docs), len(docs) + 1))
+        docs += [prose(rng, 40) + sum(lines, []) + prose(rng, 40) for _ in range(2)]
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], SCHEMA)
+    for n in (1, 6):
+        rows = S.repeated(frame.repartition(n)).collect()
+        pairs = {frozenset((r.doc_id, o)) for r in rows for o in r.others}
+        assert all(frozenset(p) in pairs for p in planted)
+        assert {r.doc_id for r in rows} <= {i for p in planted for i in p}
