@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sporeline.llm._shared import table
 
-#: Parent domains of a host that are looked up, its own name included.
+#: Parent domains of a host that the SQL looks up, its own name included; judge() looks up all of them.
 LEVELS = 8
 
 
@@ -40,7 +40,7 @@ def _names(host: Column) -> Column:
     """A host and its parent domains that have a dot, longest first."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    every = F.transform(F.sequence(F.lit(1), F.least(F.greatest(n - 1, F.lit(1)), F.lit(LEVELS))), lambda i: F.array_join(F.slice(labels, i, n), "."))
+    every = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
     return F.when(host.isNotNull(), every)
 
 

@@ -217,3 +217,11 @@ def test_captures_meet_the_entries_of_their_day(spark):
     assert {p: b for p, _, _, b in got if p != 9} == {1: False, 2: True, 3: True, 4: False, 5: False, 6: True, 7: False, 8: False, 10: False}
     assert url_filters.judge(seen, listed.where("false")).where("blocked").count() == 0
     assert url_filters.judge(seen.where("false"), listed).count() == 0
+
+
+def test_a_listed_domain_covers_hosts_of_many_labels(spark):
+    urls = [(1, "http://a.b.c.d.e.f.g.h.i.j.example.com/x"), (2, "http://a.b.c.d.e.f.g.h.i.j.example.org/x")]
+    captures = spark.createDataFrame(urls, "page_id long, url string").selectExpr("*", "DATE '2024-02-01' AS fetched_on")
+    changes = spark.createDataFrame([("example.com", "block")], "pattern string, action string").selectExpr("*", "DATE '2024-01-01' AS changed_on")
+    got = {r.page_id: (r.pattern, r.blocked) for r in url_filters.judge(captures, changes).collect()}
+    assert got == {1: ("example.com", True), 2: (None, False)}
