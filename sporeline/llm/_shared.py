@@ -20,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests, one machine), a new temporary one."""
+    """The folder named by spark.checkpoint.dir; where it is unset on one machine (tests), a new temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sporeline-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
@@ -49,6 +51,43 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def discarded_after(df: DataFrame, *used: DataFrame) -> DataFrame:
+    """df, which materialize() wrote, after the tables that it was made from are deleted."""
+    for x in used:
+        discard(x)
+    return df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have: name with as many underscores before it as that takes."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
+#: A key is hot if it holds more than a HOT-th of all rows; it is dealt to so many SALTS.
+HOT, SALTS = 1024, 64
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", spread: str | None = None) -> DataFrame:
+    """big joined with small (few rows for each key) on key, where any share of big's rows may have one key.
+
+    A frequent-items sketch names the hot keys, which are less than HOT whatever the input. Their rows of big are dealt to
+    SALTS groups by a hash of the column spread (by default, of all but the key), and those of small are copied to each.
+    """
+    sketch = big.select(F.col(key).alias("k")).stat.freqItems(["k"], 1 / HOT).first()[0]
+    hot = [x for x in sketch or [] if x is not None]
+    if not hot:
+        return big.join(small, key, how)
+    salt = unused(small, unused(big, "salt"))
+    kinds = {c: t for c, t in big.dtypes if not t.startswith(("map", "variant"))}
+    by = [spread] if spread else [c for c in kinds if c != key]
+    dealt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in by)), F.lit(SALTS))).otherwise(0).cast("int") if by else F.lit(0)
+    copies = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1) if by else F.lit(0))).otherwise(F.array(F.lit(0)))
+    return big.withColumn(salt, dealt).join(small.withColumn(salt, F.explode(copies)), [key, salt], how).drop(salt)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once: a lambda's variable is never inlined."""
     return F.transform(F.array(value), body)[0]

@@ -4,43 +4,49 @@ Texts are sequences of words (runs of word characters, lower-cased), and a text'
 are one text. The work is five Spark steps:
 
 1. seeds: of every WINDOW neighbouring runs of SEED words the one with the lowest hash is kept, wherever it stands.
-   A task links equal seeds of its own block of texts at once, and hands on those of one text of each.
-2. matches: a shuffle by hash brings equal seeds together; each is matched with the one of the lowest key. A seed that a
-   third of all texts has makes one row for each block, and one match for each text. Then runs of MIN_WORDS words whose
-   seeds are all shared are matched alike, as the seeds of one run may have different partners.
-3. chains: a shuffle by pair of texts; runs of matches on one diagonal are anchors, and a Fenwick tree over the places in
+2. matches: each seed is matched with its first place in the text of the lowest key that has it. A task first links the
+   equal seeds of its own block of texts and shuffles one text's rows of each; the others, a few for each block, take
+   over what theirs was matched with. So a seed that a third of all texts has makes one row for each block there.
+3. contexts: neighbouring seeds may have different partners where each of them stands in many texts. So runs of LEAST
+   words, and pairs of seeds on either side of such a change, are matched in the same way as if they were seeds.
+4. chains: a shuffle by pair of texts; runs of matches on one diagonal are anchors, and a Fenwick tree over the places in
    the other text finds each anchor's best predecessor at a cost for the gap.
-4. windows: the other text's words around a chain are cut out, once for all texts that need them.
-5. alignment: stretches between anchors are aligned by edit distance, chains that aren't similar enough are split, and
+5. windows: the words around a chain are cut out of both texts, once for all chains that need them.
+6. alignment: stretches between anchors are aligned by edit distance, chains that aren't similar enough are split, and
    ends are extended.
 
 A stretch of a text is repeated if chains of LEAST words or more, SIMILAR or more of them equal, cover MIN_WORDS words
 without a gap. Each stretch is reported with its chains' originals, which are in texts of lower keys. Every run of SEED + WINDOW - 1
-equal words shares a seed, and every run of MIN_WORDS equal words has one partner, however often its parts stand in the corpus.
+equal words shares a seed. Every run of LEAST words in a longer equal run shares a partner with which it makes a chain of LEAST
+words, however often its parts stand in the corpus and however texts are dealt to tasks, so that exact repeats are
+found whole. Fuzzy ones need two seeds a chain, which the tests hold to nine of ten passages with every seventh word changed.
 
 Null texts and those of fewer than SEED words have no passages. Rows with equal texts are copies: all but those of the
 smallest doc_id are reported as copies of it, and the text's stretches once. Null and repeated doc_ids are reported like
-any other, passages within one text aren't. Very long texts are worked on whole, as arrays of word hashes. Extra columns don't matter; an empty table gives
-an empty result.
+any other, passages within one text aren't. Very long texts are worked on whole, as arrays of word hashes. Extra columns
+don't matter, whatever their names; an empty table gives an empty result. Copies have equal MD5 sums beside equal keys; two
+different texts of one 64-bit key (one pair of them is to be expected in 6 * 10^9 texts) count as one when passages are sought.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sporeline.llm._edits import distance
-from sporeline.llm._shared import discard, materialize, slices, table
+from sporeline.llm._shared import discard, discarded_after, materialize, salted_join, slices, table, unused
 
 WORD = re.compile(r"\w+")
-SEED, WINDOW = 5, 8
+SEED, WINDOW = 5, 4
 #: Words of a repeated stretch, of a chain in it, and the share of equal words, at least.
 MIN_WORDS, LEAST, SIMILAR = 40, 20, 0.8
 #: Words between anchors of a chain at most, and words beyond its ends that are looked at.
@@ -51,6 +57,8 @@ GAP = 0.15
 BLOCK_BYTES, ROWS = 16 << 20, 1 << 18
 #: Different words whose hashes a worker keeps.
 CACHED = 1_000_000
+#: Chains of a task that ask for the same window before others of the task ask for a copy of it, so many at a time.
+FIRST, COPY = 8, 1 << 12
 _MIX, _STEP, _NONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -78,8 +86,8 @@ def _sliding(x: np.ndarray, width: int, op, fill) -> np.ndarray:
     return out
 
 
-def _runs(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """hash of the SEED words from each place on, text's number and place; and where each text starts."""
+def seeds_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hash, text's number and first word of the seeds of texts (arrays of word hashes)."""
     sizes = np.array([len(x) for x in texts], np.int64)
     room = sizes + WINDOW  # empty places, so that no window sees two texts
     starts = np.cumsum(room) - room
@@ -93,48 +101,66 @@ def _runs(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     for j in range(SEED):
         h = (h ^ codes[j : j + n]) * _MIX
         h ^= h >> np.uint64(31)
-    return np.where(place + SEED <= sizes[owner], h * _STEP & ~np.uint64(1), _NONE), owner, place, starts
-
-
-def seeds_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """hash, text's number and first word of the seeds of texts (arrays of word hashes)."""
-    h, owner, place, _ = _runs(texts)
+    h = np.where(place + SEED <= sizes[owner], h * _STEP & ~np.uint64(1), _NONE)
     lowest = _sliding(h, WINDOW, np.minimum, _NONE)
     best = _sliding(lowest[::-1], WINDOW, np.maximum, np.uint64(0))[::-1]  # the highest minimum of the windows that a place is in
     at = np.flatnonzero((best == h) & (h != _NONE))
     return h[at], owner[at], place[at]
 
 
-def long_runs_of(texts: list[np.ndarray], shared: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """hash, text's number and first word of the runs of MIN_WORDS words of which each seed is shared; shared: places of shared seeds."""
-    h, owner, place, starts = _runs(texts)
-    known = np.unique(h[np.concatenate([at + np.array(x, np.int64) for at, x in zip(starts.tolist(), shared, strict=True)])])
-    seen = np.isin(_sliding(h, WINDOW, np.minimum, _NONE), known).astype(np.uint8)
-    whole = _sliding(seen, MIN_WORDS - SEED - WINDOW + 2, np.minimum, np.uint8(0)) == 1
-    at = np.flatnonzero(whole & (place + MIN_WORDS <= np.array([len(x) for x in texts], np.int64)[owner]))
-    out = np.zeros(len(at), np.uint64)
-    for j in [*range(0, MIN_WORDS - SEED, SEED), MIN_WORDS - SEED]:
-        out = (out ^ h[at + j]) * _MIX
-        out ^= out >> np.uint64(31)
-    return out, owner[at], place[at]
-
+def contexts_of(owner: np.ndarray, place: np.ndarray, h: np.ndarray, low: np.ndarray, low_place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """hash, text's number, first and last seed's place of the contexts of shared seeds (by text and place), of which low and low_place are the partner and its place.
 
-def link_block(hashes: np.ndarray, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows by hash, key and place; whether a row is in the first text of its hash; and the first row of its hash."""
-    by = np.lexsort((places, keys, hashes))
-    first = np.r_[True, hashes[by][1:] != hashes[by][:-1]][: len(by)]
-    of = np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
-    return by, keys[by] == keys[by][of], of
-
-
-SEED_SCHEMA = "hash long, key long, place int, other long, other_place int"
-MATCH_SCHEMA = "key long, place int, other long, other_place int"
-NAMES = ["hash", "key", "place", "other", "other_place"]
-
-
-def _rows(schema: list[str], *columns: np.ndarray) -> pa.RecordBatch:
-    kinds = {"hash": np.int64, "key": np.int64, "other": np.int64, "place": np.int32, "other_place": np.int32}
-    return pa.record_batch([pa.array(c.astype(kinds[n])) for n, c in zip(schema, columns, strict=True)], names=schema)
+    A context is a run of seeds that cover LEAST words without a gap (an odd hash), or a pair of seeds (an even one), and has more than one partner.
+    """
+    diagonal = place - low_place
+    joined = np.r_[False, (owner[1:] == owner[:-1]) & (place[1:] - place[:-1] <= WINDOW)][: len(place)]
+    change = ~np.r_[False, joined[1:] & (low[1:] == low[:-1]) & (diagonal[1:] == diagonal[:-1])][: len(place)]
+    gaps, changes = np.cumsum(~joined), np.cumsum(change)
+    along = owner << 33 | place
+    end = np.searchsorted(along, along + LEAST - SEED)
+    i = np.flatnonzero(end < len(place))
+    j = end[i]
+    keep = (gaps[j] == gaps[i]) & (changes[j] != changes[i])
+    i, j = i[keep], j[keep]
+    run = np.zeros(len(i), np.uint64)
+    for k in range(int((j - i).max(initial=-1)) + 1):
+        at = np.minimum(i + k, j)
+        run = (run ^ h[at] ^ (place[at] - place[i]).astype(np.uint64) * _STEP) * _MIX
+        run ^= run >> np.uint64(29)
+    heads = np.flatnonzero(change)
+    out = [(run | np.uint64(1), owner[i], place[i], place[j])]
+    for skip in (1, 2):  # from the last seed before a change to the first after it, and after the next one
+        a, b = heads[1 : len(heads) + 1 - skip] - 1, heads[skip:]
+        keep = (owner[a] == owner[b]) & (low[a] != low[b]) & (place[b] - place[a] <= MAX_GAP + SEED)
+        a, b = a[keep], b[keep]
+        pair = (h[a] * _MIX ^ h[b]) * _STEP
+        out.append((pair & ~np.uint64(1), owner[a], place[a], place[b]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+ALONE, FIRST_OF_BLOCK, SAME_TEXT, FOLLOWER = range(4)
+ROW_SCHEMA = "deal long, hash long, kind byte, block long, key long, place int, last int"
+MATCH_SCHEMA = "hash long, kind byte, block long, key long, place int, last int, other long, other_place int, other_last int"
+_TYPES = {"deal": np.int64, "hash": np.int64, "kind": np.int8, "block": np.int64, "key": np.int64, "place": np.int32, "last": np.int32, "other": np.int64, "other_place": np.int32, "other_last": np.int32}
+
+
+def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
+    names = [x.split()[0] for x in schema.split(", ")]
+    return pa.record_batch([pa.array(c.astype(_TYPES[n])) for n, c in zip(names, columns, strict=True)], names=names)
+
+
+def link_block(block: int, hashes: np.ndarray, key: np.ndarray, place: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    """Rows (ROW_SCHEMA) of a block: those of the lowest key of a hash are dealt by it, followers by their key."""
+    by = np.lexsort((place, key, hashes))
+    h, key, place, last = hashes[by].view(np.int64), key[by], place[by], last[by]
+    first = np.r_[True, h[1:] != h[:-1]][: len(h)]
+    of = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+    follows = key != key[of]
+    led = np.zeros(len(h), bool)
+    led[of[follows]] = True
+    kind = np.where(follows, FOLLOWER, np.where(~first, SAME_TEXT, np.where(led, FIRST_OF_BLOCK, ALONE)))
+    return _batch(ROW_SCHEMA, np.where(follows, key, h), h, kind, np.full(len(h), block), key, place, last)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str]]]:
@@ -153,69 +179,82 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, lis
         yield np.array(list(held), np.int64), list(held.values())
 
 
-def _linked(h: np.ndarray, key: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (SEED_SCHEMA) of a block: those of the first text of each hash, and matches of the others, which go along, spread by their key."""
-    by, first, of = link_block(h, key, place)
-    h, key, place = h[by].view(np.int64), key[by], place[by]
-    n = int(first.sum())
-    yield _rows(NAMES, h[first], key[first], place[first], np.zeros(n), np.full(n, -1))
-    rest = ~first
-    yield _rows(NAMES, key[rest], key[rest], place[rest], key[of[rest]], place[of[rest]])
-
-
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last = np.zeros(3, np.int64)  # hash, key and place of the first row of the hash that the rows before ended with
-    begun = False
+    """Rows of a hash with the first place of its lowest key; those with nothing to say are dropped, followers go along."""
+    before: np.ndarray | None = None  # hash, key, place and last of the first row of the hash that the rows before ended with
     for b in batches:
-        h, key, place, other, other_place = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in NAMES)
-        along = other_place >= 0
-        if along.any():
-            yield _rows(NAMES[1:], key[along], place[along], other[along], other_place[along])
-            h, key, place = h[~along], key[~along], place[~along]
-        if len(h):
-            rows = np.stack([h, key, place])
-            rows = np.c_[last, rows] if begun else rows
-            first = np.r_[True, rows[0, 1:] != rows[0, :-1]]
-            of = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-            found = np.flatnonzero(rows[1] != rows[1, of])
-            yield _rows(NAMES[1:], rows[1, found], rows[2, found], rows[1, of[found]], rows[2, of[found]])
-            last, begun = rows[:, of[-1]].copy(), True
-
-
-def _matched(seeds: DataFrame) -> DataFrame:
-    n = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return seeds.repartition(n, "hash").sortWithinPartitions("hash", "key", "place").mapInArrow(_match, MATCH_SCHEMA)
-
-
-def matches(docs: DataFrame) -> DataFrame:
-    """key, place, other, other_place: a seed of a text (columns key, text) and an equal one in a text of lower key."""
+        columns = [b.column(c).to_numpy(zero_copy_only=False) for c in ("hash", "kind", "block", "key", "place", "last")]
+        follows = columns[1] == FOLLOWER
+        if follows.any():
+            some = [c[follows] for c in columns]
+            none = np.zeros(len(some[0]))
+            yield _batch(MATCH_SCHEMA, *some, none, none, none)
+        h, kind, block, key, place, last = (c[~follows].astype(np.int64) for c in columns)
+        if not len(h):
+            continue
+        first = np.r_[True, h[1:] != h[:-1]]
+        of = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+        others = np.stack([key, place, last])[:, of]
+        if before is not None and before[0] == h[0]:
+            others[:, h == h[0]] = before[1:, None]
+        before = np.r_[h[-1], others[:, -1]]
+        told = (key != others[0]) | (kind == FIRST_OF_BLOCK)
+        yield _batch(MATCH_SCHEMA, *(c[told] for c in (h, kind, block, key, place, last)), *others[:, told])
+
+
+MATCHED = ("hash", "key", "place", "last", "other", "other_place", "other_last")
+
+
+def matched(rows: DataFrame, name: str) -> DataFrame:
+    """MATCHED for rows (ROW_SCHEMA): each with the first place of its hash in the text of the lowest key that has it, if that is another text."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = materialize(rows.repartition(n, "deal").sortWithinPartitions("deal", "hash", "key", "place").mapInArrow(_match, MATCH_SCHEMA), name)
+    led = found.where(F.col("kind") == FIRST_OF_BLOCK).select("hash", "block", "other", "other_place", "other_last")
+    followers = found.where(F.col("kind") == FOLLOWER).select("hash", "block", "key", "place", "last").join(led, ["hash", "block"]).select(*MATCHED)
+    own = found.where(F.col("kind") != FOLLOWER).select(*MATCHED)
+    return discarded_after(materialize(own.unionByName(followers).where("key <> other"), name), found)
+
+
+def seed_matches(docs: DataFrame) -> DataFrame:
+    """The matches of the seeds of texts (columns key, text)."""
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for keys, texts in _blocks(batches):
+        words, task = WordHashes(), TaskContext.get().partitionId() << 32
+        for number, (keys, texts) in enumerate(_blocks(batches)):
             h, owner, place = seeds_of([words.of(t) for t in texts])
-            yield from _linked(h, keys[owner], place)
+            yield link_block(task | number, h, keys[owner], place, place)
 
-    return _matched(docs.select("key", "text").mapInArrow(seed, SEED_SCHEMA))
+    return matched(docs.select("key", "text").mapInArrow(seed, ROW_SCHEMA), "seeds")
 
 
-def long_matches(texts: DataFrame, matched: DataFrame) -> DataFrame:
-    """As matches(), for runs of MIN_WORDS words; texts are distinct, and matched has the matches of their seeds.
+def context_matches(seeds: DataFrame) -> DataFrame:
+    """The matches of the contexts of shared seeds, from seed_matches()."""
 
-    Seeds of one run may each have another partner. An equal run of MIN_WORDS words has one, whatever its seeds have. All
-    of its seeds are shared, so other runs needn't be compared.
-    """
+    def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 32
+        for number, b in enumerate(batches):
+            if b.num_rows:
+                held = b.column("seeds")
+                place, h, low, low_place = (held.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+                owner = np.repeat(np.arange(b.num_rows), held.value_lengths().to_numpy())
+                code, of, first, last = contexts_of(owner, place, h.view(np.uint64), low, low_place)
+                yield link_block(task | number, code, b.column("key").to_numpy()[of], first, last)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for b in slices(batches, "text"):
-            keys = b.column("key").to_numpy(zero_copy_only=False)
-            h, owner, place = long_runs_of([words.of(t) for t in b.column("text").to_pylist()], b.column("shared").to_pylist())
-            yield from _linked(h, keys[owner], place)
+    ends = seeds.select("key", "place", "hash", F.col("other").alias("low"), F.col("other_place").alias("low_place"))
+    firsts = seeds.select(F.col("other").alias("key"), F.col("other_place").alias("place"), "hash", F.col("other").alias("low"), F.col("other_place").alias("low_place"))
+    shared = ends.unionByName(firsts).groupBy("key", "place").agg(F.min(F.struct("hash", "low", "low_place")).alias("s"))
+    lists = shared.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "s.hash", "s.low", "s.low_place"))).alias("seeds"))
+    return matched(lists.mapInArrow(context, ROW_SCHEMA), "contexts")
 
-    ends = matched.select("key", "place").unionByName(matched.select(F.col("other").alias("key"), F.col("other_place").alias("place")))
-    shared = ends.distinct().groupBy("key").agg(F.collect_list("place").alias("shared")).where(F.size("shared") > 1)
-    return _matched(texts.join(shared, "key").select("key", "text", "shared").mapInArrow(run, SEED_SCHEMA))
+
+def matches(docs: DataFrame) -> DataFrame:
+    """key, other, place, other_place, words: equal words of a text (columns key, text) and of one of a lower key."""
+    seeds = seed_matches(docs)
+    contexts = context_matches(seeds)
+    plain = lambda df, end, words: df.select("key", "other", F.col(end).alias("place"), F.col(f"other_{end}").alias("other_place"), words.alias("words"))
+    run = F.col("hash") % 2 != 0
+    parts = plain(seeds, "place", F.lit(SEED)), plain(contexts, "place", F.when(run, F.col("last") - F.col("place")).otherwise(0) + SEED), plain(contexts.where(~run), "last", F.lit(SEED))
+    return discarded_after(materialize(parts[0].unionByName(parts[1]).unionByName(parts[2]), "matches"), seeds, contexts)
 
 
 def chain_anchors(anchors: np.ndarray) -> list[list[int]]:
@@ -287,23 +326,33 @@ def chains_of(pairs: np.ndarray, place: np.ndarray, other_place: np.ndarray, wor
                     yield int(of[edges[k]]), piece
 
 
-CHAIN_SCHEMA = "key long, other long, begin int, end int, anchors array<int>"
+CHAIN_SCHEMA = "key long, other long, begin int, end int, other_begin int, other_end int, copy long, anchors array<int>"
 
 
 def chains(matched: DataFrame) -> DataFrame:
-    """key, other, begin, end (words of other that alignment looks at), anchors (each one's first and last place in either text)."""
+    """key, other, the words of either that alignment looks at, the copy of the other's window that it asks for, and anchors (each one's first and last place in either text)."""
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, asked = TaskContext.get().partitionId() + 1 << 32, Counter()
+
+        def copy(window: tuple) -> int:
+            asked[window] += 1
+            return 0 if asked[window] <= FIRST else task | asked[window] // COPY
+
         def out(rows: np.ndarray) -> pa.RecordBatch:
             key, place, other, other_place, words = rows
             pairs = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (other[1:] != other[:-1])])
             at = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
             found = list(chains_of(pairs, place, other_place, words))
             of = at[[p for p, _ in found]] if found else np.zeros(0, np.int64)
+            edges = np.array([(a[0, 0], a[-1, 1], a[0, 2], a[-1, 3]) for _, a in found], np.int64).reshape(-1, 4)
             # edges are rounded, so that texts that share a passage ask for the same window
-            begin = [max(0, int(a[0, 2]) - MARGIN) // MARGIN * MARGIN for _, a in found]
-            end = [-(-(int(a[-1, 3]) + SEED + MARGIN) // MARGIN) * MARGIN for _, a in found]
-            return pa.record_batch([pa.array(key[of]), pa.array(other[of]), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array([a.ravel() for _, a in found], pa.list_(pa.int32()))], names=["key", "other", "begin", "end", "anchors"])
+            begin, end = np.maximum(0, edges[:, ::2] - MARGIN) // MARGIN * MARGIN, -(-(edges[:, 1::2] + SEED + MARGIN) // MARGIN) * MARGIN
+            if len(asked) > CACHED:
+                asked.clear()
+            copies = [copy(w) for w in zip(other[of].tolist(), begin[:, 1].tolist(), end[:, 1].tolist(), strict=True)]
+            spans = [pa.array(x.astype(np.int32)) for x in (begin[:, 0], end[:, 0], begin[:, 1], end[:, 1])]
+            return pa.record_batch([pa.array(key[of]), pa.array(other[of]), *spans, pa.array(copies, pa.int64()), pa.array([a.ravel() for _, a in found], pa.list_(pa.int32()))], names=[x.split()[0] for x in CHAIN_SCHEMA.split(", ")])
 
         held: list[np.ndarray] = []
         size = 0
@@ -323,12 +372,12 @@ def chains(matched: DataFrame) -> DataFrame:
     return matched.repartition(n, "key", "other").sortWithinPartitions("key", "other", "place", "other_place").mapInArrow(chain, CHAIN_SCHEMA)
 
 
-def align(own: np.ndarray, window: np.ndarray, begin: int, anchors: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+def align(own: np.ndarray, window: np.ndarray, own_begin: int, begin: int, anchors: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """First word, word after the last one, the same in the other text, and edits, of the similar parts of a chain.
 
-    own: word hashes of the text; window: those of the other text from its word begin on.
+    own: word hashes of the text from its word own_begin on; window: those of the other text from its word begin on.
     """
-    parts = [anchors]
+    parts = [anchors - np.array([own_begin, own_begin, begin, begin])]
     out = []
     while parts:
         a = parts.pop()
@@ -339,19 +388,19 @@ def align(own: np.ndarray, window: np.ndarray, begin: int, anchors: np.ndarray)
             starts.append((p0, r0))
             p1, r1 = p1 + SEED, r1 + SEED
             n = max(0, min(p1 - p0, r1 - r0))
-            costs.append(int((own[p0 : p0 + n] != window[r0 - begin : r0 - begin + n]).sum()) + max(p1 - p0, r1 - r0, 0) - n)
+            costs.append(int((own[p0 : p0 + n] != window[r0 : r0 + n]).sum()) + max(p1 - p0, r1 - r0, 0) - n)
             ends.append((max(p1, at), max(r1, there)))
             at, there = ends[-1]
-        gaps = [distance(own[ends[i][0] : starts[i + 1][0]].tolist(), window[ends[i][1] - begin : starts[i + 1][1] - begin].tolist()) for i in range(len(a) - 1)]
+        gaps = [distance(own[ends[i][0] : starts[i + 1][0]].tolist(), window[ends[i][1] : starts[i + 1][1]].tolist()) for i in range(len(a) - 1)]
         edits, (p, r), (q, s) = sum(costs) + sum(gaps), starts[0], ends[-1]
-        left, left_there, lost_left = _extend(own[:p][::-1], window[: r - begin][::-1])
-        right, right_there, lost_right = _extend(own[q:], window[s - begin :])
+        left, left_there, lost_left = _extend(own[:p][::-1], window[:r][::-1])
+        right, right_there, lost_right = _extend(own[q:], window[s:])
         edits += lost_left + lost_right
         p, r, q, s = p - left, r - left_there, q + right, s + right_there
         size = max(q - p, s - r)
         if edits <= (1 - SIMILAR) * size:
             if size >= LEAST:
-                out.append((p, q, r, s, edits))
+                out.append((own_begin + p, own_begin + q, begin + r, begin + s, edits))
         elif gaps:
             worst = gaps.index(max(gaps))
             parts += [a[: worst + 1], a[worst + 1 :]]
@@ -386,71 +435,68 @@ def _along(own: np.ndarray, other: np.ndarray) -> tuple[int, int, int]:
     return int(gain[k]), k + 1, int((~same[: k + 1]).sum())
 
 
-def long_stretches(spans: list[tuple[int, int]]) -> list[tuple[int, int] | None]:
-    """For each of spans (first word, word after the last) the stretch that spans cover without a gap around it; None if it has less than MIN_WORDS words."""
-    out: list[tuple[int, int] | None] = [None] * len(spans)
-    group: list[int] = []
-    high = -1
-
-    def close() -> None:
-        if group and high - spans[group[0]][0] >= MIN_WORDS:
-            for i in group:
-                out[i] = (spans[group[0]][0], high)
-
-    for i in sorted(range(len(spans)), key=spans.__getitem__):
-        if group and spans[i][0] > high:
-            close()
-            group, high = [], -1
-        group.append(i)
-        high = max(high, spans[i][1])
-    close()
-    return out
+SPAN_SCHEMA = "key long, chain_start int, chain_end int, other long, other_start int, other_end int, edits int"
 
 
-PASSAGE_SCHEMA = "key long, start_word int, end_word int, chain_start int, chain_end int, other long, other_start int, other_end int, edits int"
+def stretches(spans: DataFrame) -> DataFrame:
+    """spans (key, chain_start, chain_end, ..) with start_word and end_word of the stretch that a text's spans cover without a gap around each; only those of MIN_WORDS words or more."""
+    before = Window.partitionBy("key").orderBy("chain_start", "chain_end").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.col("chain_start") > F.max("chain_end").over(before), F.lit(True))
+    numbered = spans.withColumn("first", first).withColumn("stretch", F.sum(F.col("first").cast("int")).over(Window.partitionBy("key").orderBy("chain_start", "chain_end").rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("key", "stretch")
+    out = numbered.withColumn("start_word", F.min("chain_start").over(whole)).withColumn("end_word", F.max("chain_end").over(whole))
+    return out.where(F.col("end_word") - F.col("start_word") >= MIN_WORDS).drop("first", "stretch")
 
 
 def passages(docs: DataFrame) -> DataFrame:
     """The chains in repeated stretches of distinct texts (columns key, text), by key; other is the key of the text with the original."""
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for keys, texts in _blocks(batches):
-            yield pa.record_batch([pa.array(keys), pa.array(texts, pa.string())], names=["key", "text"])
+            new = np.array([k not in seen for k in keys.tolist()], bool)
+            seen.update(keys.tolist())
+            yield pa.record_batch([pa.array(keys), pa.array(texts, pa.string())], names=["key", "text"]).filter(pa.array(new))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        words, held = WordHashes(), (None, None)
         for b in slices(batches, "text"):
             for key, text, spans in zip(*(b.column(c).to_pylist() for c in ("key", "text", "spans")), strict=True):
-                own = words.of(text)
-                begin, end = [x["begin"] for x in spans], [x["end"] for x in spans]
-                yield pa.record_batch([pa.array([key] * len(spans), pa.int64()), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array([own[i:j].tobytes() for i, j in zip(begin, end, strict=True)], pa.binary())], names=["other", "begin", "end", "window"])
+                if held[0] != key:  # copies of a text in other blocks come one after another
+                    own = words.of(text)
+                    held = key, text
+                    names = list(spans[0]) if spans else []
+                    columns = [pa.array([x[n] for x in spans], t) for n, t in zip(names, (pa.int32(), pa.int32(), pa.int64()), strict=False)]
+                    yield pa.record_batch([pa.array([key] * len(spans), pa.int64()), *columns, pa.array([own[x["begin"] : x["end"]].tobytes() for x in spans], pa.binary())], names=["key", *names, "window"])
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for b in slices(batches, "text"):
+        for b in batches:
             out = []
-            for key, text, held in zip(*(b.column(c).to_pylist() for c in ("key", "text", "chains")), strict=True):
-                own = words.of(text)
-                spans = [(x["other"], s) for x in held for s in align(own, np.frombuffer(x["window"], np.uint64), x["begin"], np.array(x["anchors"], np.int64).reshape(-1, 4))]
-                stretches = long_stretches([s[:2] for _, s in spans])
-                out += [(key, *w, s[0], s[1], other, *s[2:]) for (other, s), w in zip(spans, stretches, strict=True) if w]
-            kinds = [pa.int64(), *[pa.int32()] * 4, pa.int64(), *[pa.int32()] * 3]
-            names = ["key", "start_word", "end_word", "chain_start", "chain_end", "other", "other_start", "other_end", "edits"]
-            yield pa.record_batch([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
-
-    texts = docs.select("key", "text").mapInArrow(once, "key long, text string").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
-    matched = materialize(matches(docs), "matches")
-    both = matched.withColumn("words", F.lit(SEED)).unionByName(long_matches(texts, matched).withColumn("words", F.lit(MIN_WORDS)))
-    found = materialize(chains(both), "chains")
-    discard(matched)
-    asked = found.groupBy(F.col("other").alias("key")).agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    windows = texts.join(asked, "key").select("key", "text", "spans").mapInArrow(cut, "other long, begin int, end int, window binary").dropDuplicates(["other", "begin", "end"])
-    own = found.join(windows, ["other", "begin", "end"]).groupBy("key").agg(F.collect_list(F.struct("other", "begin", "anchors", "window")).alias("chains"))
-    return texts.join(own, "key").select("key", "text", "chains").mapInArrow(aligned, PASSAGE_SCHEMA).distinct()
+            for key, begin, own, other, other_begin, window, anchors in zip(*(b.column(c).to_pylist() for c in ("key", "begin", "own", "other", "other_begin", "window", "anchors")), strict=True):
+                found = align(np.frombuffer(own, np.uint64), np.frombuffer(window, np.uint64), begin, other_begin, np.array(anchors, np.int64).reshape(-1, 4))
+                out += [(key, p, q, other, r, s, edits) for p, q, r, s, edits in found]
+            kinds = [pa.int64(), *[pa.int32()] * 2, pa.int64(), *[pa.int32()] * 3]
+            yield pa.record_batch([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in SPAN_SCHEMA.split(", ")])
+
+    spark = docs.sparkSession
+    texts = docs.select("key", "text").mapInArrow(once, "key long, text string").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
+    found_matches = matches(docs)
+    found = discarded_after(materialize(chains(found_matches), "chains"), found_matches)
+    asked = found.select("key", "begin", "end", F.lit(0).cast("long").alias("copy")).unionByName(found.select(F.col("other").alias("key"), F.col("other_begin").alias("begin"), F.col("other_end").alias("end"), "copy"))
+    spans = asked.groupBy("key").agg(F.collect_set(F.struct("begin", "end", "copy")).alias("spans"))
+    cuts = texts.join(spans, "key").select("key", "text", "spans").mapInArrow(cut, "key long, begin int, end int, copy long, window binary")
+    windows = materialize(cuts, "windows")
+    theirs = windows.select(F.col("key").alias("other"), F.col("begin").alias("other_begin"), F.col("end").alias("other_end"), "copy", "window")
+    own = windows.where("copy = 0").select("key", "begin", "end", F.col("window").alias("own"))
+    pairs = found.join(theirs, ["other", "other_begin", "other_end", "copy"]).join(own, ["key", "begin", "end"])
+    spans = materialize(pairs.select("key", "begin", "own", "other", "other_begin", "window", "anchors").mapInArrow(aligned, SPAN_SCHEMA).distinct(), "spans")
+    discard(found)
+    discard(windows)
+    return stretches(spans)
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("key"), F.col(text).alias("text"))
+    return docs.where(docs[text].isNotNull()).select(F.xxhash64(docs[text]).alias("key"), docs[text].alias("text"))
 
 
 def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -461,14 +507,15 @@ def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     chains' originals. A copy's row has the doc_id of the first of its text as other_id, and no words.
     """
     found = passages(keyed(docs, text))
-    ids = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("key"), F.col(key).cast("long").alias("doc_id"))
-    first = ids.groupBy("key").agg(F.min("doc_id").alias("first"))
-    named = found.join(first.select(F.col("key").alias("other"), F.col("first").alias("other_id")), "other")
+    ids = docs.where(docs[text].isNotNull()).select(F.xxhash64(docs[text]).alias("key"), F.md5(docs[text].cast("binary")).alias("sum"), docs[key].cast("long").alias("doc_id"))
+    firsts = materialize(ids.groupBy("key", "sum").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "firsts")
+    first = firsts.groupBy("key").agg(F.min("first").alias("first"))
+    named = salted_join(found, first.select(F.col("key").alias("other"), F.col("first").alias("other_id")), "other")
     chain = ["chain_start", "chain_end", "other_id", "other_start", "other_end", "edits"]
     longest = F.max_by(F.struct(*chain), F.struct(F.col("chain_end") - F.col("chain_start"), -F.col("chain_start"), "other_id"))
     rows = named.groupBy("key", "start_word", "end_word").agg(longest.alias("c"), F.sort_array(F.collect_set("other_id")).alias("others")).join(first, "key")
     rows = rows.select(F.col("first").alias("doc_id"), "start_word", "end_word", "c.*", "others")
-    copy = ids.join(first, "key").where("NOT doc_id <=> first")
+    copy = salted_join(ids, firsts.where("n > 1").select("key", F.col("sum").alias("first_sum"), "first"), "key").where("sum = first_sum AND NOT doc_id <=> first")
     none = F.lit(None).cast("int")
     return rows.unionByName(copy.select("doc_id", *(none.alias(c) for c in ("start_word", "end_word", "chain_start", "chain_end")), F.col("first").alias("other_id"), none.alias("other_start"), none.alias("other_end"), none.alias("edits"), F.array("first").alias("others")))
 
@@ -478,18 +525,19 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Copies aren't touched, as near-duplicate operators choose which of them stays.
     """
-    spans = passages(keyed(docs, text)).groupBy(F.col("key").alias("_text_key")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("_spans"))
+    key, spans = unused(docs, "text_key"), unused(docs, "spans")
+    cuts = materialize(passages(keyed(docs, text)).groupBy(F.col("key").alias(key)).agg(F.collect_set(F.struct("start_word", "end_word")).alias(spans)), "cuts")
     columns = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
             at = b.schema.get_field_index(text)
-            texts = [t if s is None else remove_words(t, [(x["start_word"], x["end_word"]) for x in s]) for t, s in zip(b.column(text).to_pylist(), b.column("_spans").to_pylist(), strict=True)]
-            left = pa.array([s is None or bool(t) for t, s in zip(texts, b.column("_spans").to_pylist(), strict=True)])
+            held = b.column(spans).to_pylist()
+            texts = [t if s is None else remove_words(t, [(x["start_word"], x["end_word"]) for x in s]) for t, s in zip(b.column(text).to_pylist(), held, strict=True)]
+            left = pa.array([s is None or bool(t) for t, s in zip(texts, held, strict=True)])
             yield b.set_column(at, text, pa.array(texts, pa.string())).select(columns).filter(left)
 
-    held = docs.withColumn("_text_key", F.xxhash64(text)).join(spans, "_text_key", "left")
-    return held.select(*columns, "_spans").mapInArrow(cut, docs.schema)
+    return salted_join(docs.withColumn(key, F.xxhash64(docs[text])), cuts, key, "left").select(*columns, spans).mapInArrow(cut, docs.schema)
 
 
 def remove_words(text: str, spans: list[tuple[int, int]]) -> str:

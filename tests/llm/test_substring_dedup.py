@@ -174,3 +174,85 @@ def test_passages_made_of_frequent_lines_have_a_partner(spark):
         pairs = {frozenset((r.doc_id, o)) for r in rows for o in r.others}
         assert all(frozenset(p) in pairs for p in planted)
         assert {r.doc_id for r in rows} <= {i for p in planted for i in p}
+
+
+def whole(row, n: int) -> bool:
+    return row.start_word is not None and row.end_word - row.start_word >= n
+
+
+def test_frequent_seeds_lose_no_passage(spark):
+    """Two texts share 80 words, and each run of 5 of these words stands in f other texts, too."""
+    rng = random.Random(13)
+    for f in (0, 10, 40, 200):
+        passage = prose(rng, 80)
+        docs = [prose(rng, 50) + passage + prose(rng, 50) for _ in range(2)]
+        for _ in range(f):
+            docs += [prose(rng, 6) + passage[i : i + 5] + prose(rng, 6) for i in range(76)]
+        rows = S.repeated(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], SCHEMA).repartition(6)).collect()
+        assert len(rows) == 1 and {rows[0].doc_id, *rows[0].others} == {0, 1}
+        assert whole(rows[0], 80) and rows[0].edits == 0
+
+
+def test_exact_repeats_against_all_pairs(spark):
+    """Texts made of a few common lines: each run of MIN_WORDS words that another text has is covered, but in one text."""
+    rng = random.Random(14)
+    lines = [prose(rng, rng.randint(8, 30)) for _ in range(12)]
+    docs = [sum((rng.choice(lines) if rng.random() < 0.7 else prose(rng, 10) for _ in range(rng.randint(4, 12))), []) for _ in range(60)]
+    runs: dict[tuple, set[int]] = {}
+    for i, d in enumerate(docs):
+        for at in range(len(d) - S.MIN_WORDS + 1):
+            runs.setdefault(tuple(d[at : at + S.MIN_WORDS]), set()).add(i)
+    for n in (1, 7):
+        rows = S.repeated(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], SCHEMA).repartition(n)).collect()
+        covered = {i: np.zeros(len(d), bool) for i, d in enumerate(docs)}
+        for r in rows:
+            if r.start_word is not None:
+                covered[r.doc_id][r.start_word : r.end_word] = True
+        slack = S.WINDOW - 1
+        for run, ids in runs.items():
+            bare = [i for i in ids if not all(covered[i][at + slack : at + S.MIN_WORDS - slack].all() for at in range(len(docs[i]) - S.MIN_WORDS + 1) if tuple(docs[i][at : at + S.MIN_WORDS]) == run)]
+            assert len(bare) <= 1 or {docs[i] == docs[bare[0]] for i in bare} == {True}
+
+
+@pytest.mark.parametrize(("every", "least"), [(7, 0.9), (10, 0.95), (15, 0.97)])
+def test_recall_of_fuzzy_passages(spark, every, least):
+    rng = random.Random(15)
+    docs = []
+    for _ in range(60):
+        passage = prose(rng, 70)
+        docs += [prose(rng, 40) + passage + prose(rng, 40), prose(rng, 40) + ["zz" + w if i % every == every // 2 else w for i, w in enumerate(passage)] + prose(rng, 40)]
+    rows = S.repeated(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], SCHEMA).repartition(5)).collect()
+    pairs = {frozenset((r.doc_id, o)) for r in rows for o in r.others}
+    assert all(max(p) == min(p) + 1 and min(p) % 2 == 0 for p in pairs)
+    assert len(pairs) >= least * 60
+
+
+def test_fuzzy_passages_of_frequent_parts(spark):
+    rng = random.Random(16)
+    docs, planted = [], []
+    for _ in range(15):
+        parts = [prose(rng, 12) for _ in range(5)]
+        docs += [prose(rng, 30) + p + prose(rng, 30) for p in parts for _ in range(6)]
+        planted.append(frozenset((len(docs), len(docs) + 1)))
+        docs += [prose(rng, 40) + sum(([*p, f"x{k}{j}"] for j, p in enumerate(parts)), []) + prose(rng, 40) for k in range(2)]
+    for n in (1, 6):
+        rows = S.repeated(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], SCHEMA).repartition(n)).collect()
+        pairs = {frozenset((r.doc_id, o)) for r in rows for o in r.others}
+        assert pairs <= set(planted) and len(pairs) >= 14
+
+
+def test_clashing_names(spark):
+    text = " ".join(prose(random.Random(17), 90))
+    names = "doc_id long, text string, text_key long, _spans string, spans int, key string, salt int, copy int, start_word int, other_id long"
+    docs = spark.createDataFrame([(1, text + " a", 1, "s", 2, "k", 3, 4, 5, 6), (2, text + " b", 1, "s", 2, "k", 3, 4, 5, 6), (3, None, None, None, None, None, None, None, None, None)], names)
+    assert len(S.repeated(docs).collect()) == 1
+    kept = S.without_repeats(docs)
+    assert kept.columns == docs.columns and sum(text[:200] in (r.text or "") for r in kept.collect()) == 1
+
+
+def test_a_large_group_of_copies(spark):
+    rng = random.Random(18)
+    text, other = " ".join(prose(rng, 100)), " ".join(prose(rng, 100))
+    docs = [(i, text) for i in range(3000)] + [(i, other) for i in range(3000, 3010)] + [(i, " ".join(prose(rng, 30))) for i in range(3010, 4000)]
+    rows = S.repeated(spark.createDataFrame(docs, SCHEMA).repartition(9)).collect()
+    assert {(r.doc_id, r.other_id) for r in rows} == {(i, 0) for i in range(1, 3000)} | {(i, 3000) for i in range(3001, 3010)}
