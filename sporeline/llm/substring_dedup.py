@@ -46,7 +46,7 @@ from sporeline.llm._edits import distance
 from sporeline.llm._shared import discard, discarded_after, materialize, salted_join, slices, table, unused
 
 WORD = re.compile(r"\w+")
-SEED, WINDOW = 5, 4
+SEED, WINDOW = 5, 5
 #: Words of a repeated stretch, of a chain in it, and the share of equal words, at least.
 MIN_WORDS, LEAST, SIMILAR = 40, 20, 0.8
 #: Words between anchors of a chain at most, and words beyond its ends that are looked at.
@@ -54,7 +54,7 @@ MAX_GAP, MARGIN = 25, 16
 #: What a word between anchors costs in either text; an anchor's word is worth 1. Alignment judges what is chained.
 GAP = 0.15
 #: Bytes of text that seeds are linked in at once, and rows of matches that are chained at once.
-BLOCK_BYTES, ROWS = 16 << 20, 1 << 18
+BLOCK_BYTES, ROWS = 8 << 20, 1 << 17
 #: Different words whose hashes a worker keeps.
 CACHED = 1_000_000
 #: Chains of a task that ask for the same window before others of the task ask for a copy of it, so many at a time.
@@ -105,6 +105,9 @@ def seeds_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     lowest = _sliding(h, WINDOW, np.minimum, _NONE)
     best = _sliding(lowest[::-1], WINDOW, np.maximum, np.uint64(0))[::-1]  # the highest minimum of the windows that a place is in
     at = np.flatnonzero((best == h) & (h != _NONE))
+    tied = np.r_[False, (h[at][1:] == h[at][:-1]) & (np.diff(at) == 1), False]  # a word over and over: of WINDOW places the first, and the last of all
+    begun = np.maximum.accumulate(np.where(tied[: len(at)], 0, np.arange(len(at))))
+    at = at[((np.arange(len(at)) - begun) % WINDOW == 0) | ~tied[1 : len(at) + 1]]
     return h[at], owner[at], place[at]
 
 
@@ -140,27 +143,32 @@ def contexts_of(owner: np.ndarray, place: np.ndarray, h: np.ndarray, low: np.nda
 
 
 ALONE, FIRST_OF_BLOCK, SAME_TEXT, FOLLOWER = range(4)
-ROW_SCHEMA = "deal long, hash long, kind byte, block long, key long, place int, last int"
-MATCH_SCHEMA = "hash long, kind byte, block long, key long, place int, last int, other long, other_place int, other_last int"
-_TYPES = {"deal": np.int64, "hash": np.int64, "kind": np.int8, "block": np.int64, "key": np.int64, "place": np.int32, "last": np.int32, "other": np.int64, "other_place": np.int32, "other_last": np.int32}
+#: tag: number of the block, and one of these four in the lowest two bits. at: a place, and how far the last seed is from it in the lowest FAR bits.
+FAR = 8
+ROW_SCHEMA = "hash long, key long, tag long, at long"
+MATCH_SCHEMA = "hash long, key long, tag long, at long, other long, other_at long"
 
 
 def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
-    names = [x.split()[0] for x in schema.split(", ")]
-    return pa.record_batch([pa.array(c.astype(_TYPES[n])) for n, c in zip(names, columns, strict=True)], names=names)
+    return pa.record_batch([pa.array(c.astype(np.int64)) for c in columns], names=[x.split()[0] for x in schema.split(", ")])
 
 
-def link_block(block: int, hashes: np.ndarray, key: np.ndarray, place: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
-    """Rows (ROW_SCHEMA) of a block: those of the lowest key of a hash are dealt by it, followers by their key."""
-    by = np.lexsort((place, key, hashes))
-    h, key, place, last = hashes[by].view(np.int64), key[by], place[by], last[by]
-    first = np.r_[True, h[1:] != h[:-1]][: len(h)]
-    of = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+def _first_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a row is the first of those with its value, and the number of that row; equal values stand together."""
+    first = np.r_[True, x[1:] != x[:-1]][: len(x)]
+    return first, np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))
+
+
+def link_block(block: int, hashes: np.ndarray, key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Rows (ROW_SCHEMA) of a block. All but those of the lowest key of a hash are followers."""
+    by = np.lexsort((at, key, hashes))
+    h, key, at = hashes[by].view(np.int64), key[by], at[by]
+    first, of = _first_of(h)
     follows = key != key[of]
     led = np.zeros(len(h), bool)
     led[of[follows]] = True
     kind = np.where(follows, FOLLOWER, np.where(~first, SAME_TEXT, np.where(led, FIRST_OF_BLOCK, ALONE)))
-    return _batch(ROW_SCHEMA, np.where(follows, key, h), h, kind, np.full(len(h), block), key, place, last)
+    return _batch(ROW_SCHEMA, h, key, block << 2 | kind, at)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str]]]:
@@ -181,38 +189,39 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, lis
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a hash with the first place of its lowest key; those with nothing to say are dropped, followers go along."""
-    before: np.ndarray | None = None  # hash, key, place and last of the first row of the hash that the rows before ended with
-    for b in batches:
-        columns = [b.column(c).to_numpy(zero_copy_only=False) for c in ("hash", "kind", "block", "key", "place", "last")]
-        follows = columns[1] == FOLLOWER
-        if follows.any():
-            some = [c[follows] for c in columns]
-            none = np.zeros(len(some[0]))
-            yield _batch(MATCH_SCHEMA, *some, none, none, none)
-        h, kind, block, key, place, last = (c[~follows].astype(np.int64) for c in columns)
-        if not len(h):
-            continue
-        first = np.r_[True, h[1:] != h[:-1]]
-        of = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
-        others = np.stack([key, place, last])[:, of]
-        if before is not None and before[0] == h[0]:
-            others[:, h == h[0]] = before[1:, None]
-        before = np.r_[h[-1], others[:, -1]]
-        told = (key != others[0]) | (kind == FIRST_OF_BLOCK)
-        yield _batch(MATCH_SCHEMA, *(c[told] for c in (h, kind, block, key, place, last)), *others[:, told])
 
+    def told(rows: np.ndarray) -> pa.RecordBatch:
+        h, key, tag, at = rows[:, np.lexsort((rows[3], rows[1], rows[0]))]
+        of = _first_of(h)[1]
+        some = (key != key[of]) | (tag & 3 == FIRST_OF_BLOCK)
+        return _batch(MATCH_SCHEMA, *(x[some] for x in (h, key, tag, at, key[of], at[of])))
 
-MATCHED = ("hash", "key", "place", "last", "other", "other_place", "other_last")
+    held = np.zeros((4, 0), np.int64)  # rows of the last hash, which may go on
+    for b in batches:
+        rows = np.stack([b.column(i).to_numpy() for i in range(4)])
+        follows = rows[2] & 3 == FOLLOWER
+        if follows.any():
+            some, none = rows[:, follows], np.zeros(int(follows.sum()))
+            yield _batch(MATCH_SCHEMA, *some, none, none)
+        rows = np.concatenate([held, rows[:, ~follows]], axis=1)
+        whole = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0
+        if whole:
+            yield told(rows[:, :whole])
+        held = rows[:, whole:]
+    yield told(held)
 
 
 def matched(rows: DataFrame, name: str) -> DataFrame:
-    """MATCHED for rows (ROW_SCHEMA): each with the first place of its hash in the text of the lowest key that has it, if that is another text."""
+    """hash, key, at, other, other_at for rows (ROW_SCHEMA): each with the first place of its hash in the text of the lowest key that has it, if that is another text."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = materialize(rows.repartition(n, "deal").sortWithinPartitions("deal", "hash", "key", "place").mapInArrow(_match, MATCH_SCHEMA), name)
-    led = found.where(F.col("kind") == FIRST_OF_BLOCK).select("hash", "block", "other", "other_place", "other_last")
-    followers = found.where(F.col("kind") == FOLLOWER).select("hash", "block", "key", "place", "last").join(led, ["hash", "block"]).select(*MATCHED)
-    own = found.where(F.col("kind") != FOLLOWER).select(*MATCHED)
-    return discarded_after(materialize(own.unionByName(followers).where("key <> other"), name), found)
+    kind = lambda k: F.col("tag").bitwiseAND(3) == k
+    dealt = rows.repartition(n, F.when(kind(FOLLOWER), F.col("key")).otherwise(F.col("hash"))).sortWithinPartitions("hash")
+    found = materialize(dealt.mapInArrow(_match, MATCH_SCHEMA), name)
+    block = F.shiftright("tag", 2).alias("block")
+    led = found.where(kind(FIRST_OF_BLOCK)).select("hash", block, "other", "other_at")
+    followers = found.where(kind(FOLLOWER)).select("hash", block, "key", "at").join(led, ["hash", "block"])
+    columns = "hash", "key", "at", "other", "other_at"
+    return discarded_after(materialize(found.where(~kind(FOLLOWER)).select(*columns).unionByName(followers.select(*columns)).where("key <> other"), name), found)
 
 
 def seed_matches(docs: DataFrame) -> DataFrame:
@@ -222,7 +231,7 @@ def seed_matches(docs: DataFrame) -> DataFrame:
         words, task = WordHashes(), TaskContext.get().partitionId() << 32
         for number, (keys, texts) in enumerate(_blocks(batches)):
             h, owner, place = seeds_of([words.of(t) for t in texts])
-            yield link_block(task | number, h, keys[owner], place, place)
+            yield link_block(task | number, h, keys[owner], place << FAR)
 
     return matched(docs.select("key", "text").mapInArrow(seed, ROW_SCHEMA), "seeds")
 
@@ -238,12 +247,13 @@ def context_matches(seeds: DataFrame) -> DataFrame:
                 place, h, low, low_place = (held.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
                 owner = np.repeat(np.arange(b.num_rows), held.value_lengths().to_numpy())
                 code, of, first, last = contexts_of(owner, place, h.view(np.uint64), low, low_place)
-                yield link_block(task | number, code, b.column("key").to_numpy()[of], first, last)
+                yield link_block(task | number, code, b.column("key").to_numpy()[of], first << FAR | last - first)
 
-    ends = seeds.select("key", "place", "hash", F.col("other").alias("low"), F.col("other_place").alias("low_place"))
-    firsts = seeds.select(F.col("other").alias("key"), F.col("other_place").alias("place"), "hash", F.col("other").alias("low"), F.col("other_place").alias("low_place"))
-    shared = ends.unionByName(firsts).groupBy("key", "place").agg(F.min(F.struct("hash", "low", "low_place")).alias("s"))
-    lists = shared.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "s.hash", "s.low", "s.low_place"))).alias("seeds"))
+    place, low_place = F.shiftright("at", FAR).alias("place"), F.shiftright("other_at", FAR)
+    ends = seeds.select("key", place, "hash", F.col("other").alias("low"), low_place.alias("low_place"))
+    firsts = seeds.select(F.col("other").alias("key"), low_place.alias("place"), "hash", F.col("other").alias("low"), low_place.alias("low_place"))
+    shared = ends.unionByName(firsts).groupBy("key", "place").agg(F.min("hash").alias("hash"), F.min("low").alias("low"), F.min("low_place").alias("low_place"))
+    lists = shared.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "hash", "low", "low_place"))).alias("seeds"))
     return matched(lists.mapInArrow(context, ROW_SCHEMA), "contexts")
 
 
@@ -251,9 +261,14 @@ def matches(docs: DataFrame) -> DataFrame:
     """key, other, place, other_place, words: equal words of a text (columns key, text) and of one of a lower key."""
     seeds = seed_matches(docs)
     contexts = context_matches(seeds)
-    plain = lambda df, end, words: df.select("key", "other", F.col(end).alias("place"), F.col(f"other_{end}").alias("other_place"), words.alias("words"))
-    run = F.col("hash") % 2 != 0
-    parts = plain(seeds, "place", F.lit(SEED)), plain(contexts, "place", F.when(run, F.col("last") - F.col("place")).otherwise(0) + SEED), plain(contexts.where(~run), "last", F.lit(SEED))
+    run, far = F.col("hash") % 2 != 0, lambda c: F.col(c).bitwiseAND((1 << FAR) - 1)
+    place = lambda c, after=0: (F.shiftright(c, FAR) + after).cast("int")
+    plain = lambda df, p, q, words: df.select("key", "other", p.alias("place"), q.alias("other_place"), words.cast("int").alias("words"))
+    parts = (
+        plain(seeds, place("at"), place("other_at"), F.lit(SEED)),
+        plain(contexts, place("at"), place("other_at"), F.when(run, far("at")).otherwise(0) + SEED),
+        plain(contexts.where(~run), place("at", far("at")), place("other_at", far("other_at")), F.lit(SEED)),
+    )
     return discarded_after(materialize(parts[0].unionByName(parts[1]).unionByName(parts[2]), "matches"), seeds, contexts)
 
 
@@ -320,10 +335,28 @@ def chains_of(pairs: np.ndarray, place: np.ndarray, other_place: np.ndarray, wor
     words = np.add.reduceat(anchors[:, 1] - anchors[:, 0] + SEED, edges[:-1])
     for k in np.flatnonzero(words >= LEAST // 2).tolist():
         own = anchors[edges[k] : edges[k + 1]]
-        for chain in [[0]] if len(own) == 1 else chain_anchors(own):
-            for piece in split_gaps(own[chain]):
-                if min(piece[-1, 1] - piece[0, 0], piece[-1, 3] - piece[0, 2]) + SEED >= LEAST // 2:
-                    yield int(of[edges[k]]), piece
+        pieces = [x for chain in ([[0]] if len(own) == 1 else chain_anchors(own)) for x in split_gaps(own[chain])]
+        for piece in needed([x for x in pieces if min(x[-1, 1] - x[0, 0], x[-1, 3] - x[0, 2]) + SEED >= LEAST // 2]):
+            yield int(of[edges[k]]), piece
+
+
+def needed(pieces: list[np.ndarray]) -> list[np.ndarray]:
+    """Pieces of chains of two texts without exact ones whose words others cover: where a word stands over and over, each place has one."""
+    exact = [x for x in pieces if len(x) == 1 and x[0, 1] - x[0, 0] + SEED >= LEAST]
+    out = [x for x in pieces if len(x) > 1 or x[0, 1] - x[0, 0] + SEED < LEAST]
+    exact.sort(key=lambda x: (int(x[0, 0]), -int(x[0, 1])))
+    end, best = -1, None  # words that are covered, and the piece that goes farthest of those that begin in them
+    for x in exact:
+        if best is not None and x[0, 0] > end:
+            out.append(best)
+            end, best = best[0, 1] + SEED, None
+        if x[0, 1] + SEED > end and (best is None or x[0, 1] > best[0, 1]):
+            if x[0, 0] > end:
+                out.append(x)
+                end = x[0, 1] + SEED
+            else:
+                best = x
+    return out if best is None else [*out, best]
 
 
 CHAIN_SCHEMA = "key long, other long, begin int, end int, other_begin int, other_end int, copy long, anchors array<int>"
