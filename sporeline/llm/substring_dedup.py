@@ -46,11 +46,11 @@ from sporeline.llm._edits import distance
 from sporeline.llm._shared import discard, discarded_after, materialize, salted_join, slices, table, unused
 
 WORD = re.compile(r"\w+")
-SEED, WINDOW = 5, 5
+SEED, WINDOW = 5, 4
 #: Words of a repeated stretch, of a chain in it, and the share of equal words, at least.
 MIN_WORDS, LEAST, SIMILAR = 40, 20, 0.8
-#: Words between anchors of a chain at most, and words beyond its ends that are looked at.
-MAX_GAP, MARGIN = 25, 16
+#: Words between anchors of a chain at most, words beyond its ends that are looked at, and those that count when a text's chains are too few for a stretch.
+MAX_GAP, MARGIN, REACH = 25, 16, 10
 #: What a word between anchors costs in either text; an anchor's word is worth 1. Alignment judges what is chained.
 GAP = 0.15
 #: Bytes of text that seeds are linked in at once, and rows of matches that are chained at once.
@@ -215,7 +215,7 @@ def matched(rows: DataFrame, name: str) -> DataFrame:
     """hash, key, at, other, other_at for rows (ROW_SCHEMA): each with the first place of its hash in the text of the lowest key that has it, if that is another text."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = lambda k: F.col("tag").bitwiseAND(3) == k
-    dealt = rows.repartition(n, F.when(kind(FOLLOWER), F.col("key")).otherwise(F.col("hash"))).sortWithinPartitions("hash")
+    dealt = rows.repartition(n, F.when(kind(FOLLOWER), F.xxhash64("key", "at")).otherwise(F.col("hash"))).sortWithinPartitions("hash")
     found = materialize(dealt.mapInArrow(_match, MATCH_SCHEMA), name)
     block = F.shiftright("tag", 2).alias("block")
     led = found.where(kind(FIRST_OF_BLOCK)).select("hash", block, "other", "other_at")
@@ -257,10 +257,8 @@ def context_matches(seeds: DataFrame) -> DataFrame:
     return matched(lists.mapInArrow(context, ROW_SCHEMA), "contexts")
 
 
-def matches(docs: DataFrame) -> DataFrame:
-    """key, other, place, other_place, words: equal words of a text (columns key, text) and of one of a lower key."""
-    seeds = seed_matches(docs)
-    contexts = context_matches(seeds)
+def matches(seeds: DataFrame, contexts: DataFrame) -> DataFrame:
+    """key, other, place, other_place, words: equal words of a text and of one of a lower key, from both kinds of matches."""
     run, far = F.col("hash") % 2 != 0, lambda c: F.col(c).bitwiseAND((1 << FAR) - 1)
     place = lambda c, after=0: (F.shiftright(c, FAR) + after).cast("int")
     plain = lambda df, p, q, words: df.select("key", "other", p.alias("place"), q.alias("other_place"), words.cast("int").alias("words"))
@@ -269,7 +267,7 @@ def matches(docs: DataFrame) -> DataFrame:
         plain(contexts, place("at"), place("other_at"), F.when(run, far("at")).otherwise(0) + SEED),
         plain(contexts.where(~run), place("at", far("at")), place("other_at", far("other_at")), F.lit(SEED)),
     )
-    return discarded_after(materialize(parts[0].unionByName(parts[1]).unionByName(parts[2]), "matches"), seeds, contexts)
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def chain_anchors(anchors: np.ndarray) -> list[list[int]]:
@@ -513,8 +511,11 @@ def passages(docs: DataFrame) -> DataFrame:
 
     spark = docs.sparkSession
     texts = docs.select("key", "text").mapInArrow(once, "key long, text string").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
-    found_matches = matches(docs)
-    found = discarded_after(materialize(chains(found_matches), "chains"), found_matches)
+    seeds = seed_matches(docs)
+    contexts = context_matches(seeds)
+    linked = discarded_after(materialize(chains(matches(seeds, contexts)), "chains"), seeds, contexts)
+    reach = linked.withColumn("chain_start", F.col("anchors")[0] - REACH).withColumn("chain_end", F.element_at("anchors", -3) + SEED + REACH)
+    found = discarded_after(materialize(stretches(reach).select(*linked.columns), "chains"), linked)
     asked = found.select("key", "begin", "end", F.lit(0).cast("long").alias("copy")).unionByName(found.select(F.col("other").alias("key"), F.col("other_begin").alias("begin"), F.col("other_end").alias("end"), "copy"))
     spans = asked.groupBy("key").agg(F.collect_set(F.struct("begin", "end", "copy")).alias("spans"))
     cuts = texts.join(spans, "key").select("key", "text", "spans").mapInArrow(cut, "key long, begin int, end int, copy long, window binary")
