@@ -7,15 +7,20 @@ Turan system: any 4 positions contain one of them, so every pair that reaches th
 list, the equal bytes of a pair are tallied, pairs with 4 or more are kept, and their differing bits are counted.
 
 A list of more than LONG fingerprints is split by a fourth byte: each of its pairs shares one of the other five bytes,
-so five lists for each triple, of the byte found there, still hold every pair.
+so five lists for each triple, of the byte found there, still hold every pair. Lists that hold more than a HOT-th of all
+postings, of which there are less than HOT, are split before the shuffle, others by the task that meets them; so the
+comparisons of lists are bounded by LONG for each posting, or by 32-bit keys.
 
 Equal fingerprints are one class, so copies are never paired. Of a list only a forest of its links is handed on: short
 lists are compared in whole-array steps, and in long ones a link's end is set aside once reached, so that a large
 group of near copies costs about its size and not its square. Components are found by rounds of Spark joins.
 
+Documents of one fingerprint, and fingerprints of one component, may be a third of all: the joins that name them deal
+such groups to many tasks.
+
 A text that is null or has no word has fingerprint zero. Rows with a null doc_id take part, but don't name a
 component; a component with no doc_id has a null name. Repeated rows and doc_ids each keep their row. Extra columns
-don't matter; an empty table gives an empty result.
+don't matter, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sporeline.llm._components import components
-from sporeline.llm._shared import materialize, slices, table
+from sporeline.llm._shared import HOT, materialize, salted_join, slices, table, unused
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: Texts' shingles that are hashed at once.
@@ -136,38 +141,68 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key, fp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp"))
-            hot = b.column("hot").to_numpy(zero_copy_only=False).astype(bool)
-            k, f = key[hot], np.ascontiguousarray(fp[hot])
-            bytes_ = np.take_along_axis(f.view(np.uint8).reshape(-1, 8).astype(np.int64), OTHERS[k >> 24], axis=1)
-            deeper = 1 << 40 | k[:, None] << 11 | np.arange(OTHERS.shape[1]) << 8 | bytes_
-            yield pa.record_batch([pa.array(np.r_[key[~hot], deeper.ravel()]), pa.array(np.r_[fp[~hot], np.repeat(f, OTHERS.shape[1])])], names=["key", "fp"])
+            yield deeper(key, fp)
+
+    def deeper(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        bytes_ = np.take_along_axis(np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8).astype(np.int64), OTHERS[key >> 24], axis=1)
+        keys = 1 << 40 | key[:, None] << 11 | np.arange(OTHERS.shape[1]) << 8 | bytes_
+        return pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(fp, OTHERS.shape[1]))], names=["key", "fp"])
+
+    def meet(batches: Iterator[pa.RecordBatch], longest: int | None = None) -> Iterator[pa.RecordBatch]:
+        """Links (key null, a, b) of whole lists, and the postings (key, a, b null) of those of more than longest fingerprints, split."""
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for a, b in list_links(keys, fps.astype(np.int64).view(np.uint64), max_bits):
-                yield pa.record_batch([pa.array(a.astype(np.uint64).view(np.int64)), pa.array(b.astype(np.uint64).view(np.int64))], names=["a", "b"])
+            edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+            long = np.repeat(np.diff(edges) > longest, np.diff(edges)) if longest else np.zeros(len(keys), bool)
+            if long.any():
+                yield postings(keys[long], fps[long])
+            for a, b in list_links(keys[~long], fps[~long].astype(np.int64).view(np.uint64), max_bits):
+                yield pa.record_batch([pa.nulls(len(a), pa.int64()), pa.array(a.astype(np.uint64).view(np.int64)), pa.array(b.astype(np.uint64).view(np.int64))], names=["key", "a", "b"])
+
+        def postings(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+            x = deeper(keys, fps)
+            return pa.record_batch([x.column("key"), x.column("fp"), pa.nulls(x.num_rows, pa.int64())], names=["key", "a", "b"])
 
         keys, fps, size = [], [], 0
+        going = None  # the key of a list that is split as it comes
         for b in batches:
-            if not b.num_rows:
+            key, fp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp"))
+            if going is not None and len(key):
+                n = int(np.searchsorted(key, going, "right"))
+                if n:
+                    yield postings(key[:n], fp[:n])
+                key, fp, going = key[n:], fp[n:], going if n == len(key) else None
+            if not len(key):
                 continue
-            keys.append(b.column("key").to_numpy(zero_copy_only=False))
-            fps.append(b.column("fp").to_numpy(zero_copy_only=False))
-            size += b.num_rows
-            if size >= ROWS and keys[0][0] != keys[-1][-1]:
+            keys.append(key)
+            fps.append(fp)
+            size += len(key)
+            if size >= ROWS:
                 k, f = np.concatenate(keys), np.concatenate(fps)
                 last = int(np.searchsorted(k, k[-1]))  # the last list may go on
-                yield from out(k[:last], f[:last])
-                keys, fps, size = [k[last:]], [f[last:]], len(k) - last
+                if last:
+                    yield from out(k[:last], f[:last])
+                k, f = k[last:], f[last:]
+                if longest and len(k) > longest:
+                    yield postings(k, f)
+                    going, k, f = k[-1], k[:0], f[:0]
+                keys, fps, size = ([k], [f], len(k)) if len(k) else ([], [], 0)
         if size:
             yield from out(np.concatenate(keys), np.concatenate(fps))
 
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    posted = fps.select("fp").mapInArrow(post, "key long, fp long")
-    hot = posted.groupBy("key").count().where(F.col("count") > LONG).select("key", F.lit(True).alias("hot"))
-    flagged = posted.join(F.broadcast(hot), "key", "left").select("key", "fp", F.coalesce("hot", F.lit(False)).alias("hot"))
-    lists = flagged.mapInArrow(split, "key long, fp long").repartition(n, "key").sortWithinPartitions("key")
-    return lists.mapInArrow(meet, "a long, b long").distinct()
+    links_, schema = "key long, a long, b long", "key long, fp long"
+    posted = fps.select("fp").mapInArrow(post, schema)
+    # a sketch of the frequent keys: less than HOT of them, whatever the input
+    hot = [x for x in posted.select("key").stat.freqItems(["key"], 1 / HOT).first()[0] or [] if x is not None]
+    often = posted.where(F.col("key").isin(hot)).groupBy("key").count().where(F.col("count") > LONG).select("key").collect() if hot else []
+    hot = [x.key for x in often]
+    lists = posted.where(~F.col("key").isin(hot)).unionByName(posted.where(F.col("key").isin(hot)).mapInArrow(split, schema)) if hot else posted
+    dealt = lambda df: df.repartition(n, "key").sortWithinPartitions("key")
+    # keys of split lists have bit 40
+    met = materialize(dealt(lists).mapInArrow(lambda x: meet(x, LONG), links_), "links")
+    rest = dealt(met.where("key IS NOT NULL").select("key", F.col("a").alias("fp"))).mapInArrow(meet, links_)
+    return met.where("key IS NULL").select("a", "b").unionByName(rest.select("a", "b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -175,10 +210,10 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, text: str = "text
     fps = materialize(fingerprints(docs, text, key), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(classes, max_bits))
-    grouped = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    grouped = materialize(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "classes")
     lowest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = grouped.join(lowest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = salted_join(grouped, lowest, "root").select("fp", "component_id")
+    return salted_join(fps, named, "fp", spread="doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -187,8 +222,9 @@ def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS, text: str = "text", k
     A doc_id on several rows stays if any of them is the first of its group; rows without a doc_id all stay.
     """
     groups = near_duplicates(docs, max_bits, text, key).where("doc_id IS NOT NULL")
-    gone = groups.groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("_first")).where("NOT _first")
-    return docs.join(gone, docs[key].cast("long") == F.col("_gone"), "left_anti")
+    name = unused(docs, "gone")
+    gone = groups.groupBy(F.col("doc_id").alias(name)).agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first")).where("NOT first").select(name)
+    return docs.join(gone, docs[key].cast("long") == gone[name], "left_anti")
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
