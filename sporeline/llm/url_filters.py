@@ -7,8 +7,9 @@ hosts of a day are judged once: they meet the intervals of their host and of all
 the pattern and a range of dates, the longest pattern in force decides, and the verdict goes back to every capture.
 
 A url that is null or has no host is allowed and has no host. A capture without a date meets no entry. Changes with a
-null pattern, date or action don't count; repeated changes count once. Repeated captures each keep their row, extra
-columns don't matter, and an empty list allows all.
+null pattern, date or action don't count; repeated changes count once. Repeated captures each keep their row, and an
+empty list allows all. Extra columns don't matter; a kept column with the name of a result column is returned with
+"kept_" before its name. Domains with very many hosts, and hosts with very many captures on a day, are dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -16,11 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sporeline.llm._shared import table
-
-#: Parent domains of a host that the SQL looks up, its own name included; judge() looks up all of them.
-LEVELS = 8
-
+from sporeline.llm._shared import salted_join, table
 
 def host_of(url: Column) -> Column:
     """The lower-cased host of an absolute url, without user, port and leading www; null if there is none."""
@@ -50,16 +47,22 @@ def judge(captures: DataFrame, changes: DataFrame, keep: tuple[str, ...] = ("pag
     captures has url and fetched_on beside keep's columns. The same days' equal hosts are one row in the join, so that
     a host with many captures weighs no more than its days.
     """
-    seen = captures.select(*keep, host_of(F.col("url")).alias("host"), F.col("fetched_on"))
-    visits = seen.where("host IS NOT NULL AND fetched_on IS NOT NULL").select("host", "fetched_on").distinct()
-    named = visits.select("host", "fetched_on", F.explode(_names(F.col("host"))).alias("pattern"))
+    kept = F.struct(*(captures[c].alias(f"kept_{c}" if c.lower() in RESULT else c) for c in keep))
+    seen = captures.select(kept.alias("kept"), host_of(captures["url"]).alias("host"), captures["fetched_on"].alias("fetched_on"))
+    seen = seen.withColumn("visit", F.xxhash64("host", "fetched_on"))
+    visits = seen.where("host IS NOT NULL AND fetched_on IS NOT NULL").select("visit", "host", "fetched_on").distinct()
+    named = visits.select("*", F.explode(_names(F.col("host"))).alias("pattern"))
     valid = intervals(changes)
-    active = named.join(valid, "pattern").where((F.col("fetched_on") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_on") < F.col("valid_to"))))
-    longest = active.groupBy("host", "fetched_on").agg(F.max_by(F.struct("pattern", "action"), F.length("pattern")).alias("e"))
-    verdicts = longest.select("host", "fetched_on", "e.pattern", "e.action")
-    return seen.join(verdicts, ["host", "fetched_on"], "left").select(*keep, "host", "fetched_on", "pattern", "action", F.coalesce(F.col("action") == "block", F.lit(False)).alias("blocked"))
+    active = salted_join(named, valid, "pattern", spread="visit").where((F.col("fetched_on") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_on") < F.col("valid_to"))))
+    longest = active.groupBy("visit", "host", "fetched_on").agg(F.max_by(F.struct("pattern", "action"), F.length("pattern")).alias("e"))
+    verdicts = longest.select("visit", F.struct("host", "fetched_on").alias("of"), "e")
+    both = salted_join(seen, verdicts.groupBy("visit").agg(F.collect_list(F.struct("of", "e")).alias("found")), "visit", "left")  # one verdict, but for equal hashes
+    e = F.filter("found", lambda x: (x["of"]["host"] == F.col("host")) & (x["of"]["fetched_on"] == F.col("fetched_on")))[0]["e"]
+    out = both.select("kept", "host", "fetched_on", e.alias("e"))
+    return out.select("kept.*", "host", "fetched_on", "e.pattern", "e.action", F.coalesce(F.col("e.action") == "block", F.lit(False)).alias("blocked"))
 
 
+RESULT = ("host", "fetched_on", "pattern", "action", "blocked")
 # The first day of captures, and the days they span.
 FIRST_DAY, DAYS = "2024-01-01", 365
 
@@ -108,9 +111,9 @@ def _sql_digits(text: str, at: int) -> str:
     return f"(('0x' || substr(md5({text}), {at}, 3))::INTEGER)"
 
 
-_SQL_NAMES = f"""
+_SQL_NAMES = """
   SELECT DISTINCT host, array_to_string(l[i:], '.') AS pattern
-  FROM (SELECT host, l, unnest(range(1, least(greatest(len(l) - 1, 1), {LEVELS}) + 1)) AS i FROM (SELECT DISTINCT host, string_split(host, '.') AS l FROM cap WHERE host IS NOT NULL))
+  FROM (SELECT host, l, unnest(range(1, greatest(len(l) - 1, 1) + 1)) AS i FROM (SELECT DISTINCT host, string_split(host, '.') AS l FROM cap WHERE host IS NOT NULL))
 """
 ORACLE_SQL = rf"""
 WITH cap AS (
