@@ -1,7 +1,9 @@
 """Quality rules: a threshold table compiled into one projection of native functions.
 
 Nulls and empty texts count as texts without words, and so fail the base rules. Repeated rows and repeated
-doc_ids are judged row by row; extra columns of the input don't matter. An empty table gives an empty result.
+doc_ids are judged row by row, and texts of any length alike. Extra columns of the input don't matter; a kept column with
+the name of a result column is returned with "kept_" before its name. An empty table gives an empty result.
+Rules on the length of words and on stop words speak only of texts that are mostly written in Latin letters.
 """
 
 from __future__ import annotations
@@ -17,12 +19,14 @@ from sporeline.llm._shared import let, table
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 
-# Common function words of English, German, French and Spanish.
+# Common function words of English, German, French, Spanish, Portuguese, Italian, Dutch, Polish, Turkish and Swedish.
 STOP_WORDS = """
 the of and to in is that it for on with as was be by are this an or from at have not
 der die das und zu den von mit sich des auf für ist im dem nicht ein eine als auch es an
 le la les de des et un une du en que qui dans est pour au sur par ne se plus pas avec
 el los las y del se por con no una su para como más al lo o pero sus
+os um uma não com do da em ao il di che per sono gli della het een van dat met niet voor
+nie się na jest że jak ale bir ve bu için ile daha och att som på är inte med av
 """.split()
 
 
@@ -30,7 +34,7 @@ el los las y del se por con no una su para como más al lo o pero sus
 class Rule:
     """Keeps a document if low <= 100 * count / per <= high; a bound that is None doesn't hold.
 
-    It speaks only of documents with at_least words.
+    It speaks only of documents with at_least words, and if latin only of those with Latin letters for half of their characters.
     """
 
     name: str
@@ -39,14 +43,14 @@ class Rule:
     low: int | None
     high: int | None
     at_least: int = 0
+    latin: bool = False
 
 
 #: Counts are those of measures(); bounds are in hundredths.
 RULES = (
-    Rule("word_length", "word_chars", "n_words", 200, 1500),
-    Rule("longest_text", "n_words", "one", None, 100 * 10_000_000),
+    Rule("word_length", "word_chars", "n_words", 200, 1500, latin=True),
     Rule("symbols", "n_symbols", "n_words", None, 30),
-    Rule("stop_words", "n_stop_words", "n_words", 1, None, at_least=60),
+    Rule("stop_words", "n_stop_words", "n_words", 1, None, at_least=60, latin=True),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 50),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", None, 30),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", None, 90),
@@ -93,8 +97,8 @@ def measures(text: Column) -> Column:
             n(F.size(F.filter(x, lambda s: F.substring(s, 1, 1).isin("-", "*", "•"))), "n_bullet_lines"),
         )
 
-    symbols = F.coalesce(F.regexp_count(text, F.lit("[#*$%&|<>]")), F.lit(0)).cast("long")
-    return F.struct(let(words, counts).alias("w"), let(lines, of_lines).alias("l"), symbols.alias("n_symbols"))
+    found = lambda pattern, name: F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long").alias(name)
+    return F.struct(let(words, counts).alias("w"), let(lines, of_lines).alias("l"), found("[#*$%&|<>]", "n_symbols"), found("[A-Za-z]", "n_latin"))
 
 
 def base_failed(of=F.col) -> Column:
@@ -105,21 +109,24 @@ def verdict(rules: tuple[Rule, ...] = RULES, of=F.col) -> Column:
     """The rules as one boolean expression over the counts; of gives a count's column by its name."""
     kept = F.lit(True)
     for r in rules:
-        per = F.lit(1) if r.per == "one" else of(r.per)
+        per = of(r.per)
         holds = F.lit(True)
         if r.low is not None:
             holds &= 100 * of(r.count) >= r.low * per
         if r.high is not None:
             holds &= 100 * of(r.count) <= r.high * per
-        kept &= holds | (of("n_words") < r.at_least)
+        kept &= holds | (of("n_words") < r.at_least) | (2 * of("n_latin") < of("word_chars") if r.latin else F.lit(False))
     return kept
 
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep's columns with the counts, base_failed and kept, for each row of docs."""
-    taken = docs.select(*(F.col(c) for c in keep), measures(F.col(text)).alias("_m"))
-    counts = taken.select(*keep, "_m.w.*", "_m.l.*", "_m.n_symbols")
-    return counts.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & verdict(rules)})
+    kept = F.struct(*(docs[c].alias(f"kept_{c}" if c.lower() in RESULT else c) for c in keep))
+    counts = docs.select(kept.alias("row"), measures(docs[text]).alias("m")).select("row", "m.w.*", "m.l.*", "m.n_symbols", "m.n_latin")
+    return counts.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & verdict(rules)}).select("row.*", *RESULT)
+
+
+RESULT = ("n_words", "word_chars", "n_stop_words", "n_repeat_words", "n_lines", "n_dup_lines", "n_ellipsis_lines", "n_bullet_lines", "n_symbols", "n_latin", "base_failed", "kept")
 
 
 def kept_rows(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
@@ -130,7 +137,7 @@ def kept_rows(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "tex
         of = lambda name: m["w"][name] if name in w else m["l"][name] if name in lines else m[name]
         return ~base_failed(of) & verdict(rules, of)
 
-    return docs.where(let(measures(F.col(text)), judged))
+    return docs.where(let(measures(docs[text]), judged))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,9 +147,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql_rules(rules: tuple[Rule, ...] = RULES) -> str:
     parts = []
     for r in rules:
-        per = "1" if r.per == "one" else r.per
-        both = [f"100 * {r.count} >= {r.low} * {per}"] * (r.low is not None) + [f"100 * {r.count} <= {r.high} * {per}"] * (r.high is not None)
-        parts.append(f"({' AND '.join(both)} OR n_words < {r.at_least})")
+        both = [f"100 * {r.count} >= {r.low} * {r.per}"] * (r.low is not None) + [f"100 * {r.count} <= {r.high} * {r.per}"] * (r.high is not None)
+        parts.append(f"({' AND '.join(both)} OR n_words < {r.at_least}{' OR 2 * n_latin < word_chars' * r.latin})")
     return " AND ".join(parts)
 
 
@@ -161,6 +167,7 @@ WITH t AS (
 ), c AS (
   SELECT t.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::BIGINT AS n_latin,
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
          len(l)::BIGINT AS n_lines,
          len(list_filter(w, lambda x: lower(x) IN ({", ".join(f"'{x}'" for x in dict.fromkeys(STOP_WORDS))})))::BIGINT AS n_stop_words,

@@ -8,6 +8,8 @@ import pytest
 import xxhash
 from compare import assert_same
 
+from pyspark.sql import functions as F
+
 from sporeline.llm import decontamination, quality_rules, simhash_dedup, url_filters
 from sporeline.llm._components import components
 from sporeline.llm._edits import distance
@@ -225,3 +227,31 @@ def test_a_listed_domain_covers_hosts_of_many_labels(spark):
     changes = spark.createDataFrame([("example.com", "block")], "pattern string, action string").selectExpr("*", "DATE '2024-01-01' AS changed_on")
     got = {r.page_id: (r.pattern, r.blocked) for r in url_filters.judge(captures, changes).collect()}
     assert got == {1: ("example.com", True), 2: (None, False)}
+
+
+def test_kept_columns_with_names_of_result_columns(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog " * 3, 7, "h")], "doc_id long, text string, n_words long, host string")
+    got = quality_rules.apply_rules(docs, keep=("doc_id", "n_words", "host")).first()
+    assert (got.doc_id, got.kept_n_words, got.host, got.n_words) == (1, 7, "h", 15)
+    captures = spark.createDataFrame([(1, "http://spam.org/x", 7, "h")], "page_id long, url string, blocked int, host string").withColumn("fetched_on", F.to_date(F.lit("2024-02-01")))
+    changes = spark.createDataFrame([("spam.org", "2024-01-01", "block")], "pattern string, changed_on string, action string").withColumn("changed_on", F.to_date("changed_on"))
+    got = url_filters.judge(captures, changes, keep=("page_id", "blocked", "host")).first()
+    assert (got.page_id, got.kept_blocked, got.kept_host, got.host, got.blocked) == (1, 7, "h", "spam.org", True)
+    names = "doc_id long, text string, gone long, first boolean, fp long, component_id long, key string"
+    held = spark.createDataFrame([(1, "a b c d e f", 1, True, 2, 3, "k"), (2, "a b c d e f", 1, True, 2, 3, "k")], names)
+    kept = simhash_dedup.one_of_each(held)
+    assert kept.columns == held.columns and [r.doc_id for r in kept.collect()] == [1]
+
+
+def test_clean_texts_in_other_languages_are_kept(spark):
+    russian = "Солнце медленно поднималось над рекой когда старый рыбак вышел из дома и посмотрел на далёкий берег. " * 1
+    texts = [" ".join(f"{w}{i}" for i in range(6) for w in russian.split()), "Słońce powoli wschodziło nad rzeką " + " ".join(f"kiedy{i} stary rybak{i} wyszedł{i} z domu{i} i nie{i} spojrzał{i} na brzeg{i}" for i in range(8))]
+    rows = quality_rules.apply_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r.kept and r.n_words >= 60 for r in rows)
+
+
+def test_a_popular_domain_and_a_popular_host(spark):
+    captures = spark.range(20000).selectExpr("id AS page_id", "CASE WHEN id % 3 = 0 THEN 'http://one.big.com/' WHEN id % 3 = 1 THEN concat('http://h', id, '.big.com/') ELSE concat('http://', id, '.org/') END AS url", "DATE '2024-02-01' AS fetched_on")
+    changes = spark.createDataFrame([("big.com", "block"), ("one.big.com", "allow")], "pattern string, action string").withColumn("changed_on", F.to_date(F.lit("2024-01-01")))
+    got = {(r.kind, r.blocked): r.n for r in url_filters.judge(captures, changes).groupBy(F.expr("page_id % 3").alias("kind"), "blocked").agg(F.count("*").alias("n")).collect()}
+    assert got == {(0, False): 6667, (1, True): 6667, (2, False): 6666}
