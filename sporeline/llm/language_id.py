@@ -3,22 +3,26 @@
 A text is its words (runs of letters, lower-cased), each between boundary marks; a character is predicted from the
 ORDER - 1 characters before it in its word. N-grams are counted with Spark over a bounded sample of labelled texts;
 lower orders count the different characters that stand before an n-gram. Each order keeps its n-grams and contexts as
-sorted 64-bit hashes beside a column of values for each language. The language with the lowest cross-entropy per
+sorted 64-bit hashes, and for each of them the languages that have it with their values. The language with the lowest cross-entropy per
 character is chosen; of equal ones, the first by name.
 
 Rejection is calibrated on labelled texts that no model was fitted on: a prediction is accepted while its
 cross-entropy is at most the quantile CALIBRATED of what texts of that language have.
 
-Texts that are null or have no letter are `und` with score 0, as are all texts where nothing was learned. Rows are
-judged one by one, whatever their doc_id and other columns; long texts are read whole; an empty table gives an
-empty result.
+Letters are the characters of Unicode's categories L, in training and prediction alike. Texts that are null or have no
+letter are `und` with score 0, as are all texts where nothing was learned. Rows are judged one by one, whatever their
+doc_id and other columns; long texts are read whole; an empty table gives an empty result, and no labels at all give
+models that call every text `und`. Of labels, the LANGUAGES most frequent ones are learned; a label's sample has FITTED
+texts and CALIBRATING ones at most, of MAX_CHARS characters or less. Rows with one doc_id and label count as often as they stand there.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +31,15 @@ from pyspark.sql import functions as F
 
 from sporeline.llm._shared import slices, table
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W\d_]+")  # letters, and numbers that aren't digits
 ORDER, DISCOUNT = 5, 0.75
 START, END = "\x02", "\x03"
-#: Labelled texts of a language that models are fitted on at most, and those that calibrate rejection.
-FITTED, CALIBRATING, CALIBRATED = 1200, 300, 0.99
-#: Different words whose scores a worker keeps.
-CACHED = 300_000
+#: Labelled texts of a language that models are fitted on at most, and those that calibrate rejection; both within Spark's limit for ranking before a shuffle.
+FITTED, CALIBRATING, CALIBRATED = 1000, 250, 0.99
+#: Labels that are learned at most, and characters of a text that is learned from.
+LANGUAGES, MAX_CHARS = 500, 1_000_000
+#: Scores of different words that a worker keeps, and words that are scored at once, times languages.
+CACHED, AT_ONCE = 1_200_000, 80_000
 #: Characters that count as independent at most when scores are compared.
 EVIDENCE = 25
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -53,13 +59,58 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
 
 
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters, lower-cased."""
+    words = WORD.findall((text or "").lower())
+    if "".join(words).isalpha():
+        return words
+    return ["".join(run) for w in words for letters, run in groupby(w, str.isalpha) if letters]
+
+
+@dataclass
+class Sparse:
+    """Sorted hashes; the entries starts[k] to starts[k + 1] of the k-th one have a language each, and its values."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    languages: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, held: list[dict[str, tuple[float, ...]]], order: int, width: int) -> Sparse:
+        names = list(dict.fromkeys(g for x in held for g in x))
+        place = {g: i for i, g in enumerate(names)}
+        codes = _codes("".join(names))
+        keys = _hashes(codes, order)[order - 1 :: order] if order and names else np.full(len(names), _hashes(np.zeros(1, np.uint64), 0)[0])
+        by = np.argsort(keys, kind="stable")
+        rank = np.empty(len(names), np.int64)
+        rank[by] = np.arange(len(names))
+        row = rank[np.array([place[g] for x in held for g in x], np.int64)]
+        language = np.repeat(np.arange(len(held)), [len(x) for x in held])
+        values = np.array([v for x in held for v in x.values()], float).reshape(-1, width)
+        order_ = np.lexsort((language, row))
+        return cls(keys[by], np.r_[0, np.cumsum(np.bincount(row, minlength=len(names)))], language[order_], values[order_])
+
+    def find(self, keys: np.ndarray, n: int, missing: tuple[float, ...]) -> list[np.ndarray]:
+        """For each value a table of keys by n languages."""
+        out = [np.full((len(keys), n), m) for m in missing]
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
+            hit = np.flatnonzero(self.hashes[at] == keys)
+            first, sizes = self.starts[at[hit]], self.starts[at[hit] + 1] - self.starts[at[hit]]
+            entry = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+            for k, x in enumerate(out):
+                x[np.repeat(hit, sizes), self.languages[entry]] = self.values[entry, k]
+        return out
+
+
 @dataclass
 class Models:
-    """languages, and for each order: hashes of n-grams with their weights, hashes of contexts with the weight left to the order below."""
+    """languages, and for each order: n-grams with their discounted counts, contexts with their totals and the weight left to the order below."""
 
     languages: list[str]
-    grams: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    contexts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    grams: list[Sparse] = field(default_factory=list)
+    contexts: list[Sparse] = field(default_factory=list)
     uniform: float = 1.0
     limits: dict[str, float] = field(default_factory=dict)
 
@@ -82,33 +133,16 @@ class Models:
                     lower[i][rest] = lower[i].get(rest, 0) + (n if rest[:1] == START else 1)
             counts = lower
         for k, held in enumerate(reversed(tables), 1):
-            out.grams.append(cls._sorted([{g: max(0.0, n - discount) for g, n in x.items()} for x in held], k, 0.0))
+            out.grams.append(Sparse.of([{g: (max(0.0, n - discount),) for g, n in x.items()} for x in held], k, 1))
             totals: list[dict[str, list[float]]] = [{} for _ in held]
             for i, x in enumerate(held):
                 for g, n in x.items():
                     t = totals[i].setdefault(g[:-1], [0.0, 0.0])
                     t[0] += n
                     t[1] += 1
-            out.contexts.append(cls._sorted([{h: t for h, (t, _) in x.items()} for x in totals], k - 1, 0.0, [{h: discount * d / t for h, (t, d) in x.items()} for x in totals], 1.0))
+            out.contexts.append(Sparse.of([{h: (t, discount * d / t) for h, (t, d) in x.items()} for x in totals], k - 1, 2))
         return out
 
-    @staticmethod
-    def _sorted(values: list[dict[str, float]], order: int, missing: float, also: list[dict[str, float]] | None = None, missing_also: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        names = list(dict.fromkeys(g for x in values for g in x))
-        rows = np.array([[x.get(g, missing) for x in values] + [x.get(g, missing_also) for x in also or []] for g in names], float).reshape(len(names), -1)
-        codes = np.frombuffer("".join(names).encode("utf-32-le"), "<u4").astype(np.uint64)
-        keys = _hashes(codes, order)[order - 1 :: order] if order else np.full(len(names), _hashes(np.zeros(1, np.uint64), 0)[0])
-        by = np.argsort(keys, kind="stable")
-        return keys[by], rows[by]
-
-    @staticmethod
-    def _find(kept: tuple[np.ndarray, np.ndarray], keys: np.ndarray, missing: np.ndarray) -> np.ndarray:
-        hashes, rows = kept
-        if not len(hashes):
-            return np.broadcast_to(missing, (len(keys), len(missing)))
-        at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
-        return np.where((hashes[at] == keys)[:, None], rows[at], missing)
-
     def word_costs(self, words: list[str]) -> np.ndarray:
         """Nats that each word, with its end mark, costs under each language's model."""
         n, pad = len(self.languages), START * (len(self.grams) - 1)
@@ -118,9 +152,8 @@ class Models:
         at = np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
         p = np.full((len(at), n), self.uniform)
         for k in range(1, len(self.grams) + 1):
-            context = self._find(self.contexts[k - 1], _hashes(codes, k - 1)[at - 1] if k > 1 else np.full(len(at), _hashes(codes[:1], 0)[0]), np.r_[np.zeros(n), np.ones(n)])
-            total, left = context[:, :n], context[:, n:]
-            p = self._find(self.grams[k - 1], _hashes(codes, k)[at], np.zeros(n)) / np.maximum(total, 1e-300) * (total > 0) + left * p
+            total, left = self.contexts[k - 1].find(_hashes(codes, k - 1)[at - 1] if k > 1 else np.full(len(at), _hashes(codes[:1], 0)[0]), n, (0.0, 1.0))
+            p = self.grams[k - 1].find(_hashes(codes, k)[at], n, (0.0,))[0] / np.maximum(total, 1e-300) * (total > 0) + left * p
         return np.add.reduceat(-np.log(p), np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
 
 
@@ -133,12 +166,13 @@ class Scorer:
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Characters of each text, and its nats per character under each language."""
-        words = [WORD.findall((t or "").lower()) for t in texts]
-        if len(self.at) > CACHED:
+        words = [words_of(t) for t in texts]
+        if len(self.at) * max(1, len(self.models.languages)) > CACHED:
             self.at, self.costs = {}, self.costs[:0]
         new = list(set().union(*words).difference(self.at)) if words else []
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
+        step = max(1, AT_ONCE // max(1, len(self.models.languages)))
+        for k in range(0, len(new), step):
+            part = new[k : k + step]
             self.at.update(zip(part, range(len(self.costs), len(self.costs) + len(part)), strict=True))
             self.costs = np.vstack([self.costs, self.models.word_costs(part)])
         n = np.array([sum(map(len, w)) + len(w) for w in words])
@@ -151,8 +185,6 @@ class Scorer:
 
 def predict(docs: DataFrame, models: Models, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, lang_pred, score, cross_entropy, accepted for each row of docs."""
-    if len(models.languages) > 1000:
-        raise ValueError("the models are sent to every task; 1000 languages are the most")
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,24 +208,36 @@ def predict(docs: DataFrame, models: Models, text: str = "text", key: str = "doc
 
 def top_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """lang, gram, n: the n-grams of the highest order in docs' words (columns text and lang)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            held = Counter((x, w) for x, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True) for w in words_of(t))
+            yield pa.record_batch([pa.array([x for x, _ in held], pa.string()), pa.array([w for _, w in held], pa.string()), pa.array(list(held.values()), pa.int64())], names=["lang", "word", "n"])
+
     pad = START * (order - 1)
-    found = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)
-    words = docs.select("lang", F.explode(found).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    words = docs.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     padded = F.concat(F.lit(pad), F.col("word"), F.lit(END))
     grams = F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(padded, i, F.lit(order)))
     return words.select("lang", "n", F.explode(grams).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def train(labelled: DataFrame, fitted: int = FITTED, calibrating: int = CALIBRATING) -> Models:
-    """Models from at most fitted + calibrating texts of each language, the lowest by a hash of doc_id (columns doc_id, text, lang)."""
-    usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("doc_id", "lang").withColumn("r", rank).where(F.col("r") <= fitted + calibrating)
-    sample = usable.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "r").persist()
-    fit = F.col("r") % (fitted + calibrating) % 5 != 4 if calibrating else F.lit(True)
+    """Models from at most fitted + calibrating texts of each language, the lowest by a hash of doc_id (columns doc_id, text, lang).
+
+    Every fifth hash is kept for calibration. Each task ranks its own rows first and hands on those within the limit only.
+    """
+    usable = labelled.where(f"lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL AND length(text) <= {MAX_CHARS}")
+    often = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang").collect()
+    usable = usable.where(F.col("lang").isin([x.lang for x in often])) if often else usable.where("false")
+    part = F.when(F.lit(calibrating > 0), (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 4).cast("int")).otherwise(0)
+    rank = F.row_number().over(Window.partitionBy("lang", "part").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ranked = usable.select("doc_id", "lang", part.alias("part")).withColumn("r", rank).where(F.col("r") <= max(fitted, calibrating))
+    chosen = ranked.where(F.col("r") <= F.when(F.col("part") == 1, calibrating).otherwise(fitted)).select("doc_id", "lang", "part").distinct()
+    sample = usable.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"]).persist()  # LANGUAGES * (fitted + calibrating) ids at most
+    fit = F.col("part") == 0
     top = [(x.lang, x.gram, x.n) for x in top_counts(sample.where(fit)).toLocalIterator()]
     models = Models.fit(sorted({x[0] for x in top}), top)
-    own = predict(sample.where(~fit), models).join(F.broadcast(chosen.select("doc_id", "lang")), "doc_id").where("lang = lang_pred")
+    own = predict(sample.where(~fit), models).join(F.broadcast(chosen.where(~fit).select("doc_id", "lang")), "doc_id").where("lang = lang_pred")
     models.limits = {x.lang: float(x.q) for x in own.groupBy("lang").agg(F.percentile_approx("cross_entropy", CALIBRATED).alias("q"), F.count("*").alias("n")).where("n >= 20").collect()}
     sample.unpersist()
     return models
