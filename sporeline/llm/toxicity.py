@@ -4,15 +4,18 @@ A document's severity is one of the grades 0..K-1. The model is P(grade > k) = s
 vector for all thresholds, which are ordered by construction. Features are hashed words and the first 3 to 6 letters
 of words; x holds log(1 + count) of each selected feature. The output is the expected grade, sum over k of P(grade > k).
 
+Grades are what the labels say: 0 for documents that aren't toxic, up to GRADES - 1; there are as many thresholds as
+the highest grade. Labels of 0 and 1 alone give one threshold, and the severity is then the chance of being toxic.
+
 Fitting uses a bounded sample of labelled documents (SAMPLE rows, the lowest by a hash of doc_id), in two Spark passes
-over it: the first counts in how many documents of each class a feature stands and selects SELECTED features by the
-z-score of their log-odds; the second gathers the counts of the selected features only. Labels that say no more than
-toxic or not are graded by their strongest features: a toxic document has grade 1, from SEVERE words on grade 2.
+over it: the first counts in how many documents of each grade a feature stands and selects SELECTED features by the
+highest z-score of their log-odds at any threshold; the second gathers the counts of the selected features only. Of the
+sample, every fifth hash is not fitted on; the chance from which a document is called toxic is chosen there.
 
 Documents that are null, empty or without letters have no features: their severity is that of the thresholds alone.
-Labels that are null, or whose document is missing, don't count; nor do repeated labels change more than the weights.
-Rows are scored one by one, whatever their doc_id and other columns; an empty table gives an empty result. Without
-labels of both kinds nothing can be learned, and all documents have severity 0.
+Labels that are null or no grade, or whose document is missing, don't count; a document with two different labels counts
+with both. Rows are scored one by one, whatever their doc_id and other columns; long texts are read whole; an empty table
+gives an empty result. Without labels of two grades nothing can be learned, and all documents have severity 0.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +37,8 @@ WORD = re.compile(r"[^\W\d_]+")
 BITS, PREFIXES = 22, (3, 4, 5, 6)
 #: Labelled documents used at most, and features selected at most.
 SAMPLE, SELECTED, LEAST_DOCS = 12_000, 3000, 5
-#: Words among the strongest features from which a toxic document counts as severe, and the z-score that makes a feature strong.
-SEVERE, STRONG = 3, 6.0
-CACHED = 300_000
+#: Grades there may be, and words whose features a worker keeps.
+GRADES, CACHED = 16, 300_000
 
 
 def features(word: str) -> list[int]:
@@ -106,70 +109,98 @@ def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
 
 
 def _presence(sample: DataFrame) -> DataFrame:
-    """feature, pos, neg: documents of each class that have it. A task sums its documents before the shuffle."""
+    """feature, grade, n: documents of the grade that have the feature. A task sums its documents before the shuffle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, known = np.zeros((2, 1 << BITS), np.int32), {}
+        known: dict[str, list[int]] = {}
         for b in slices(batches, "text"):
             if len(known) > CACHED:
                 known = {}
-            for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                held: set[int] = set()
-                for w in set(words_of(t)):
-                    if w not in known:
-                        known[w] = features(w)
-                    held.update(known[w])
-                counts[y, list(held)] += 1
-        at = np.flatnonzero(counts.any(axis=0))
-        yield pa.record_batch([pa.array(at), pa.array(counts[1, at].astype(np.int64)), pa.array(counts[0, at].astype(np.int64))], names=["feature", "pos", "neg"])
-
-    return sample.select("text", "toxic").mapInArrow(work, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+            codes = []
+            for t, y in zip(b.column("text").to_pylist(), b.column("grade").to_pylist(), strict=True):
+                words = set(words_of(t))
+                for w in words.difference(known):
+                    known[w] = features(w)
+                held = np.unique(np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int64))
+                codes.append(y << BITS | held)
+            code, n = np.unique(np.concatenate(codes), return_counts=True)
+            yield pa.record_batch([pa.array(code & (1 << BITS) - 1), pa.array((code >> BITS).astype(np.int32)), pa.array(n.astype(np.int64))], names=["feature", "grade", "n"])
+
+    return sample.select("text", "grade").mapInArrow(work, "feature long, grade int, n long").groupBy("feature", "grade").agg(F.sum("n").alias("n"))
+
+
+def _select(sample: DataFrame, sizes: dict[int, int], selected: int) -> list[int]:
+    """The features that tell grades apart best at any of the thresholds."""
+    by_grade = _presence(sample).groupBy("feature").agg(F.sum("n").alias("n"), *(F.sum(F.when(F.col("grade") > k, F.col("n")).otherwise(0)).alias(f"above_{k}") for k in range(max(sizes))))
+    scores = []
+    for k in range(max(sizes)):
+        above, below = (sum(n for g, n in sizes.items() if (g > k) == up) for up in (True, False))
+        have, lack = F.col(f"above_{k}") + 0.5, F.col("n") - F.col(f"above_{k}") + 0.5
+        scores.append(F.abs(F.log(have / (above + 1)) - F.log(lack / (below + 1))) / F.sqrt(1 / have + 1 / lack))
+    z = F.greatest(*scores) if len(scores) > 1 else scores[0]
+    return [x.feature for x in by_grade.where(F.col("n") >= LEAST_DOCS).withColumn("z", z).where("z >= 3").orderBy(F.desc("z"), "feature").limit(selected).collect()]
+
+
+class Counts:
+    """Counts of selected features in texts; the features of words met before are kept."""
+
+    def __init__(self, places: dict[int, int]):
+        self.places, self.known = places, {}
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, feature's place and count, by row and place."""
+        if len(self.known) > CACHED:
+            self.known = {}
+        codes = [np.zeros(0, np.int64)]
+        for i, t in enumerate(texts):
+            words = words_of(t)
+            for w in set(words).difference(self.known):
+                self.known[w] = [self.places[x] for x in features(w) if x in self.places]
+            codes.append(i << BITS | np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.int64))
+        code, n = np.unique(np.concatenate(codes), return_counts=True)
+        return code >> BITS, code & (1 << BITS) - 1, n
+
+
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """text, grade, held_out of at most sample labelled documents, the lowest by a hash of doc_id; only ids are compared until they are chosen."""
+    grade = F.col("toxic").cast("int")
+    known = labels.where(F.col("doc_id").isNotNull() & grade.between(0, GRADES - 1) & (grade == F.col("toxic"))).select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade")).distinct()
+    ids = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
+    chosen = known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
+    held_out = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 4
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "grade", held_out.alias("held_out"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, selected: int = SELECTED) -> Model:
-    """A model from labels (doc_id, toxic 0 or 1) of docs (doc_id, text)."""
-    chosen = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
-    held = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").persist()
-    n = {x.toxic: x.n for x in held.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(n) < 2:
+    """A model from labels (doc_id, toxic: the grade) of docs (doc_id, text)."""
+    held = labelled(docs, labels, sample).persist()
+    sizes = {x.grade: x.n for x in held.where("NOT held_out").groupBy("grade").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
         held.unpersist()
         return Model()
-    odds = F.log((F.col("pos") + 0.5) / (n[1] + 1)) - F.log((F.col("neg") + 0.5) / (n[0] + 1))
-    z = odds / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    best = _presence(held).where(F.col("pos") + F.col("neg") >= LEAST_DOCS).withColumn("z", z).where(F.abs("z") >= 3).orderBy(F.desc(F.abs("z")), "feature").limit(selected).collect()
-    place = {x.feature: i for i, x in enumerate(best)}
-    strong = {x.feature for x in best if x.z >= STRONG}
+    best = _select(held.where("NOT held_out"), sizes, selected)
+    places = {x: i for i, x in enumerate(best)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[list[int], bool]] = {}
+        counts = Counts(places)
         for b in slices(batches, "text"):
-            if len(known) > CACHED:
-                known = {}
-            out = []
-            for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                own: dict[int, int] = {}
-                severe = 0
-                for w in words_of(t):
-                    if w not in known:
-                        f = features(w)
-                        known[w] = [place[x] for x in f if x in place], any(x in strong for x in f)
-                    severe += known[w][1]
-                    for i in known[w][0]:
-                        own[i] = own.get(i, 0) + 1
-                out.append((y * (1 + (severe >= SEVERE)), list(own), list(own.values())))
-            grades, at, counts = zip(*out, strict=True)
-            yield pa.record_batch([pa.array(grades, pa.int32()), pa.array(at, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["grade", "at", "counts"])
-
-    found = held.select("text", "toxic").mapInArrow(count, "grade int, at array<int>, counts array<int>").toPandas()
+            row, at, n = counts.of(b.column("text").to_pylist())
+            ends = np.r_[0, np.cumsum(np.bincount(row, minlength=b.num_rows))].astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (at, n)]
+            yield pa.record_batch([b.column("grade"), b.column("held_out"), *lists], names=["grade", "held_out", "at", "counts"])
+
+    found = held.mapInArrow(count, "grade int, held_out boolean, at array<int>, counts array<int>").toPandas()  # sample rows at most
     held.unpersist()
-    sizes = found["at"].map(len).to_numpy()
-    rows, columns = np.repeat(np.arange(len(found)), sizes), np.concatenate([*found["at"], np.zeros(0, int)]).astype(np.int64)
+    sizes_, grades, out = found["at"].map(len).to_numpy(), found["grade"].to_numpy().astype(np.int64), found["held_out"].to_numpy().astype(bool)
+    rows, columns = np.repeat(np.arange(len(found)), sizes_), np.concatenate([*found["at"], np.zeros(0, int)]).astype(np.int64)
     values = np.log1p(np.concatenate([*found["counts"], np.zeros(0)]).astype(float))
-    grades = found["grade"].to_numpy().astype(np.int64)
-    weights, cuts = fit_ordinal(rows, columns, values, grades, len(best))
-    model = Model({x.feature: float(w) for x, w in zip(best, weights, strict=True)}, cuts.tolist())
-    model.cut = best_cut(model.severity(np.bincount(rows, values * weights[columns], minlength=len(grades)))[1], grades > 0)
+    fitted = ~out[rows]
+    place = np.cumsum(~out) - 1
+    weights, cuts = fit_ordinal(place[rows[fitted]], columns[fitted], values[fitted], grades[~out], len(best))
+    model = Model(dict(zip(best, weights.tolist(), strict=True)), cuts.tolist())
+    p = model.severity(np.bincount(rows, values * weights[columns], minlength=len(grades)))[1]
+    if 0 < (grades[out] > 0).sum() < out.sum():
+        model.cut = best_cut(p[out], grades[out] > 0)
     return model
 
 
@@ -178,21 +209,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = shared.value, {}
+        m = shared.value
+        counts, weights = Counts({x: i for i, x in enumerate(m.weights)}), np.array([*m.weights.values(), 0.0])
         for b in slices(batches, "text"):
-            if len(known) > CACHED:
-                known = {}
-            sums = np.zeros(b.num_rows)
-            for i, t in enumerate(b.column("text").to_pylist()):
-                words = words_of(t)
-                for w in set(words).difference(known):
-                    known[w] = [x for x in features(w) if x in m.weights]
-                own: dict[int, int] = {}
-                for f in filter(None, map(known.__getitem__, words)):
-                    for x in f:
-                        own[x] = own.get(x, 0) + 1
-                sums[i] = sum(m.weights[x] * np.log1p(c) for x, c in own.items())
-            severity, p = m.severity(sums)
+            row, at, n = counts.of(b.column("text").to_pylist())
+            severity, p = m.severity(np.bincount(row, np.log1p(n) * weights[at], minlength=b.num_rows))
             yield pa.record_batch([b.column("doc_id"), pa.array(severity), pa.array(p), pa.array((p >= m.cut) & bool(m.thresholds))], names=["doc_id", "severity", "p_toxic", "toxic"])
 
     return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(work, "doc_id long, severity double, p_toxic double, toxic boolean")

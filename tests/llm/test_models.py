@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sporeline.llm import language_id, toxicity
 
@@ -70,10 +71,11 @@ def test_languages_of_held_out_documents(spark, sf_dir):
 def test_language_edge_cases(spark):
     rows = [(i, f"the cat and dog number {i}" if i % 2 else f"der Hund und Katze Nummer {i}", "en" if i % 2 else "de") for i in range(1, 60)]
     models = language_id.train(spark.createDataFrame(rows, SCHEMA))
-    odd = [(None, None, None), (1, "", "x"), (2, "12 34 ?!", "de"), (3, "the dog", None), (3, "the dog", None), (4, "der Hund " * 20_000, "de"), (5, "漢字", "zh")]
+    odd = [(None, None, None), (1, "", "x"), (2, "12 34 ?!", "de"), (3, "the dog", None), (3, "the dog", None), (4, "der Hund " * 20_000, "de"), (5, "漢字", "zh"), (6, "½² ①", "de")]
     got = language_id.predict(spark.createDataFrame([(*r, 0.5) for r in odd], SCHEMA + ", score double"), models).collect()
     assert [r.lang_pred for r in got[:6]] == ["und", "und", "und", "en", "en", "de"]
     assert got[0].score == got[2].score == 0 and 0 <= got[6].score <= 1
+    assert got[7].lang_pred == "und" and got[7].score == 0
     assert language_id.predict(spark.createDataFrame([], SCHEMA), models).count() == 0
     nothing = language_id.train(spark.createDataFrame(rows, SCHEMA).where("false"))
     assert {r.lang_pred for r in language_id.predict(spark.createDataFrame(odd, SCHEMA), nothing).collect()} == {"und"}
@@ -90,13 +92,61 @@ def test_ordinal_fit_orders_thresholds_and_recovers_weights():
     assert np.allclose(weights, w, atol=0.2) and np.allclose(cuts, [0.5, 2.5], atol=0.2) and cuts[0] < cuts[1]
 
 
+def plain_likelihood(rows, columns, values, grades, weights, cuts, ridge):
+    """Log-likelihood of the grades by loops over documents and grades, less the ridge."""
+    total = 0.0
+    for i, g in enumerate(grades):
+        x = sum(v * weights[c] for r, c, v in zip(rows, columns, values) if r == i)
+        above = [1.0, *(1 / (1 + math.exp(c - x)) for c in cuts), 0.0]
+        total += math.log(max(above[g] - above[g + 1], 1e-9))
+    return total / len(grades) - ridge * sum(w * w for w in weights) / 2
+
+
+def test_ordinal_fit_is_a_maximum_of_the_plain_likelihood():
+    rng = np.random.default_rng(5)
+    n = 120
+    x = rng.normal(size=(n, 2))
+    grades = np.digitize(x @ [1.0, -1.0] + rng.logistic(size=n), [-0.5, 0.8, 2.0])
+    rows, columns, values = np.repeat(np.arange(n), 2), np.tile(np.arange(2), n), x.ravel()
+    weights, cuts = toxicity.fit_ordinal(rows, columns, values, grades, 2, ridge=0.01, steps=3000, rate=0.02)
+    best = plain_likelihood(rows, columns, values, grades, weights, cuts, 0.01)
+    for at in range(5):
+        for step in (-0.1, 0.1):
+            w, c = weights.copy(), cuts.copy()
+            (w if at < 2 else c)[at % 2 if at < 2 else at - 2] += step
+            assert plain_likelihood(rows, columns, values, grades, w, c, 0.01) < best
+
+
+def auc(scores, positive):
+    yes, no = (np.array([x for x, y in zip(scores, positive, strict=True) if y == z]) for z in (True, False))
+    return ((yes[:, None] > no).sum() + (yes[:, None] == no).sum() / 2) / (len(yes) * len(no))
+
+
 def test_toxic_documents_are_told_apart(spark, sf_dir):
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    model = toxicity.train(docs, labels)
-    assert model.thresholds == sorted(model.thresholds)
-    rows = toxicity.score(docs, model).join(labels, "doc_id").collect()
-    toxic, clean = [r.severity for r in rows if r.toxic == 1 and r.toxic is not None], [r.severity for r in rows]
-    assert len(clean) > 20 and toxic is not None
+    """The query, on labelled documents that its model wasn't fitted on."""
+    sf_dir = sf_dir.replace("sf0.001", "sf0.1")  # the smallest table has a few toxic documents only
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic IS NOT NULL AND pmod(xxhash64(doc_id), 5) = 4")
+    rows = toxicity.op6_toxicity(spark, sf_dir).join(labels.select("doc_id", F.col("toxic").alias("label")), "doc_id").collect()
+    toxic, clean = [r for r in rows if r.label == 1], [r for r in rows if r.label == 0]
+    assert toxic and len(clean) > 10
+    assert auc([r.severity for r in rows], [r.label == 1 for r in rows]) > 0.95
+    assert sum(r.toxic for r in toxic) >= 0.8 * len(toxic) and sum(r.toxic for r in clean) <= 0.05 * len(clean)
+
+
+def test_grades_have_a_threshold_each(spark):
+    rng = random.Random(6)
+    kinds = [["calm", "nice", "kind"], ["rude", "mean", "snide"], ["vile", "foul", "cruel"]]
+    rows = []
+    for i in range(600):
+        g = rng.randrange(3)
+        rows.append((i, " ".join([rng.choice(kinds[g]) for _ in range(4)] + [rng.choice(["stone", "river", "cloud", "table"]) for _ in range(8)]), g))
+    data = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(data.select("doc_id", "text"), data.select("doc_id", "toxic"))
+    assert len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1]
+    got = toxicity.score(data, model).join(data.select("doc_id", F.col("toxic").alias("grade")), "doc_id").collect()
+    means = [np.mean([r.severity for r in got if r.grade == g]) for g in range(3)]
+    assert means[0] < 0.4 < 0.6 < means[1] < 1.4 < 1.6 < means[2]
+    assert toxicity.train(data.select("doc_id", "text"), data.select("doc_id", "toxic").where("false")).thresholds == []
 
 
 def test_toxicity_edge_cases(spark):
@@ -109,3 +159,19 @@ def test_toxicity_edge_cases(spark):
     assert got[3].toxic and got[4].toxic and not got[5].toxic and got[0].severity == got[1].severity == got[2].severity
     assert toxicity.score(odd.where("false"), model).count() == 0
     assert {r.severity for r in toxicity.score(odd, toxicity.train(docs, labels.where("toxic = 0"))).collect()} == {0.0}
+
+
+def test_a_language_with_many_texts_is_cut_before_the_shuffle(spark):
+    docs = spark.range(5000).selectExpr("id AS doc_id", "'the cat' AS text", "if(id < 0, 'de', 'en') AS lang")
+    models = language_id.train(docs, fitted=100, calibrating=50)
+    assert models.languages == ["en"]
+    ranked = docs.withColumn("r", F.row_number().over(language_id.Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("r") <= max(language_id.FITTED, language_id.CALIBRATING))
+    assert "WindowGroupLimit" in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sparse_tables_hold_what_each_language_has():
+    held = [{"ab": (1.0, 2.0), "cd": (3.0, 4.0)}, {}, {"cd": (5.0, 6.0)}]
+    kept = language_id.Sparse.of(held, 2, 2)
+    keys = [language_id._hashes(language_id._codes(g), 2)[1] for g in ("cd", "zz", "ab")]
+    a, b = kept.find(np.array(keys, np.uint64), 3, (0.0, 1.0))
+    assert a.tolist() == [[3, 0, 5], [0, 0, 0], [1, 0, 0]] and b.tolist() == [[4, 1, 6], [1, 1, 1], [2, 1, 1]]
