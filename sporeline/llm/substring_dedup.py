@@ -142,8 +142,8 @@ def contexts_of(owner: np.ndarray, place: np.ndarray, h: np.ndarray, low: np.nda
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-ALONE, FIRST_OF_BLOCK, SAME_TEXT, FOLLOWER = range(4)
-#: tag: number of the block, and one of these four in the lowest two bits. at: a place, and how far the last seed is from it in the lowest FAR bits.
+ALONE, FIRST_OF_BLOCK, FOLLOWER = range(3)
+#: tag: number of the block, and one of these three in the lowest two bits. at: a place, and how far the last seed is from it in the lowest FAR bits.
 FAR = 8
 ROW_SCHEMA = "hash long, key long, tag long, at long"
 MATCH_SCHEMA = "hash long, key long, tag long, at long, other long, other_at long"
@@ -160,14 +160,13 @@ def _first_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def link_block(block: int, hashes: np.ndarray, key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """Rows (ROW_SCHEMA) of a block. All but those of the lowest key of a hash are followers."""
+    """Rows (ROW_SCHEMA) of a block. All but the first place in the lowest key of a hash are followers."""
     by = np.lexsort((at, key, hashes))
     h, key, at = hashes[by].view(np.int64), key[by], at[by]
     first, of = _first_of(h)
-    follows = key != key[of]
     led = np.zeros(len(h), bool)
-    led[of[follows]] = True
-    kind = np.where(follows, FOLLOWER, np.where(~first, SAME_TEXT, np.where(led, FIRST_OF_BLOCK, ALONE)))
+    led[of[~first]] = True
+    kind = np.where(~first, FOLLOWER, np.where(led, FIRST_OF_BLOCK, ALONE))
     return _batch(ROW_SCHEMA, h, key, block << 2 | kind, at)
 
 
