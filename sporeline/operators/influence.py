@@ -45,10 +45,17 @@ def susceptible_pressure(graph: Graph, states: DataFrame, susceptible: int, indu
     return influence(Graph(listening, edges), states, inducers)
 
 
-def salted_influence(graph: Graph, states: DataFrame, inducers: list[int], salts: int = 32) -> DataFrame:
-    """As influence, in two steps: sums by target and a salt of the source, then by target, for targets with very many edges."""
+def salted_influence(graph: Graph, states: DataFrame, inducers: list[int], salts: int = 32, share: float = 1 / 1024) -> DataFrame:
+    """As influence, for graphs with hubs: a source with more than share of all edges is joined in salts groups of its targets.
+
+    Hubs are named by a frequent-items sketch, which holds less than 1 / share of them. A target's sums are taken by salt first.
+    """
+    hubs = graph.edges.select("src").stat.freqItems(["src"], share).first()[0] or []
+    hub = F.col("src").isin(hubs) if hubs else F.lit(False)
     sending = states.where(F.col("state").isin(inducers)).select(F.col("node").alias("src"))
-    part = graph.edges.join(sending, "src").groupBy("dst", F.pmod(F.xxhash64("src"), F.lit(salts)).alias("_salt")).agg(F.sum(graph.weight).alias("_w"))
+    copies = sending.withColumn("_salt", F.explode(F.when(hub, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    dealt = graph.edges.withColumn("_salt", F.when(hub, F.pmod(F.xxhash64("dst"), F.lit(salts))).otherwise(0).cast("int"))
+    part = dealt.join(copies, ["src", "_salt"]).groupBy("dst", F.pmod(F.xxhash64("src"), F.lit(salts)).alias("_part")).agg(F.sum(graph.weight).alias("_w"))
     return _all_targets(graph, part.groupBy(F.col("dst").alias("node")).agg(F.sum("_w").alias("influence")), ["influence"], F.lit(0))
 
 

@@ -86,9 +86,9 @@ def bootstrap_interval(values: DataFrame, seed: int, resamples: int = 1000, low:
 
     The draws are joined with the values by index, resample sums are made before the shuffle.
     """
-    n = values.agg(F.count("*").alias("_n"))
-    draws = values.sparkSession.range(resamples).select(F.col("id").alias("b")).crossJoin(F.broadcast(n)).select("b", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("d"))
-    drawn = with_uniform(draws, "_u", F.col("b") * F.col("_n") + F.col("d"), seed, 1).select("b", F.floor(F.col("_u") * F.col("_n")).alias("i"))
+    n = values.count()
+    draws = values.sparkSession.range(resamples * n)
+    drawn = with_uniform(draws, "_u", F.col("id"), seed, 1).select(F.floor(F.col("id") / n).alias("b"), F.floor(F.col("_u") * n).alias("i"))
     means = drawn.join(values, "i").groupBy("b").agg(F.avg("x").alias("m"))
     return means.agg(F.percentile("m", F.array(F.lit(low), F.lit(high))).alias("_q")).select(F.get("_q", 0).alias("low"), F.get("_q", 1).alias("high"))
 

@@ -12,10 +12,13 @@ from sporeline.operators import influence as J
 from sporeline.operators import leaps as L
 from sporeline.operators.models import Model
 from sporeline.sources.graphs import Graph
+from sporeline.sources.storage import stored
 
 
 def rates(graph: Graph, states: DataFrame, model: Model) -> DataFrame:
-    """node, state, age, pressure, rate. Only susceptible nodes listen; absorbing states take no part in the gather."""
+    """node, state, age, pressure, rate. Only susceptible nodes listen; nodes in absorbing states take no part in joins and have rate 0."""
+    idle = F.col("state").isin(list(model.absorbing))
+    settled, states = states.where(idle), states.where(~idle)
     if model.infectivity is None:
         felt = J.susceptible_pressure(graph, states, model.susceptible, list(model.inducers)).select("node", F.col("influence").alias("pressure"))
     else:
@@ -24,7 +27,8 @@ def rates(graph: Graph, states: DataFrame, model: Model) -> DataFrame:
         sent = states.where(F.col("state").isin(list(model.inducers))).select("node", model.infectivity(F.col("state"), F.col("age")).alias("infectivity"))
         felt = J.pressure(Graph(listening, edges), sent)
     held = states.join(felt, "node", "left").select("node", "state", "age", F.coalesce("pressure", F.lit(0)).cast("double").alias("pressure"))
-    return held.withColumn("rate", model.rate(F.col("state"), F.col("age"), F.col("pressure")).cast("double"))
+    rated = held.withColumn("rate", model.rate(F.col("state"), F.col("age"), F.col("pressure")).cast("double"))
+    return rated.unionByName(settled.select("node", "state", "age", F.lit(0.0).alias("pressure"), F.lit(0.0).alias("rate"))) if model.absorbing else rated
 
 
 def step_size(rated: DataFrame, model: Model, control: dict, by: tuple[str, ...] = ()) -> DataFrame:
@@ -43,7 +47,7 @@ RENEWAL = {"epsilon": 0.03, "tau_max": 0.1}
 
 def one_step(graph: Graph, states: DataFrame, model: Model, seed: int, step: int = 1, control: dict | None = None) -> DataFrame:
     """node, state, age, tau, event after one step of states(node, state, age)."""
-    rated = rates(graph, states, model)
+    rated = stored(rates(graph, states, model), "rates")  # read twice: for the step size, and for the leap
     tau = step_size(rated, model, control or (MARKOV if model.markovian else RENEWAL)).select("tau")
     return L.leap(rated.crossJoin(F.broadcast(tau)), model, F.col("node"), seed, step).select("node", "state", "age", "tau", "event")  # one row
 
@@ -60,6 +64,6 @@ def ensemble_rates(graph: Graph, states: DataFrame, model: Model, replicas: int)
 
 def ensemble_step(graph: Graph, states: DataFrame, model: Model, replicas: int, seed: int, step: int = 1, control: dict | None = None) -> DataFrame:
     """node, replica, state, age, tau, event after one step in which every replica has its own tau."""
-    rated = ensemble_rates(graph, states, model, replicas)
+    rated = stored(ensemble_rates(graph, states, model, replicas), "rates")
     tau = step_size(rated, model, control or (MARKOV if model.markovian else RENEWAL), ("replica",)).select("replica", "tau")
     return L.leap(rated.join(F.broadcast(tau), "replica"), model, F.col("node") * replicas + F.col("replica"), seed, step).select("node", "replica", "state", "age", "tau", "event")  # a row for each replica

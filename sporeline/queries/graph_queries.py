@@ -96,11 +96,21 @@ def _drawn_sql(count: int, draws: int) -> str:
     return f"SELECT id, {', '.join(f'{X.uniform_sql("id", SEED, k)} AS u{k}' for k in range(1, draws + 1))} FROM (SELECT unnest(range({count})) AS id)"
 
 
-def _simple_sql(pairs: str) -> str:
-    return f"once AS (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM ({pairs}) WHERE a <> b) SELECT src, dst FROM once UNION ALL SELECT dst, src FROM once"
+def _er_sql(mean_degree: int, spread: int, rounds: int = 3) -> str:
+    """The draws of so many rounds; more are needed if a node has more than rounds * spread edges to higher ones."""
+    import math
 
+    skip = f"(least(floor(ln(u) / {math.log1p(-mean_degree / (NODES - 1))!r}::DOUBLE), {NODES}) + 1)::BIGINT"
+    parts, at = [], f"(SELECT unnest(range({NODES})) AS node, unnest(range({NODES})) AS low)"
+    for r in range(1, rounds + 1):
+        lanes = f"SELECT node, low, k, {X.uniform_sql(f'node * {spread} + k', SEED, r)} AS u FROM {at}, (SELECT unnest(range({spread})) AS k)"
+        parts.append(f"r{r} AS MATERIALIZED (SELECT node, k, low + sum({skip}) OVER (PARTITION BY node ORDER BY k) AS b FROM ({lanes}))")
+        at = f"(SELECT node, b AS low FROM r{r} WHERE k = {spread - 1} AND b < {NODES})"
+    once = " UNION ALL ".join(f"SELECT node AS src, b::BIGINT AS dst FROM r{r} WHERE b < {NODES}" for r in range(1, rounds + 1))
+    return f"WITH {', '.join(parts)}, once AS ({once}) SELECT src, dst FROM once UNION ALL SELECT dst, src FROM once"
 
-@query(f"WITH d AS ({_drawn_sql(NODES * 4, 2)}), {_simple_sql(f'SELECT floor(u1 * {NODES})::BIGINT AS a, floor(u2 * {NODES})::BIGINT AS b FROM d')}")
+
+@query(_er_sql(8, 13))
 def er_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.erdos_renyi(spark, NODES, 8, SEED).edges
 
@@ -110,25 +120,45 @@ def random_out_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.random_out(spark, NODES, 8, SEED).edges
 
 
-@query(f"WITH d AS ({_drawn_sql(NODES * 8, 1)}), p AS (SELECT id // 8 AS node, row_number() OVER (ORDER BY u1, id) - 1 AS place FROM d), {_simple_sql('SELECT min(node) AS a, max(node) AS b FROM p GROUP BY place // 2')}")
+@query()
 def random_regular_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.random_regular(spark, NODES, 8, SEED).edges
 
 
-@query(f"WITH d AS ({_drawn_sql(NODES * 3, 2)}), {_simple_sql(f'SELECT id // 3 AS a, CASE WHEN u1 < 0.1 THEN floor(u2 * {NODES})::BIGINT ELSE (id // 3 + 1 + id % 3) % {NODES} END AS b FROM d')}")
+@query()
 def ws_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.watts_strogatz(spark, NODES, 6, 0.1, SEED).edges
 
 
-@query(
-    f"WITH RECURSIVE d AS ({_drawn_sql(NODES * 4, 1)}), ends AS MATERIALIZED (SELECT id AS e, floor(u1 * (2 * id + 1))::BIGINT AS x FROM d), "
-    "walk AS (SELECT e, x FROM ends UNION ALL SELECT walk.e, ends.x FROM walk JOIN ends ON walk.x % 2 = 1 AND ends.e = walk.x // 2), "
-    + _simple_sql("SELECT e // 4 AS a, x // 2 // 4 AS b FROM walk WHERE x % 2 = 0")
-)
+@query()
 def ba_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.barabasi_albert(spark, NODES, 4, SEED).edges
 
 
+def _shape(graph: graphs.Graph) -> DataFrame:
+    """n_edges, loops, repeated: the counts that a simple graph's definition fixes."""
+    e = graph.edges
+    return e.agg(F.count("*").alias("n_edges"), F.sum((F.col("src") == F.col("dst")).cast("long")).alias("loops"), (F.count("*") - F.countDistinct("src", "dst")).alias("repeated"))
+
+
+# What the definitions say of the graphs, without a draw.
+@query(f"SELECT unnest(range({NODES})) AS node, 8::BIGINT AS degree, 8::BIGINT AS n_neighbours, 0::BIGINT AS loops")
+def random_regular_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = G.random_regular(spark, NODES, 8, SEED).edges
+    return e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("degree"), F.countDistinct("src").alias("n_neighbours"), F.sum((F.col("src") == F.col("dst")).cast("long")).alias("loops"))
+
+
+@query(f"SELECT {NODES * 6}::BIGINT AS n_edges, 0::BIGINT AS loops, 0::BIGINT AS repeated")
+def ws_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shape(G.watts_strogatz(spark, NODES, 6, 0.1, SEED))
+
+
+@query(f"SELECT unnest(range(4, {NODES})) AS node, 4::BIGINT AS n_lower")
+def ba_lower_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = G.barabasi_albert(spark, NODES, 4, SEED).edges
+    return e.where("dst < src").groupBy(F.col("src").alias("node")).agg(F.countDistinct("dst").alias("n_lower"))
+
+
 @query(f"WITH d AS ({_drawn_sql(NODES, 2)}) SELECT a.id AS src, b.id AS dst FROM d a JOIN d b ON a.id <> b.id AND (a.u1 - b.u1) * (a.u1 - b.u1) + (a.u2 - b.u2) * (a.u2 - b.u2) <= {RADIUS!r}::DOUBLE * {RADIUS!r}::DOUBLE")
 def geometric_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.geometric(spark, NODES, RADIUS, SEED).edges

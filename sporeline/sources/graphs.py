@@ -35,9 +35,21 @@ class Graph:
         return Graph(self.nodes, self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest))
 
     def with_weights(self, weights: DataFrame) -> Graph:
-        """New weights from a table (src, dst, weight), which replace those of all edges from src to dst."""
-        edges = self.edges.select("src", "dst").join(weights.select("src", "dst", "weight"), ["src", "dst"], "left")
-        return Graph(self.nodes, edges.withColumn("weight", F.coalesce("weight", F.lit(1.0))))
+        """New weights from a table (src, dst, weight) or (src, dst, nth, weight).
+
+        Parallel edges from src to dst are numbered from 0 by their old weights, and nth names one of them; without nth a row
+        holds for all of them. An edge without a row, or with two, is an error, which a task raises when it meets the edge.
+        """
+        by = ["src", "dst", *(["nth"] if "nth" in weights.columns else [])]
+        old = self.weight.alias("old")
+        edges = self.edges.select("src", "dst", old)
+        if "nth" in by:
+            edges = edges.withColumn("nth", F.row_number().over(Window.partitionBy("src", "dst").orderBy("old")) - 1)
+        new = weights.groupBy(*by).agg(F.min("weight").alias("weight"), F.count("*").alias("rows"))
+        held = edges.join(new, by, "left")
+        edge = F.concat(F.col("src").cast("string"), F.lit(" to "), F.col("dst").cast("string"))
+        checked = F.when(F.col("rows").isNull() | F.col("weight").isNull(), F.raise_error(F.concat(F.lit("no weight for the edge from "), edge)).cast("double")).when(F.col("rows") > 1, F.raise_error(F.concat(F.lit("two weights for the edge from "), edge)).cast("double")).otherwise(F.col("weight"))
+        return Graph(self.nodes, held.select("src", "dst", checked.alias("weight")))
 
     def rounded_weights(self) -> Graph:
         """Weights with the 8 significant bits that a 16-bit brain float keeps, as doubles."""
@@ -137,7 +149,7 @@ def trade_graph(orders: DataFrame, lineitem: DataFrame, customer: DataFrame, sup
     """
     if kind not in ("unit", "weighted", "multi", "directed", "valued"):
         raise ValueError(f"no such kind of graph: {kind}")
-    n_customers = customer.agg(F.count("*").alias("_c"))
+    n_customers = customer.count()  # counts come from the files' footers
     sold = orders.select("o_orderkey", F.col("o_custkey").cast("long").alias("src")).join(lineitem.select("l_orderkey", F.col("l_suppkey").cast("long").alias("dst"), "l_quantity"), F.col("o_orderkey") == F.col("l_orderkey")).select("src", "dst", "l_quantity")
     if kind == "unit":
         pairs = sold.select("src", "dst").distinct()
@@ -146,10 +158,8 @@ def trade_graph(orders: DataFrame, lineitem: DataFrame, customer: DataFrame, sup
     else:
         weight = F.sum(F.col("l_quantity").cast("double")) if kind == "valued" else F.count("*")
         pairs = sold.groupBy("src", "dst").agg(weight.alias("weight"))
-    pairs = pairs.crossJoin(F.broadcast(n_customers)).withColumn("dst", F.col("dst") + F.col("_c")).drop("_c")  # one row
-    total = n_customers.crossJoin(F.broadcast(supplier.agg(F.count("*").alias("_s"))))
-    nodes = total.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c") + F.col("_s") - 1)).alias("node"))
-    return Graph(nodes, pairs if kind == "directed" else symmetrised(pairs))
+    pairs = pairs.withColumn("dst", F.col("dst") + n_customers)
+    return Graph(node_range(orders.sparkSession, n_customers + supplier.count()), pairs if kind == "directed" else symmetrised(pairs))
 
 
 def load_edges(spark: SparkSession, path: str, base: int = 0, weights: bool = True) -> DataFrame:

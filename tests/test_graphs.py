@@ -72,12 +72,20 @@ def test_circulant_refuses_odd_stubs():
     assert G.circulant_components(12, [4, -4]) == 4
 
 
+def simple(graph):
+    e = pairs(graph.edges)
+    assert len(e) == len(set(e)) and all(a != b for a, b in e) and {(b, a) for a, b in e} == set(e)
+    return e
+
+
 def test_random_graphs_have_their_degrees(spark):
     n = 600
-    for g, low, high in ((G.erdos_renyi(spark, n, 8, 1), 7.5, 8.2), (G.random_regular(spark, n, 6, 1), 5.8, 6.0), (G.watts_strogatz(spark, n, 6, 0.2, 1), 5.8, 6.0), (G.barabasi_albert(spark, n, 3, 1), 5.0, 6.0)):
-        e = pairs(g.edges)
-        assert len(e) == len(set(e)) and all(a != b for a, b in e) and {(b, a) for a, b in e} == set(e)
-        assert low <= len(e) / n <= high
+    assert 7.3 <= len(simple(G.erdos_renyi(spark, n, 8, 1))) / n <= 8.7
+    assert len(simple(G.erdos_renyi(spark, 5, 4, 1))) == 20 and simple(G.erdos_renyi(spark, 5, 0, 1)) == []
+    for nodes, d in ((n, 6), (12, 9)):
+        e = simple(G.random_regular(spark, nodes, d, 1))
+        assert all(sum(b == i for _, b in e) == d for i in range(nodes))
+    assert len(simple(G.watts_strogatz(spark, n, 6, 0.2, 1))) == 6 * n
     out = pairs(G.random_out(spark, n, 5, 1).edges)
     assert len(out) == 5 * n and all(a != b and 0 <= b < n for a, b in out) and all(sum(a == i for a, _ in out) == 5 for i in range(0, n, 50))
     hubs = A.in_degrees(G.barabasi_albert(spark, n, 3, 1)).agg({"degree": "max"}).first()[0]
@@ -87,16 +95,33 @@ def test_random_graphs_have_their_degrees(spark):
 def test_attachment_as_one_edge_at_a_time(spark):
     from sporeline.functions.rng import uniform
 
-    n, m, seed = 200, 3, 4
-    ends, want = [], set()
-    for e in range(n * m):
-        x = math.floor(uniform(e, seed, 1) * (2 * e + 1))
-        a = e // m
-        b = (x // 2) // m if x % 2 == 0 else ends[x // 2]
-        ends.append(b)
-        if a != b:
-            want |= {(a, b), (b, a)}
-    assert pairs(G.barabasi_albert(spark, n, m, seed).edges) == sorted(want)
+    n, m, seed = 150, 3, 4
+    draw = lambda e, step: math.floor(uniform(e, seed, step) * 2 * m * (e // m))
+    ends, step = [draw(e, 1) for e in range((n - m) * m)], 0
+    while True:
+        target = []
+        for e, x in enumerate(ends):
+            target.append(e if e < m else x // 2 // m + m if x % 2 == 0 else target[x // 2])
+        again = [e for e in range(len(ends)) if target[e] in target[e // m * m : e]]
+        if not again:
+            break
+        for e in again:
+            ends[e] = draw(e, step + 2)
+        step += 1
+    want = {(e // m + m, t) for e, t in enumerate(target)}
+    assert len(want) == (n - m) * m
+    assert simple(G.barabasi_albert(spark, n, m, seed)) == sorted(want | {(b, a) for a, b in want})
+
+
+def test_weights_of_parallel_edges(spark):
+    g = graphs.from_edges(spark.createDataFrame([(0, 1, 1.0), (0, 1, 2.0), (1, 0, 3.0)], EDGES), 2)
+    new = spark.createDataFrame([(0, 1, 0, 10.0), (0, 1, 1, 20.0), (1, 0, 0, 30.0)], "src long, dst long, nth int, weight double")
+    assert sorted(map(tuple, g.with_weights(new).edges.collect())) == [(0, 1, 10.0), (0, 1, 20.0), (1, 0, 30.0)]
+    both = spark.createDataFrame([(0, 1, 5.0), (1, 0, 6.0)], EDGES)
+    assert sorted(map(tuple, g.with_weights(both).edges.collect())) == [(0, 1, 5.0), (0, 1, 5.0), (1, 0, 6.0)]
+    for bad in (both.where("src = 0"), both.unionByName(both)):
+        with pytest.raises(Exception, match="weight"):
+            g.with_weights(bad).edges.collect()
 
 
 def test_geometric_edges_as_all_pairs(spark):
