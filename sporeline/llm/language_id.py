@@ -40,6 +40,8 @@ FITTED, CALIBRATING, CALIBRATED = 1000, 250, 0.99
 LANGUAGES, MAX_CHARS = 500, 1_000_000
 #: Scores of different words that a worker keeps, and words that are scored at once, times languages.
 CACHED, AT_ONCE = 1_200_000, 80_000
+#: Values of a table of n-grams by languages that a worker looks up as a whole; larger ones stay sparse.
+SMALL = 2_000_000
 #: Characters that count as independent at most when scores are compared.
 EVIDENCE = 25
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -64,7 +66,7 @@ def words_of(text: str | None) -> list[str]:
     words = WORD.findall((text or "").lower())
     if "".join(words).isalpha():
         return words
-    return ["".join(run) for w in words for letters, run in groupby(w, str.isalpha) if letters]
+    return [x for w in words for x in ([w] if w.isalpha() else ("".join(run) for letters, run in groupby(w, str.isalpha) if letters))]
 
 
 @dataclass
@@ -75,6 +77,7 @@ class Sparse:
     starts: np.ndarray
     languages: np.ndarray
     values: np.ndarray
+    whole: list[np.ndarray] | None = None  # a worker's tables of all hashes by languages, and a last row of what is missing, if they are small
 
     @classmethod
     def of(cls, held: list[dict[str, tuple[float, ...]]], order: int, width: int) -> Sparse:
@@ -93,10 +96,21 @@ class Sparse:
 
     def find(self, keys: np.ndarray, n: int, missing: tuple[float, ...]) -> list[np.ndarray]:
         """For each value a table of keys by n languages."""
+        if not len(self.hashes):
+            return [np.full((len(keys), n), m) for m in missing]
+        at = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
+        found = self.hashes[at] == keys
+        if self.whole is None and len(self.hashes) * n <= SMALL:
+            row = np.repeat(np.arange(len(self.hashes)), np.diff(self.starts))
+            self.whole = [np.full((len(self.hashes) + 1, n), m) for m in missing]
+            for k, x in enumerate(self.whole):
+                x[row, self.languages] = self.values[:, k]
+        if self.whole is not None:
+            at = np.where(found, at, len(self.hashes))
+            return [x[at] for x in self.whole]
         out = [np.full((len(keys), n), m) for m in missing]
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
-            hit = np.flatnonzero(self.hashes[at] == keys)
+        if found.any():
+            hit = np.flatnonzero(found)
             first, sizes = self.starts[at[hit]], self.starts[at[hit] + 1] - self.starts[at[hit]]
             entry = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
             for k, x in enumerate(out):

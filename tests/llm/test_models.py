@@ -169,7 +169,9 @@ def test_a_language_with_many_texts_is_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in ranked._jdf.queryExecution().executedPlan().toString()
 
 
-def test_sparse_tables_hold_what_each_language_has():
+@pytest.mark.parametrize("small", [0, 1000])
+def test_sparse_tables_hold_what_each_language_has(monkeypatch, small):
+    monkeypatch.setattr(language_id, "SMALL", small)
     held = [{"ab": (1.0, 2.0), "cd": (3.0, 4.0)}, {}, {"cd": (5.0, 6.0)}]
     kept = language_id.Sparse.of(held, 2, 2)
     keys = [language_id._hashes(language_id._codes(g), 2)[1] for g in ("cd", "zz", "ab")]
