@@ -219,11 +219,13 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, text: str = "text
 def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with one document of each group of near-duplicates: the one of the smallest doc_id.
 
-    A doc_id on several rows stays if any of them is the first of its group; rows without a doc_id all stay.
+    A doc_id on several rows stays if any of them is the first of its group; rows without a doc_id all stay. The ids that go
+    are stored first, so that Spark knows their size: it sends few of them to all tasks, and shuffles docs only for many.
     """
     groups = near_duplicates(docs, max_bits, text, key).where("doc_id IS NOT NULL")
     name = unused(docs, "gone")
     gone = groups.groupBy(F.col("doc_id").alias(name)).agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first")).where("NOT first").select(name)
+    gone = materialize(gone, "gone")
     return docs.join(gone, docs[key].cast("long") == gone[name], "left_anti")
 
 
