@@ -97,8 +97,11 @@ def measures(text: Column) -> Column:
             n(F.size(F.filter(x, lambda s: F.substring(s, 1, 1).isin("-", "*", "•"))), "n_bullet_lines"),
         )
 
-    found = lambda pattern, name: F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long").alias(name)
-    return F.struct(let(words, counts).alias("w"), let(lines, of_lines).alias("l"), found("[#*$%&|<>]", "n_symbols"), found("[A-Za-z]", "n_latin"))
+    def of_class(chars: str, name: str) -> Column:
+        """Characters of a class, as what a text loses without their runs; regexp_count would make a string of each one."""
+        return F.coalesce(F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]+", "")), F.lit(0)).cast("long").alias(name)
+
+    return F.struct(let(words, counts).alias("w"), let(lines, of_lines).alias("l"), of_class(SYMBOLS, "n_symbols"), of_class("A-Za-z", "n_latin"))
 
 
 def base_failed(of=F.col) -> Column:
