@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sporeline.llm import bpe_codec, decontamination, filter_audit, language_id, quality_rules, simhash_dedup, substring_dedup, token_alignment, token_counts, token_store, toxicity, url_filters
+from sporeline.llm import bpe_codec, decontamination, filter_audit, language_id, license_scan, quality_rules, simhash_dedup, substring_dedup, token_alignment, token_counts, token_store, toxicity, url_filters
 
-_MODULES = (quality_rules, bpe_codec, token_counts, token_store, simhash_dedup, substring_dedup, decontamination, language_id, toxicity, url_filters, token_alignment, filter_audit)
+_MODULES = (quality_rules, bpe_codec, token_counts, token_store, simhash_dedup, substring_dedup, decontamination, language_id, toxicity, url_filters, license_scan, token_alignment, filter_audit)
 
 
 def queries() -> dict:
