@@ -30,9 +30,9 @@ from sporeline.llm._bytebpe import PRE_TOKENS, merge_ranked, vocabulary
 from sporeline.llm._shared import materialize, slices, table
 
 #: UTF-8 bytes of text in a block, one document at least.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Characters of distinct chunks that a worker keeps aligned.
-CACHED = 24_000_000
+CACHED = 12_000_000
 
 #: Both tokenizers cut before a space between two characters that aren't spaces, the second of which isn't white space.
 CUT = re.compile(r"(?<=[^ ]) (?=\S)")
@@ -119,38 +119,70 @@ class Aligner:
             self.link_at.append(len(self.links))
         return n
 
+    def _groups(self, a: np.ndarray, b: np.ndarray, a_at: np.ndarray, b_at: np.ndarray) -> np.ndarray:
+        """The numbers of groups a[a_at[i]:a_at[i + 1]] | b[b_at[i]:b_at[i + 1]]: those of one shape are told apart together."""
+        n_a, n_b = np.diff(a_at), np.diff(b_at)
+        out = np.zeros(len(n_a), np.int64)
+        shapes, of = np.unique(n_a << 32 | n_b, return_inverse=True)
+        by = np.argsort(of, kind="stable")
+        for shape, at in zip(shapes.tolist(), np.split(by, np.cumsum(np.bincount(of))[:-1]), strict=True):
+            na, nb = shape >> 32, shape & 0xFFFFFFFF
+            rows = np.empty((len(at), 1 + na + nb), "<u4")
+            rows[:, 0] = na
+            rows[:, 1 : 1 + na] = a[a_at[at][:, None] + np.arange(na)]
+            rows[:, 1 + na :] = b[b_at[at][:, None] + np.arange(nb)]
+            if na == nb == 1:
+                known, inverse = np.unique(rows[:, 1].astype(np.int64) << 32 | rows[:, 2], return_inverse=True)
+                keys = [group_key([x >> 32], [x & 0xFFFFFFFF]) for x in known.tolist()]
+            else:
+                known, inverse = np.unique(rows.view(f"V{rows.itemsize * rows.shape[1]}").ravel(), return_inverse=True)
+                keys = [x.tobytes() for x in known]
+            out[at] = np.fromiter(map(self._group, keys), np.int64, len(keys))[inverse]
+        return out
+
     def _learn(self) -> None:
-        """Align the chunks in new, which are texts without the space before them."""
+        """Align the chunks in new, which are texts without the space before them, all at once."""
         new, self.new = self.new, []
+        if not new:
+            return
         cut = [PRE_TOKENS.findall(" " + x) for x in new]
         order: dict[str, int] = {}
-        for x in cut:
-            for p in x:
-                order.setdefault(p, len(order))
+        places = np.fromiter((order.setdefault(p, len(order)) for x in cut for p in x), np.int64)
         coded = merge_ranked(self.vocab, [p.encode() for p in order])
-        a_ids = [np.concatenate([coded[order[p]] for p in x]) for x in cut]
-        for chunk, a, b in zip(new, a_ids, self.pieces.encode(new), strict=True):
-            b = np.array(b, np.int64)
-            want = b" " + chunk.encode()
-            a_bytes, b_bytes = (b"".join(map(of.__getitem__, x.tolist())) for of, x in ((self.vocab.bytes_of, a), (self.pieces.bytes_of, b)))
-            found: list[int] = []
-            if a_bytes != want or b_bytes != want or not self.a_sizes[a].all() or not self.b_sizes[b].all():
-                self.bad.add(len(self.chunk_text))
-                a = b = a[:0]
-            else:
-                a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
-                both = np.intersect1d(a_ends, b_ends, assume_unique=True)
-                i, j = np.searchsorted(a_ends, both) + 1, np.searchsorted(b_ends, both) + 1
-                la, lb, i0, j0 = a.tolist(), b.tolist(), 0, 0
-                for i1, j1 in zip(i.tolist(), j.tolist(), strict=True):
-                    found.append(self._group(group_key(la[i0:i1], lb[j0:j1])))
-                    i0, j0 = i1, j1
-            self.chunk_text.append(";".join(map(self.group_text.__getitem__, found)))
-            self.chunk_groups.extend(found)
-            self.chunk_at.append(len(self.chunk_groups))
-            for kind, n in zip(self.chunk_sizes, (len(a), len(b), sum(map(self.group_links.__getitem__, found))), strict=True):
-                kind.append(n)
-            self.held += len(chunk) + len(self.chunk_text[-1]) + 40
+        coded_at = np.r_[0, np.cumsum([len(x) for x in coded])]
+        a, per = _gathered(np.concatenate(coded), coded_at, places)
+        n_a = np.diff(np.r_[0, np.cumsum(per)][np.r_[0, np.cumsum([len(x) for x in cut])]])
+        lists = self.pieces.encode(new)
+        n_b = np.array([len(x) for x in lists])
+        b = np.fromiter((i for x in lists for i in x), np.int64, int(n_b.sum()))
+        want = [b" " + x.encode() for x in new]
+        sizes = np.array([len(x) for x in want])
+        bad = np.zeros(len(new), bool)
+        for ids, n, of, token_sizes in ((a, n_a, self.vocab.bytes_of, self.a_sizes), (b, n_b, self.pieces.bytes_of, self.b_sizes)):
+            ends = np.r_[0, np.cumsum(n)]
+            if b"".join(map(of.__getitem__, ids.tolist())) != b"".join(want) or (np.diff(np.r_[0, np.cumsum(token_sizes[ids])][ends]) != sizes).any() or not token_sizes[ids].all():
+                for i, x in enumerate(want):
+                    held = ids[ends[i] : ends[i + 1]]
+                    bad[i] |= b"".join(map(of.__getitem__, held.tolist())) != x or not token_sizes[held].all()
+        if bad.any():
+            self.bad.update((len(self.chunk_text) + np.flatnonzero(bad)).tolist())
+            a, b = a[np.repeat(~bad, n_a)], b[np.repeat(~bad, n_b)]
+            n_a, n_b, sizes = (np.where(bad, 0, x) for x in (n_a, n_b, sizes))
+        a_ends, b_ends, chunk_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b]), np.cumsum(sizes)
+        ended = np.zeros(int(sizes.sum()) + 1, bool)
+        ended[a_ends] = True
+        both = b_ends[ended[b_ends]]
+        groups = self._groups(a, b, np.r_[0, np.searchsorted(a_ends, both) + 1], np.r_[0, np.searchsorted(b_ends, both) + 1])
+        at = np.r_[0, np.searchsorted(both, chunk_ends, "right")]
+        links = np.diff(np.r_[0, np.cumsum(np.array(self.group_links, np.int64)[groups])][at])
+        names, edges = list(map(self.group_text.__getitem__, groups.tolist())), at.tolist()
+        texts = [";".join(names[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
+        self.held += sum(map(len, new)) + sum(map(len, texts)) + 40 * len(new)
+        self.chunk_text.extend(texts)
+        self.chunk_at.frombytes((at[1:] + len(self.chunk_groups)).astype(np.int64).tobytes())
+        self.chunk_groups.frombytes(groups.astype(np.uint32).tobytes())
+        for kind, n in zip(self.chunk_sizes, (n_a, n_b, links), strict=True):
+            kind.frombytes(n.astype(np.int64).tobytes())
 
     def chunks(self, text: str | None) -> list[int]:
         """The numbers of a text's chunks; those that are new wait to be learned."""
