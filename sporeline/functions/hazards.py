@@ -5,24 +5,37 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A hazard takes age and pressure and gives a rate.
 Hazard = Callable[[Column, Column], Column]
 
-# Coefficients of the Chebyshev fit of erfc by Press et al., constant term first.
-ERFC_FIT = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 LEAST_AGE = 1e-10
 
 
+def rational_series(n: int) -> tuple[float, list[float]]:
+    """Weideman's expansion of the scaled error function: its length L, and n coefficients of powers of (L - z) / (L + z).
+
+    They are the Fourier coefficients of exp(-t^2) (L^2 + t^2) with t = L tan(angle / 2).
+    """
+    length, angles = math.sqrt(n / math.sqrt(2)), np.arange(1 - 2 * n, 2 * n) * math.pi / (2 * n)
+    t = length * np.tan(angles / 2)
+    values = np.r_[0, np.exp(-t * t) * (length * length + t * t)]
+    return length, (np.fft.fft(np.fft.fftshift(values)).real / (4 * n))[1 : n + 1].tolist()
+
+
+LENGTH, SERIES = rational_series(36)
+
+
 def erfcx(z: Column) -> Column:
-    """exp(z^2) erfc(z) with a relative error below 2e-7."""
-    t = 1 / (1 + F.abs(z) / 2)
-    fit = F.lit(ERFC_FIT[-1])
-    for c in reversed(ERFC_FIT[:-1]):
-        fit = F.lit(c) + t * fit
-    right = t * F.exp(fit)
+    """exp(z^2) erfc(z) with a relative error below 1e-13."""
+    x = F.abs(z)
+    ratio, total = (LENGTH - x) / (LENGTH + x), F.lit(SERIES[-1])
+    for c in reversed(SERIES[:-1]):
+        total = F.lit(c) + ratio * total
+    right = (2 * total / (LENGTH + x) + 1 / math.sqrt(math.pi)) / (LENGTH + x)
     return F.when(z >= 0, right).otherwise(2 * F.exp(z * z) - right)
 
 

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sporeline.sources.graphs import Graph
-
-#: Largest over mean degree from which a graph counts as skewed, and as strongly skewed.
-SKEWED, STRONGLY = 4.0, 50.0
+from sporeline.sources.graphs import SKEWED, STRONGLY, Graph
 
 
 def in_degrees(graph: Graph) -> DataFrame:

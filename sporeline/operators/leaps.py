@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sporeline.functions.rng import with_uniform
+from sporeline.functions.rng import with_replica_uniform, with_uniform
 from sporeline.operators.models import Model
 
 
@@ -33,10 +33,13 @@ def rate_summary(rated: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return rated.groupBy(*by).agg(F.count("*").alias("n"), F.min("rate").alias("lowest"), F.max("rate").alias("highest"), F.sum("rate").alias("total"), F.sum(bad.cast("long")).alias("invalid"))
 
 
-def leap(rated: DataFrame, model: Model, lane: Column, seed: int, step: int, tau: Column | None = None) -> DataFrame:
-    """rated (node, state, age, rate, ..) with event, and state and age after the step; tau is a column of rated unless given."""
+def leap(rated: DataFrame, model: Model, lane: Column, seed: int, step: int, tau: Column | None = None, replicas: int | None = None) -> DataFrame:
+    """rated (node, state, age, rate, ..) with event, and state and age after the step; tau is a column of rated unless given.
+
+    With replicas, each value of rated's column replica draws from a stream of its own.
+    """
     tau = F.col("tau") if tau is None else tau
-    drawn = with_uniform(rated, "_u", lane, seed, step)
+    drawn = with_uniform(rated, "_u", lane, seed, step) if replicas is None else with_replica_uniform(rated, "_u", lane, F.col("replica"), replicas, seed, step)
     event = F.col("_u") < event_probability(F.col("rate"), tau)
     after = drawn.withColumn("event", event).withColumn("_to", F.when(F.col("event"), model.transition(F.col("state"))).otherwise(F.col("state")))
     return after.withColumn("age", F.when(F.col("_to") != F.col("state"), F.lit(0.0)).otherwise(F.col("age") + tau)).withColumn("state", F.col("_to")).drop("_u", "_to")

@@ -23,9 +23,8 @@ def rates(graph: Graph, states: DataFrame, model: Model) -> DataFrame:
         felt = J.susceptible_pressure(graph, states, model.susceptible, list(model.inducers)).select("node", F.col("influence").alias("pressure"))
     else:
         listening = states.where(F.col("state") == model.susceptible).select("node")
-        edges = graph.edges.join(listening.select(F.col("node").alias("dst")), "dst", "left_semi")
         sent = states.where(F.col("state").isin(list(model.inducers))).select("node", model.infectivity(F.col("state"), F.col("age")).alias("infectivity"))
-        felt = J.pressure(Graph(listening, edges), sent)
+        felt = J.pressure(J.heard(graph, listening), sent)
     held = states.join(felt, "node", "left").select("node", "state", "age", F.coalesce("pressure", F.lit(0)).cast("double").alias("pressure"))
     rated = held.withColumn("rate", model.rate(F.col("state"), F.col("age"), F.col("pressure")).cast("double"))
     return rated.unionByName(settled.select("node", "state", "age", F.lit(0.0).alias("pressure"), F.lit(0.0).alias("rate"))) if model.absorbing else rated
@@ -53,17 +52,23 @@ def one_step(graph: Graph, states: DataFrame, model: Model, seed: int, step: int
 
 
 def ensemble_rates(graph: Graph, states: DataFrame, model: Model, replicas: int) -> DataFrame:
-    """node, replica, state, age, pressure, rate for states(node, replica, state, age); the edges are joined once for all replicas."""
+    """node, replica, state, age, pressure, rate for states(node, replica, state, age); the edges are joined once for all replicas.
+
+    Rows in absorbing states take no part in joins and have rate 0.
+    """
+    idle = F.col("state").isin(list(model.absorbing))
+    settled, states = states.where(idle), states.where(~idle)
     if model.infectivity is None:
         felt = J.ensemble_influence(graph, states, list(model.inducers), replicas).select("node", "replica", F.col("influence").alias("pressure"))
     else:
         felt = J.ensemble_pressure(graph, states.select("node", "replica", model.infectivity(F.col("state"), F.col("age")).alias("infectivity")))
     held = states.join(felt, ["node", "replica"], "left").select("node", "replica", "state", "age", F.coalesce("pressure", F.lit(0)).cast("double").alias("pressure"))
-    return held.withColumn("rate", model.rate(F.col("state"), F.col("age"), F.col("pressure")).cast("double"))
+    rated = held.withColumn("rate", model.rate(F.col("state"), F.col("age"), F.col("pressure")).cast("double"))
+    return rated.unionByName(settled.select("node", "replica", "state", "age", F.lit(0.0).alias("pressure"), F.lit(0.0).alias("rate"))) if model.absorbing else rated
 
 
 def ensemble_step(graph: Graph, states: DataFrame, model: Model, replicas: int, seed: int, step: int = 1, control: dict | None = None) -> DataFrame:
     """node, replica, state, age, tau, event after one step in which every replica has its own tau."""
     rated = stored(ensemble_rates(graph, states, model, replicas), "rates")
     tau = step_size(rated, model, control or (MARKOV if model.markovian else RENEWAL), ("replica",)).select("replica", "tau")
-    return L.leap(rated.join(F.broadcast(tau), "replica"), model, F.col("node") * replicas + F.col("replica"), seed, step).select("node", "replica", "state", "age", "tau", "event")  # a row for each replica
+    return L.leap(rated.join(F.broadcast(tau), "replica"), model, F.col("node"), seed, step, replicas=replicas).select("node", "replica", "state", "age", "tau", "event")  # a row for each replica

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sporeline.functions import rng
-from sporeline.sources.graphs import Graph, trade_graph
+from sporeline.sources.graphs import Graph, node_range, symmetrised, trade_graph
 
 REPLICAS = 4
 STATE_SEED, EVENT_SEED = 7, 2024
@@ -22,6 +24,14 @@ def trade(spark: SparkSession, sf_dir: str, kind: str = "unit") -> Graph:
     return trade_graph(*(table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer", "supplier")), kind)
 
 
+def regional(spark: SparkSession, sf_dir: str) -> Graph:
+    """Customers and the regions that they live in, after them: few hubs that hold all edges."""
+    customers, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "customer").count()
+    home = customers.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    edges = home.select(F.col("c_custkey").cast("long").alias("src"), (F.col("n_regionkey") + n).cast("long").alias("dst"))
+    return Graph(node_range(spark, n + table(spark, sf_dir, "region").count()), symmetrised(edges))
+
+
 def states(nodes: DataFrame, kind: str, lane=None) -> DataFrame:
     """nodes with state and age: shares by CUTS; in seir's E and I an age below 8, else 0."""
     df = rng.with_uniform(nodes, "_a", F.col("node") if lane is None else lane, STATE_SEED, 1)
@@ -33,9 +43,9 @@ def states(nodes: DataFrame, kind: str, lane=None) -> DataFrame:
     return df.withColumn("state", state).withColumn("age", age).drop("_a", "_b")
 
 
-def ensemble(nodes: DataFrame, kind: str) -> DataFrame:
-    every = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(REPLICAS - 1))).alias("replica"))
-    return states(every, kind, F.col("node") * REPLICAS + F.col("replica"))
+def ensemble(nodes: DataFrame, kind: str, replicas: int = REPLICAS) -> DataFrame:
+    every = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))).alias("replica"))
+    return states(every, kind, F.col("node") * replicas + F.col("replica"))
 
 
 # The same in SQL.
@@ -54,6 +64,9 @@ _PAIRS = {
 
 
 def edges_sql(kind: str = "unit") -> str:
+    if kind == "regional":
+        home = f"SELECT c_custkey::BIGINT AS src, {N_CUSTOMERS} + n_regionkey AS dst, 1 AS weight FROM customer JOIN nation ON c_nationkey = n_nationkey"
+        return f"pairs AS MATERIALIZED ({home}), edges AS MATERIALIZED (SELECT * FROM pairs UNION ALL SELECT dst, src, weight FROM pairs), nodes AS (SELECT unnest(range({N_CUSTOMERS} + (SELECT count(*) FROM region))) AS node)"
     both = "SELECT * FROM pairs" + ("" if kind == "directed" else " UNION ALL SELECT dst, src, weight FROM pairs")
     return f"pairs AS MATERIALIZED ({_PAIRS[kind]}), edges AS MATERIALIZED ({both}), {NODES}"
 
@@ -87,22 +100,27 @@ def states_sql(kind: str, name: str = "states", source: str = "nodes", lane: str
 EVERY = f"every AS (SELECT node, r::INTEGER AS replica FROM nodes, (SELECT unnest(range({REPLICAS})) AS r))"
 
 
-def ensemble_sql(kind: str) -> str:
-    return f"{EVERY}, {states_sql(kind, source='every', lane=f'node * {REPLICAS} + replica')}"
+def ensemble_sql(kind: str, replicas: int = REPLICAS) -> str:
+    every = f"every AS (SELECT node, r::INTEGER AS replica FROM nodes, (SELECT unnest(range({replicas})) AS r))"
+    return f"{every}, {states_sql(kind, source='every', lane=f'node * {replicas} + replica')}"
 
 
-def erfcx_sql(z: str) -> str:
-    from sporeline.functions.hazards import ERFC_FIT
+def replica_uniform_sql(seed: int, step: int, replicas: int = REPLICAS) -> str:
+    """The draw of node and replica, each replica with a stream of its own."""
+    starts = "[" + ", ".join(f"{rng.offset(rng.replica_seed(seed, r), step)}::UHUGEINT" for r in range(replicas)) + "]"
+    word = finish_sql(f"((node::UHUGEINT * {rng.STRIDE}::UHUGEINT + {starts}[replica + 1]) % {_WRAP})::UBIGINT")
+    return f"((({word}) >> 12)::DOUBLE + 0.5) * {2.0**-52!r}::DOUBLE"
 
-    fit = repr(ERFC_FIT[-1]) + "::DOUBLE"
-    for c in reversed(ERFC_FIT[:-1]):
-        fit = f"({c!r}::DOUBLE + t * {fit})"
-    return f"list_transform([{z}], lambda z: CASE WHEN z >= 0 THEN list_transform([1 / (1 + abs(z) / 2)], lambda t: t * exp({fit}))[1] ELSE 2 * exp(z * z) - list_transform([1 / (1 + abs(z) / 2)], lambda t: t * exp({fit}))[1] END)[1]"
 
+def erfcx_sql(z: str) -> str:
+    """exp(z^2) erfc(z): a power series of erf up to 2.4, then the continued fraction of erfc."""
+    down = "[1.0::DOUBLE] || list_reverse(range(1, {n}))::DOUBLE[]"
+    series = f"exp(z * z) - {2 / math.sqrt(math.pi)!r}::DOUBLE * z * list_reduce({down.format(n=90)}, lambda a, k: 1 + a * 2 * z * z / (2 * k + 1))"
+    fraction = f"{1 / math.sqrt(math.pi)!r}::DOUBLE / list_reduce([z] || list_reverse(range(1, 160))::DOUBLE[], lambda a, k: z + k / 2 / a)"
+    return f"list_transform([({z})::DOUBLE], lambda z: CASE WHEN z < 2.4 AND z > -5.5 THEN {series} WHEN z < 0 THEN 2 * exp(z * z) ELSE {fraction} END)[1]"
 
-def lognormal_sql(age: str, mean: float, median: float) -> str:
-    import math
 
+def lognormal_sql(age: str, mean: float, median: float) -> str:
     mu, sigma = math.log(median), math.sqrt(2 * math.log(mean / median))
     return f"list_transform([greatest({age}, 1e-10::DOUBLE)], lambda x: {math.sqrt(2 / math.pi)!r}::DOUBLE / (x * {sigma!r}::DOUBLE * greatest({erfcx_sql(f'(ln(x) - {mu!r}::DOUBLE) / {sigma * math.sqrt(2)!r}::DOUBLE')}, 1e-30::DOUBLE)))[1]"
 

@@ -49,6 +49,18 @@ def csr_neighbor_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.neighbour_lists(X.trade(spark, sf_dir, "multi"))
 
 
+#: Sources in a row of an adjacency in blocks.
+BLOCK = 64
+
+
+@query(
+    f"WITH {X.edges_sql('multi')}, p AS (SELECT dst, src, (row_number() OVER (ORDER BY dst, src) - 1) // {BLOCK} AS s FROM edges), b AS (SELECT dst, s, list(src ORDER BY src) AS l FROM p GROUP BY dst, s) "
+    "SELECT node, (coalesce(row_number() OVER (PARTITION BY node ORDER BY s) - 1, 0))::INTEGER AS block, coalesce(l, []::BIGINT[]) AS sources FROM nodes LEFT JOIN b ON node = dst"
+)
+def csr_neighbor_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.neighbour_blocks(X.trade(spark, sf_dir, "multi"), BLOCK)
+
+
 @query(f"WITH {X.edges_sql()} SELECT src, dst FROM edges")
 def csr_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = X.trade(spark, sf_dir)
@@ -276,7 +288,24 @@ def ensemble_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_ENSEMBLE_INFLUENCE)
 def packed_mask_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = X.trade(spark, sf_dir, "weighted")
-    return J.packed_influence(g, J.packed(X.ensemble(g.nodes, "seir"), [2]), X.REPLICAS)
+    return J.packed_influence(g, J.packed(X.ensemble(g.nodes, "seir"), [2], X.REPLICAS), X.REPLICAS)
+
+
+#: More replicas than a word has bits.
+MANY = 100
+
+
+@query(_ENSEMBLE_INFLUENCE.replace(_ENSEMBLE, f"WITH {X.edges_sql('weighted')}, {X.ensemble_sql('seir', MANY)}"))
+def packed_mask_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = X.trade(spark, sf_dir, "weighted")
+    return J.packed_influence(g, J.packed(X.ensemble(g.nodes, "seir", MANY), [2], MANY), MANY)
+
+
+@query(_influence_sql("regional"))
+def hub_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On a graph whose few hubs hold all edges: the gather is chosen by the skew measured when the graph is stored."""
+    g = X.regional(spark, sf_dir).stored()
+    return J.influence(g, _states(g), [2])
 
 
 @query(f"{_ENSEMBLE}, felt AS (SELECT dst, replica, sum(weight * age) AS p FROM edges JOIN states ON src = node WHERE age > 0 GROUP BY ALL) SELECT dst AS node, replica, round(p, 6) AS pressure FROM felt")
@@ -311,3 +340,22 @@ def frontier_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frontier_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = X.trade(spark, sf_dir, "weighted")
     return J.frontier_edges(g, _changed(g))
+
+
+# Five changes of a fifth of the nodes each (by node % 5), of which the first sends all its nodes on and the others a tenth of theirs.
+_TURNS = 5
+
+
+@query(
+    f"WITH {X.edges_sql('weighted')}, {X.states_sql('seir')}, new AS (SELECT node, CASE WHEN node % {_TURNS} = 0 OR {X.uniform_sql('node', 3, 2)} < 0.1 THEN least(state + 1, 3) ELSE state END AS state FROM states), "
+    "felt AS (SELECT dst, sum(weight)::BIGINT AS w FROM edges JOIN new ON src = node WHERE state = 2 GROUP BY dst) SELECT node, coalesce(w, 0) AS influence FROM nodes LEFT JOIN felt ON dst = node"
+)
+def frontier_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The influence after five changes, kept up by frontier steps and made anew after two of them or a change of a fifth of all edges."""
+    g = X.trade(spark, sf_dir, "weighted").stored()
+    held = J.Frontier.started(g, _states(g), [2], rebuild_after=2)
+    for k in range(_TURNS):
+        moved = (F.col("node") % _TURNS == k) & ((F.col("u") < 0.1) | F.lit(k == 0))
+        drawn = with_uniform(held.states, "u", F.col("node"), 3, 2).where(moved)
+        held = held.after(drawn.select("node", F.col("state").alias("before"), F.least(F.col("state") + 1, F.lit(3)).alias("after")))
+    return held.influence

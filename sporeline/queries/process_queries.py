@@ -201,6 +201,16 @@ def hazard_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ages(spark, sf_dir).select("age", F.round(H.hazard("gamma", shape=4.0, scale=2.5)(F.col("age"), F.lit(0.0)), 9).alias("hazard"))
 
 
+#: The survival for shape 2.5 by erfc of the root and the finite sum that half-integer shapes leave.
+_TAIL = f"sqrt(x) * {2 / math.sqrt(math.pi)!r}::DOUBLE * (1 + 2 * x / 3)"
+
+
+@query(f"SELECT age, round(pow(x, 1.5) / {math.gamma(2.5)!r}::DOUBLE / ({X.erfcx_sql('sqrt(x)')} + {_TAIL}) / 4, 9) AS hazard FROM (SELECT age, age / 4.0::DOUBLE AS x FROM {_AGES})")
+def hazard_gamma_fractional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shape that isn't a whole number."""
+    return _ages(spark, sf_dir).select("age", F.round(H.hazard("gamma", shape=2.5, scale=4.0)(F.col("age"), F.lit(0.0)), 9).alias("hazard"))
+
+
 def _markov_sql(rated: str, by: str = "") -> str:
     c = steps.MARKOV
     return f"SELECT {by}CASE WHEN sum(rate) <= 0 THEN {c['tau_max']} ELSE least(greatest({c['theta']}::DOUBLE * count(*) / sum(rate), {c['tau_min']}::DOUBLE), {-math.log1p(-c['max_prob'])!r}::DOUBLE / max(rate), {c['tau_max']}::DOUBLE) END AS tau FROM {rated}"
@@ -240,7 +250,8 @@ def event_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _step_sql(model: str, keys: str, rated: str, taus: str, lane: str, step: int, name: str) -> str:
     """CTEs for the states after a step, in table name: its rates are those of the select in rated."""
     sized = f"{name}_r JOIN {name}_t USING (replica)" if "replica" in keys else f"{name}_r, {name}_t"
-    event = f"({X.uniform_sql(lane, X.EVENT_SEED, step)}) < {X.expm1_sql('(rate * tau)')}"
+    draw = X.replica_uniform_sql(X.EVENT_SEED, step) if "replica" in keys else X.uniform_sql(lane, X.EVENT_SEED, step)
+    event = f"({draw}) < {X.expm1_sql('(rate * tau)')}"
     after = f"CASE WHEN event THEN {_NEXT[model]} ELSE state END"
     return (
         f"{name}_r AS MATERIALIZED ({rated}), {name}_t AS MATERIALIZED ({taus}), "
@@ -274,6 +285,14 @@ def seir_agedep_one_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _one_step(spark, sf_dir, "seir_age")
 
 
+@query(_one_step_sql("seir", "regional"))
+def hub_seir_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step on a graph whose few hubs hold all edges, gathered by its measured skew."""
+    g = X.regional(spark, sf_dir).stored()
+    after = steps.one_step(g, X.states(g.nodes, "seir"), SEIR, X.EVENT_SEED)
+    return after.select("node", "state", F.round("age", 9).alias("age"), F.round("tau", 12).alias("tau"))
+
+
 def _run_sql(model: str, count: int) -> str:
     tau = _markov_sql if model in ("sis", "sir") else _renewal_sql
     ctes, before = [], "states"

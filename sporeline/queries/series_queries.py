@@ -102,6 +102,28 @@ def linear_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.resampled(_samples(c), _grid(c), linear=True).withColumn("infected", F.round("infected", 9))
 
 
+@query(f"WITH {_CURVES}, {_GRID} SELECT grid.run, grid.t, c.infected::DOUBLE AS infected FROM grid ASOF LEFT JOIN curves c ON grid.run = c.run AND grid.t >= c.t")
+def asof_resample_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = curves(spark, sf_dir)
+    return T.resampled_by_range(_samples(c), _grid(c))
+
+
+#: One run of all events: a sample for each second that has any, a grid time for each half hour.
+_LONG = f"seconds AS (SELECT date_diff('second', DATE '{START}'::TIMESTAMP, date_trunc('second', ts))::DOUBLE AS t, count(*)::DOUBLE AS v FROM events GROUP BY ALL), times AS (SELECT unnest(range(1600)) * 1800.0::DOUBLE AS t)"
+
+
+@query(
+    f"WITH {_LONG}, lo AS (SELECT g.t, s.t AS t0, s.v AS v0 FROM times g ASOF LEFT JOIN seconds s ON g.t >= s.t), hi AS (SELECT lo.*, s.t AS t1, s.v AS v1 FROM lo ASOF LEFT JOIN seconds s ON lo.t <= s.t) "
+    "SELECT 0 AS run, t, round(CASE WHEN t1 IS NULL OR t1 = t0 THEN v0 ELSE v0 + (t - t0) / (t1 - t0) * (v1 - v0) END, 9)::DOUBLE AS infected FROM hi"
+)
+def linear_resample_long_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One long run, which spans all ranges."""
+    second = F.unix_timestamp(F.date_trunc("second", "ts").cast("timestamp")) - F.unix_timestamp(F.lit(START).cast("timestamp"))
+    samples = X.table(spark, sf_dir, "events").groupBy(second.cast("double").alias("t")).agg(F.count("*").alias("infected")).withColumn("run", F.lit(0))
+    grid = spark.range(1600).select(F.lit(0).alias("run"), (F.col("id") * 1800.0).alias("t"))
+    return T.resampled_by_range(samples, grid, linear=True).withColumn("infected", F.round("infected", 9))
+
+
 _WORK = f"work AS (SELECT date_diff('second', DATE '{START}'::TIMESTAMP, date_trunc('second', ts)) AS b, abs(coalesce(value, 0)) * 600 AS d FROM events), spans AS (SELECT b::DOUBLE AS b, b + d AS e, d AS amount FROM work WHERE d > 0)"
 
 
@@ -127,6 +149,19 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.bootstrap_interval(numbered(totals, "run", name="i").select("i", "x"), 17, 200).select(*X.rounded("low", "high"))
 
 
+@query(
+    f"WITH {_CURVES}, vals AS (SELECT row_number() OVER (ORDER BY run) - 1 AS i, c AS x FROM (SELECT run, sum(infected)::DOUBLE AS c FROM curves GROUP BY run)), "
+    "chances AS (SELECT unnest(range(20)) AS k), steps AS (SELECT list(c ORDER BY k) AS l FROM (SELECT k, sum(exp(-1.0::DOUBLE) / factorial(k::INTEGER)) OVER (ORDER BY k) AS c FROM chances)), "
+    f"w AS (SELECT b, x, list_count(list_filter(l, lambda c: c <= u)) AS w FROM (SELECT b, x, {X.uniform_sql('i * 200 + b', 17, 1)} AS u FROM vals, (SELECT unnest(range(200)) AS b)), steps), "
+    "m AS (SELECT b, sum(w * x) / sum(w) AS m FROM w GROUP BY b) SELECT round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m"
+)
+def bootstrap_poisson_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sporeline.sources.graphs import numbered
+
+    totals = curves(spark, sf_dir).groupBy("run").agg(F.sum("infected").cast("double").alias("x"))
+    return T.poisson_interval(numbered(totals, "run", name="i").select("i", "x"), 17, 200).select(*X.rounded("low", "high"))
+
+
 @query(f"WITH {_CURVES}, m AS (SELECT 'peak' AS name, max(infected)::DOUBLE AS value FROM curves UNION ALL SELECT 'mean', round(avg(infected), 9) FROM curves UNION ALL SELECT 'runs', count(DISTINCT run)::DOUBLE FROM curves), b AS (SELECT * FROM (VALUES ('peak', 50.0::DOUBLE), ('mean', 2.0::DOUBLE)) v(name, band)) SELECT m.name, value, band, coalesce(value <= band, false) AS passed FROM m LEFT JOIN b ON m.name = b.name")
 def banded_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = curves(spark, sf_dir)

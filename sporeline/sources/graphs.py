@@ -5,21 +5,26 @@ Parallel edges and self-loops stay and add up. A graph without a weight column i
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sporeline.sources.storage import stored
+from sporeline.sources.storage import dropped, stored
 
+#: Largest over mean degree from which a graph counts as skewed, and as strongly skewed.
+SKEWED, STRONGLY = 4.0, 50.0
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 @dataclass(frozen=True)
 class Graph:
+    """hubs(node, out_salts, in_salts), if the graph's skew was measured and any node has more edges than a task should hold."""
+
     nodes: DataFrame
     edges: DataFrame
+    hubs: DataFrame | None = None
 
     @property
     def weighted(self) -> bool:
@@ -32,7 +37,40 @@ class Graph:
     def transpose(self) -> Graph:
         """The same edges in the opposite direction, with their weights."""
         rest = [c for c in self.edges.columns if c not in ("src", "dst")]
-        return Graph(self.nodes, self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest))
+        hubs = None if self.hubs is None else self.hubs.select("node", F.col("in_salts").alias("out_salts"), F.col("out_salts").alias("in_salts"))
+        return Graph(self.nodes, self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest), hubs)
+
+    def measured(self, tasks: int | None = None) -> Graph:
+        """The graph with its hubs, from one count of edges by node: gathers deal a hub's edges to several tasks.
+
+        A hub's edges on one side are more than half of what each of so many tasks would have; there are less than 4 * tasks of
+        them, whatever the graph. A graph whose largest degree is near the mean has no hubs to look for.
+        """
+        n = tasks or int(self.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"))))
+        degrees = stored(self.edges.select(ends.alias("e")).groupBy("e.node").agg(F.sum("e.o").alias("o"), F.sum("e.i").alias("i")), "degrees")
+        found = degrees.agg(F.sum("o").alias("edges"), F.max(F.greatest("o", "i")).alias("most"), F.count("*").alias("nodes")).first()
+        if not found.edges or found.most < SKEWED * found.edges / found.nodes or 2 * n * found.most <= found.edges:
+            dropped(degrees)
+            return replace(self, hubs=None)
+        salts = lambda c: F.greatest(F.ceil(2 * n * F.col(c) / found.edges), F.lit(1)).cast("int")
+        hubs = stored(degrees.where(F.greatest("o", "i") * 2 * n > found.edges).select("node", salts("o").alias("out_salts"), salts("i").alias("in_salts")), "hubs")
+        dropped(degrees)
+        return replace(self, hubs=hubs)
+
+    def joined(self, side: DataFrame, end: str, how: str = "inner") -> DataFrame:
+        """The edges joined with side on its column named end (src or dst), of which side has a few rows for each node.
+
+        Where the graph has hubs, their edges are dealt out by the other end, and side's rows for them are copied as often.
+        """
+        if self.hubs is None:
+            return self.edges.join(side, end, how)
+        salts, other = ("out_salts", "dst") if end == "src" else ("in_salts", "src")
+        hubs = F.broadcast(self.hubs.select(F.col("node").alias(end), F.col(salts).alias("_salts")))  # less than 4 * tasks rows
+        salt = F.when(F.col("_salts") > 1, F.pmod(F.xxhash64(other), F.col("_salts"))).otherwise(0).cast("int")
+        dealt = self.edges.join(hubs, end, "left").withColumn("_salt", salt).drop("_salts")
+        copies = side.join(hubs, end, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+        return dealt.join(copies, [end, "_salt"], how).drop("_salt")
 
     def with_weights(self, weights: DataFrame) -> Graph:
         """New weights from a table (src, dst, weight) or (src, dst, nth, weight).
@@ -49,16 +87,16 @@ class Graph:
         held = edges.join(new, by, "left")
         edge = F.concat(F.col("src").cast("string"), F.lit(" to "), F.col("dst").cast("string"))
         checked = F.when(F.col("rows").isNull() | F.col("weight").isNull(), F.raise_error(F.concat(F.lit("no weight for the edge from "), edge)).cast("double")).when(F.col("rows") > 1, F.raise_error(F.concat(F.lit("two weights for the edge from "), edge)).cast("double")).otherwise(F.col("weight"))
-        return Graph(self.nodes, held.select("src", "dst", checked.alias("weight")))
+        return replace(self, edges=held.select("src", "dst", checked.alias("weight")))
 
     def rounded_weights(self) -> Graph:
         """Weights with the 8 significant bits that a 16-bit brain float keeps, as doubles."""
         power = F.pow(F.lit(2.0), F.floor(F.log2(F.abs("weight"))) - 7)
-        return Graph(self.nodes, self.edges.withColumn("weight", F.when(F.col("weight") == 0, F.col("weight")).otherwise(F.rint(F.col("weight") / power) * power)))
+        return replace(self, edges=self.edges.withColumn("weight", F.when(F.col("weight") == 0, F.col("weight")).otherwise(F.rint(F.col("weight") / power) * power)))
 
     def stored(self) -> Graph:
-        """The graph in the shared folder, edges dealt out by their target: for many steps over one graph."""
-        return Graph(stored(self.nodes, "nodes"), stored(self.edges.repartition("dst"), "edges"))
+        """The graph in the shared folder, with its hubs measured: for many steps over one graph."""
+        return Graph(stored(self.nodes, "nodes"), stored(self.edges, "edges")).measured()
 
 
 def node_range(spark: SparkSession, n: int) -> DataFrame:
@@ -114,14 +152,19 @@ def numbered(df: DataFrame, *order, name: str = "number", partitions: int | None
     return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
 
 
+def ranged(df: DataFrame, name: str, *order, partitions: int | None = None) -> DataFrame:
+    """df in the shared folder, dealt out to ranges of the order; _part numbers them in that order."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), name)
+
+
 def csr_rows(graph: Graph) -> DataFrame:
     """node, row_start, row_end: each target's slice of the edges in order of (dst, src).
 
     The running sum over nodes is taken within ranges of ids, and over the ranges' sums.
     """
-    n = int(graph.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     degree = graph.nodes.join(graph.edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("degree")), "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
-    ranges = stored(degree.repartitionByRange(n, "node").withColumn("_part", F.spark_partition_id()), "degrees")
+    ranges = ranged(degree, "degrees", "node")
     sums = ranges.groupBy("_part").agg(F.sum("degree").alias("_n"))
     before = sums.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     running = ranges.withColumn("row_end", F.sum("degree").over(Window.partitionBy("_part").orderBy("node")))
@@ -135,6 +178,20 @@ def neighbour_lists(graph: Graph) -> DataFrame:
     return graph.nodes.join(held, "node", "left").select("node", F.coalesce("sources", F.array().cast("array<bigint>")).alias("sources"))
 
 
+def neighbour_blocks(graph: Graph, size: int = 4096) -> DataFrame:
+    """node, block, sources: as neighbour_lists, but a row has at most size sources, so that a hub's list spans many rows.
+
+    Edges are numbered in the order of (dst, src) over all ranges, and a block ends where a multiple of size is passed. Blocks of
+    a node count from 0 and its sources go on from block to block in order; isolated nodes have one empty block.
+    """
+    if size < 1:
+        raise ValueError("a block has room for one source at least")
+    placed = numbered(graph.edges.select("dst", "src"), "dst", "src").select("dst", "src", F.expr(f"number div {int(size)}").alias("_stretch"))
+    held = placed.groupBy(F.col("dst").alias("node"), "_stretch").agg(F.sort_array(F.collect_list("src")).alias("sources"))
+    counted = held.withColumn("block", F.row_number().over(Window.partitionBy("node").orderBy("_stretch")) - 1)
+    return graph.nodes.join(counted, "node", "left").select("node", F.coalesce("block", F.lit(0)).alias("block"), F.coalesce("sources", F.array().cast("array<bigint>")).alias("sources"))
+
+
 def symmetrised(edges: DataFrame) -> DataFrame:
     """edges and each of them in the opposite direction."""
     rest = [c for c in edges.columns if c not in ("src", "dst")]

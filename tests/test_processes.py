@@ -66,7 +66,7 @@ def test_seeds_of_episodes_are_distinct():
 def test_erfcx_against_erfc(spark):
     xs = [-5, -2.5, -1, -0.1, 0, 0.3, 1, 2, 3.5, 5, 9, 20]
     want = [math.exp(x * x) * math.erfc(x) for x in xs]
-    assert evaluate(spark, xs, H.erfcx) == pytest.approx(want, rel=2e-7)
+    assert evaluate(spark, xs, H.erfcx) == pytest.approx(want, rel=1e-12)
 
 
 def test_hazards_have_their_values(spark):
@@ -103,7 +103,7 @@ def test_ensemble_influence_as_a_loop_over_edges(spark):
     state = {(n, k): r.randrange(3) for n in range(4) for k in range(5)}
     states = spark.createDataFrame([(n, k, s) for (n, k), s in state.items()], "node long, replica int, state int")
     want = {(n, k): sum(w for a, b, w in edges if b == n and state[a, k] in (1, 2)) for n, k in state}
-    for got in (J.ensemble_influence(g, states, [1, 2], 5), J.packed_influence(g, J.packed(states, [1, 2]), 5)):
+    for got in (J.ensemble_influence(g, states, [1, 2], 5), J.packed_influence(g, J.packed(states, [1, 2], 5), 5)):
         assert {(x.node, x.replica): x.influence for x in got.collect()} == want
 
 
