@@ -30,13 +30,15 @@ LENGTH, SERIES = rational_series(36)
 
 
 def erfcx(z: Column) -> Column:
-    """exp(z^2) erfc(z) with a relative error below 1e-13."""
-    x = F.abs(z)
-    ratio, total = (LENGTH - x) / (LENGTH + x), F.lit(SERIES[-1])
-    for c in reversed(SERIES[:-1]):
-        total = F.lit(c) + ratio * total
-    right = (2 * total / (LENGTH + x) + 1 / math.sqrt(math.pi)) / (LENGTH + x)
-    return F.when(z >= 0, right).otherwise(2 * F.exp(z * z) - right)
+    """exp(z^2) erfc(z) with a relative error below 1e-13. z and the series are evaluated once a row: a lambda's variable is never inlined."""
+    series = F.array(*(F.lit(c) for c in reversed(SERIES)))
+
+    def right(x: Column) -> Column:
+        total = F.transform(F.array((LENGTH - x) / (LENGTH + x)), lambda r: F.aggregate(series, F.lit(0.0), lambda sum_, c: c + r * sum_))[0]
+        return (2 * total / (LENGTH + x) + 1 / math.sqrt(math.pi)) / (LENGTH + x)
+
+    signed = lambda z: F.transform(F.array(right(F.abs(z))), lambda y: F.when(z >= 0, y).otherwise(2 * F.exp(z * z) - y))[0]
+    return F.transform(F.array(z), signed)[0]
 
 
 def lognormal_parameters(mean: float, median: float) -> tuple[float, float]:

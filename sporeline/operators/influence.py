@@ -59,12 +59,17 @@ def salted_influence(graph: Graph, states: DataFrame, inducers: list[int]) -> Da
     return influence(graph if graph.hubs is not None else graph.measured(), states, inducers)
 
 
-def ensemble_influence(graph: Graph, states: DataFrame, inducers: list[int], replicas: int) -> DataFrame:
-    """node, replica, influence from states(node, replica, state). The edges are joined once: a source brings a list of its replicas."""
+def ensemble_felt(graph: Graph, states: DataFrame, inducers: list[int], replicas: int) -> DataFrame:
+    """node, replica, influence of those with any, from states(node, replica, state). The edges are joined once: a source brings a list of its replicas."""
     sending = states.where(F.col("state").isin(inducers)).groupBy(F.col("node").alias("src")).agg(F.collect_list("replica").alias("_in"))
     sums = [F.sum(F.when(F.array_contains("_in", r), graph.weight).otherwise(0)).alias(str(r)) for r in range(replicas)]
     wide = graph.joined(sending, "src").groupBy(F.col("dst").alias("node")).agg(*sums)
-    long = wide.select("node", F.posexplode(F.array(*(F.col(str(r)) for r in range(replicas)))).alias("replica", "influence"))
+    return wide.select("node", F.posexplode(F.array(*(F.col(str(r)) for r in range(replicas)))).alias("replica", "influence")).where("influence <> 0")
+
+
+def ensemble_influence(graph: Graph, states: DataFrame, inducers: list[int], replicas: int) -> DataFrame:
+    """node, replica, influence for every node and replica."""
+    long = ensemble_felt(graph, states, inducers, replicas)
     every = graph.nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))).alias("replica"))
     return every.join(long, ["node", "replica"], "left").select("node", "replica", F.coalesce("influence", F.lit(0)).alias("influence"))
 

@@ -54,17 +54,16 @@ def one_step(graph: Graph, states: DataFrame, model: Model, seed: int, step: int
 def ensemble_rates(graph: Graph, states: DataFrame, model: Model, replicas: int) -> DataFrame:
     """node, replica, state, age, pressure, rate for states(node, replica, state, age); the edges are joined once for all replicas.
 
-    Rows in absorbing states take no part in joins and have rate 0.
+    Only nodes that feel anything come back from the edges, and rows in absorbing states have rate 0 without a hazard.
     """
     idle = F.col("state").isin(list(model.absorbing))
-    settled, states = states.where(idle), states.where(~idle)
     if model.infectivity is None:
-        felt = J.ensemble_influence(graph, states, list(model.inducers), replicas).select("node", "replica", F.col("influence").alias("pressure"))
+        felt = J.ensemble_felt(graph, states, list(model.inducers), replicas).select("node", "replica", F.col("influence").alias("pressure"))
     else:
         felt = J.ensemble_pressure(graph, states.select("node", "replica", model.infectivity(F.col("state"), F.col("age")).alias("infectivity")))
     held = states.join(felt, ["node", "replica"], "left").select("node", "replica", "state", "age", F.coalesce("pressure", F.lit(0)).cast("double").alias("pressure"))
-    rated = held.withColumn("rate", model.rate(F.col("state"), F.col("age"), F.col("pressure")).cast("double"))
-    return rated.unionByName(settled.select("node", "replica", "state", "age", F.lit(0.0).alias("pressure"), F.lit(0.0).alias("rate"))) if model.absorbing else rated
+    rate = model.rate(F.col("state"), F.col("age"), F.col("pressure")).cast("double")
+    return held.withColumn("rate", F.when(idle, F.lit(0.0)).otherwise(rate) if model.absorbing else rate)
 
 
 def ensemble_step(graph: Graph, states: DataFrame, model: Model, replicas: int, seed: int, step: int = 1, control: dict | None = None) -> DataFrame:
