@@ -6,7 +6,7 @@ before the next change; of changes on one day the last by name of action holds.
 hosts of a day are judged once: they meet the intervals of their host and of all its parent domains by an equi-join on
 the pattern and a range of dates, the longest pattern in force decides, and the verdict goes back to every capture.
 
-A url that is null or has no host is allowed and has no host. A capture without a date meets no entry. Changes with a
+A url that is null or has no host (or one of more than LONGEST characters) is allowed and has no host. A capture without a date meets no entry. Changes with a
 null pattern, date or action don't count; repeated changes count once. Repeated captures each keep their row, and an
 empty list allows all. Extra columns don't matter; a kept column with the name of a result column is returned with
 "kept_" before its name. Domains with very many hosts, and hosts with very many captures on a day, are dealt to many tasks.
@@ -19,26 +19,36 @@ from pyspark.sql import functions as F
 
 from sporeline.llm._shared import salted_join, table
 
+# Fixed value: characters of a host name at most.
+LONGEST = 253
+
+
 def host_of(url: Column) -> Column:
-    """The lower-cased host of an absolute url, without user, port and leading www; null if there is none."""
-    host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:@]+)", 1)
-    return F.when(host != "", host)
+    """The lower-cased host of an absolute url, without user, port and dots at its end; null if there is none, or one too long for a name.
+
+    An address in brackets is a host as it stands. A leading www. goes if a name with a dot is left.
+    """
+    found = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[\]]+)", 1)
+    name = F.regexp_replace(found, r"\.+$", "")
+    host = F.when(name.startswith("www.") & F.substr(name, F.lit(5)).contains("."), F.substr(name, F.lit(5))).otherwise(name)
+    return F.when((host != "") & (F.length(host) <= LONGEST), host)
 
 
 def intervals(changes: DataFrame) -> DataFrame:
     """pattern, action, valid_from, valid_to (exclusive, null while in force) from pattern, changed_on, action."""
     known = changes.where("pattern IS NOT NULL AND changed_on IS NOT NULL AND action IN ('block', 'allow', 'remove')")
-    daily = known.groupBy(F.lower("pattern").alias("pattern"), "changed_on").agg(F.max("action").alias("action"))
+    daily = known.groupBy(F.regexp_replace(F.lower("pattern"), r"\.+$", "").alias("pattern"), "changed_on").agg(F.max("action").alias("action"))
     following = F.lead("changed_on").over(Window.partitionBy("pattern").orderBy("changed_on"))
     return daily.withColumn("valid_to", following).where("action <> 'remove'").select("pattern", "action", F.col("changed_on").alias("valid_from"), "valid_to")
 
 
 def _names(host: Column) -> Column:
-    """A host and its parent domains that have a dot, longest first."""
+    """A host and its parent domains that have a dot, longest first; an address has no parents."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
     every = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
-    return F.when(host.isNotNull(), every)
+    address = host.startswith("[") | host.rlike(r"^[0-9.]+$")
+    return F.when(host.isNotNull(), F.when(address, F.array(host)).otherwise(every))
 
 
 def judge(captures: DataFrame, changes: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -113,13 +123,22 @@ def _sql_digits(text: str, at: int) -> str:
 
 _SQL_NAMES = """
   SELECT DISTINCT host, array_to_string(l[i:], '.') AS pattern
-  FROM (SELECT host, l, unnest(range(1, greatest(len(l) - 1, 1) + 1)) AS i FROM (SELECT DISTINCT host, string_split(host, '.') AS l FROM cap WHERE host IS NOT NULL))
+  FROM (SELECT host, l, unnest(range(1, CASE WHEN host[1] = '[' OR len(list_filter(l, lambda x: NOT regexp_full_match(x, '[0-9]*'))) = 0 THEN 2 ELSE greatest(len(l) - 1, 1) + 1 END)) AS i FROM (SELECT DISTINCT host, string_split(host, '.') AS l FROM cap WHERE host IS NOT NULL))
 """
 ORACLE_SQL = rf"""
-WITH cap AS (
-  SELECT page_id, nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:@]+)', 1), '') AS host,
-         DATE '{FIRST_DAY}' + {_sql_digits("'fetched ' || page_id", 1)} % {DAYS} AS fetched_on
+WITH parts AS (
+  SELECT page_id, CASE WHEN regexp_full_match(split_part(lower(url), '://', 1), '[a-z][a-z0-9+.-]*') AND contains(url, '://')
+                       THEN string_split(string_split_regex(split_part(lower(url), '://', 2) || '/', '[/?#]')[1], '@') END AS a
   FROM pages
+), named AS (
+  SELECT page_id, rtrim(CASE WHEN x[1] <> '[' THEN split_part(x, ':', 1) WHEN contains(x, ']') THEN x[:strpos(x, ']')] ELSE '' END, '.') AS name
+  FROM (SELECT page_id, CASE WHEN len(a) > 1 AND a[2] <> '' THEN a[2] ELSE a[1] END AS x FROM parts)
+), hosts AS (
+  SELECT page_id, CASE WHEN l[1] = 'www' AND len(l) > 2 THEN array_to_string(l[2:], '.') ELSE name END AS host FROM (SELECT *, string_split(name, '.') AS l FROM named)
+), cap AS (
+  SELECT page_id, CASE WHEN host <> '' AND length(host) <= {LONGEST} THEN host END AS host,
+         DATE '{FIRST_DAY}' + {_sql_digits("'fetched ' || page_id", 1)} % {DAYS} AS fetched_on
+  FROM hosts
 ), names AS ({_SQL_NAMES}), drawn AS (
   SELECT pattern, {_sql_digits("pattern", 1)} % {DAYS} AS a, {_sql_digits("pattern", 4)} % 90 AS b, {_sql_digits("pattern", 7)} % 90 AS c,
          {_sql_digits("pattern", 10)} % 12 AS d, contains(pattern, 'spam') AS spam
