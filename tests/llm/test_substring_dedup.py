@@ -214,12 +214,12 @@ def test_exact_repeats_against_all_pairs(spark):
             assert len(bare) <= 1 or {docs[i] == docs[bare[0]] for i in bare} == {True}
 
 
-@pytest.mark.parametrize(("every", "least"), [(7, 0.9), (10, 0.95), (15, 0.97)])
-def test_recall_of_fuzzy_passages(spark, every, least):
+@pytest.mark.parametrize(("size", "every", "least"), [(45, 7, 0.9), (45, 10, 0.9), (70, 6, 0.9), (70, 7, 0.97), (70, 10, 0.97), (70, 15, 0.97), (120, 6, 0.9)])
+def test_recall_of_fuzzy_passages(spark, size, every, least):
     rng = random.Random(15)
     docs = []
     for _ in range(60):
-        passage = prose(rng, 70)
+        passage = prose(rng, size)
         docs += [prose(rng, 40) + passage + prose(rng, 40), prose(rng, 40) + ["zz" + w if i % every == every // 2 else w for i, w in enumerate(passage)] + prose(rng, 40)]
     rows = S.repeated(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], SCHEMA).repartition(5)).collect()
     pairs = {frozenset((r.doc_id, o)) for r in rows for o in r.others}
