@@ -19,8 +19,9 @@ A stretch of a text is repeated if chains of LEAST words or more, SIMILAR or mor
 without a gap. Each stretch is reported with its chains' originals, which are in texts of lower keys. Every run of SEED + WINDOW - 1
 equal words shares a seed. Every run of LEAST words in a longer equal run shares a partner with which it makes a chain of LEAST
 words, however often its parts stand in the corpus and however texts are dealt to tasks, so that exact repeats are
-found whole. Fuzzy ones need equal runs of six words, or of five for two of three: of passages of 70 and of 120 words, the tests
-hold nine of ten found with every sixth word changed (five of six words equal); with every fifth one changed there is no seed.
+found whole. Fuzzy ones need runs of equal words long enough for seeds that stand near each other: of passages of 70 words and more,
+the tests hold nine of ten found with every seventh word changed; with every sixth one changed, two of three are found, and with
+every fifth one there is no seed.
 
 Null texts and those of fewer than SEED words have no passages. Rows with equal texts are copies: all but those of the
 smallest doc_id are reported as copies of it, and the text's stretches once. Null and repeated doc_ids are reported like
@@ -47,7 +48,7 @@ from sporeline.llm._edits import distance
 from sporeline.llm._shared import discard, discarded_after, materialize, salted_join, slices, table, unused
 
 WORD = re.compile(r"\w+")
-SEED, WINDOW = 5, 2
+SEED, WINDOW = 5, 3
 #: Words of a repeated stretch, of a chain in it, and the share of equal words, at least.
 MIN_WORDS, LEAST, SIMILAR = 40, 20, 0.8
 #: Words between anchors of a chain at most, words beyond its ends that are looked at, and those that count when a text's chains are too few for a stretch.
