@@ -66,18 +66,16 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-#: A key is hot if it holds more than a HOT-th of all rows.
-HOT = 1024
+#: A key is hot if it holds more than a HOT-th of all rows; it is dealt to so many SALTS.
+HOT, SALTS = 1024, 64
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", spread: str | None = None) -> DataFrame:
     """big joined with small (few rows for each key) on key, where any share of big's rows may have one key.
 
     A frequent-items sketch names the hot keys, which are less than HOT whatever the input. Their rows of big are dealt to
-    as many groups as there are shuffle partitions by a hash of the column spread (by default, of all but the key that have one), and
-    those of small are copied to each: whatever share a key has, its rows are then as many in each task as if keys were even.
+    SALTS groups by a hash of the column spread (by default, of all but the key that have one), and those of small are copied to each.
     """
-    salts = max(2, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sketch = big.select(F.col(key).alias("k")).stat.freqItems(["k"], 1 / HOT).first()[0]
     hot = [x for x in sketch or [] if x is not None]
     if not hot:
@@ -85,8 +83,8 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
     salt = unused(small, unused(big, "salt"))
     kinds = {c: t for c, t in big.dtypes if "map<" not in t and "variant" not in t}
     by = [spread] if spread else [c for c in kinds if c != key]
-    dealt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in by)), F.lit(salts))).otherwise(0).cast("int") if by else F.lit(0)
-    copies = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1) if by else F.lit(0))).otherwise(F.array(F.lit(0)))
+    dealt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in by)), F.lit(SALTS))).otherwise(0).cast("int") if by else F.lit(0)
+    copies = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1) if by else F.lit(0))).otherwise(F.array(F.lit(0)))
     return big.withColumn(salt, dealt).join(small.withColumn(salt, F.explode(copies)), [key, salt], how).drop(salt)
 
 
