@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -66,25 +67,45 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-#: A key is hot if it holds more than a HOT-th of all rows; it is dealt to so many SALTS.
-HOT, SALTS = 1024, 64
+#: Keys with more than a HOT-th of all rows are sure to be found by the sketch.
+HOT = 1024
+
+
+def hot_keys(big: DataFrame, key: str) -> dict[int, list]:
+    """Keys that hold more rows than a shuffle partition would have, by the groups (a power of two) that they are dealt to.
+
+    A frequent-items sketch names fewer than HOT keys, rare ones among them, and these are counted: so a rare key is never dealt out,
+    groups have half of a partition's rows or less, and all groups together are at most four for each partition.
+    """
+    keys = big.select(F.col(key).alias("k"))
+    found = [x for x in keys.stat.freqItems(["k"], 1 / HOT).first()[0] or [] if x is not None]
+    if not found:
+        return {}
+    counts = {x.k: x.n for x in keys.groupBy(F.when(F.col("k").isin(found), F.col("k")).alias("k")).agg(F.count("*").alias("n")).collect()}
+    fair = sum(counts.values()) / int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out: dict[int, list] = {}
+    for k, n in counts.items():
+        if k is not None and n > fair:
+            out.setdefault(1 << math.ceil(math.log2(2 * n / fair)), []).append(k)
+    return out
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", spread: str | None = None) -> DataFrame:
     """big joined with small (few rows for each key) on key, where any share of big's rows may have one key.
 
-    A frequent-items sketch names the hot keys, which are less than HOT whatever the input. Their rows of big are dealt to
-    SALTS groups by a hash of the column spread (by default, of all but the key that have one), and those of small are copied to each.
+    Rows of big with a hot key are dealt to groups by a hash of the column spread (by default, of all but the key that have one),
+    as many as the key's share needs, and the key's rows of small are copied to each. To find hot keys, big's keys are read twice.
     """
-    sketch = big.select(F.col(key).alias("k")).stat.freqItems(["k"], 1 / HOT).first()[0]
-    hot = [x for x in sketch or [] if x is not None]
-    if not hot:
-        return big.join(small, key, how)
-    salt = unused(small, unused(big, "salt"))
+    hot = hot_keys(big, key)
     kinds = {c: t for c, t in big.dtypes if "map<" not in t and "variant" not in t}
     by = [spread] if spread else [c for c in kinds if c != key]
-    dealt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in by)), F.lit(SALTS))).otherwise(0).cast("int") if by else F.lit(0)
-    copies = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1) if by else F.lit(0))).otherwise(F.array(F.lit(0)))
+    if not hot or not by:
+        return big.join(small, key, how)
+    salt = unused(small, unused(big, "salt"))
+    dealt, copies = F.lit(0), F.array(F.lit(0))
+    for n, keys in hot.items():
+        dealt = F.when(F.col(key).isin(keys), F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in by)), F.lit(n)).cast("int")).otherwise(dealt)
+        copies = F.when(F.col(key).isin(keys), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(copies)
     return big.withColumn(salt, dealt).join(small.withColumn(salt, F.explode(copies)), [key, salt], how).drop(salt)
 
 

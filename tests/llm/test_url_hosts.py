@@ -9,7 +9,7 @@ from compare import assert_same
 from pyspark.sql import functions as F
 
 from sporeline.llm import url_filters
-from sporeline.llm._shared import salted_join
+from sporeline.llm._shared import hot_keys, salted_join
 
 HOSTS = {
     "http://[2001:db8::1]/x": "[2001:db8::1]", "http://[2001:db8::1]:8080/x": "[2001:db8::1]", "https://me:pw@[::1]?q": "[::1]", "http://[2001:db8::1": None,
@@ -52,3 +52,12 @@ def test_joins_on_hot_keys_with_nested_maps(spark, kind):
     small = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     out = salted_join(big, small, "k")
     assert out.count() == 5000 and out.agg(F.count_distinct("id")).first()[0] == 5000
+
+
+def test_rare_keys_are_not_dealt_out_and_hot_ones_by_their_share(spark):
+    big = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), "id")
+    hot = hot_keys(big, "k")  # a third of the rows, for 4 partitions: 20000 rows of 15000 a partition
+    assert hot == {4: [-1]}
+    small = big.select("k").distinct()
+    assert salted_join(big, small, "k").count() == 60_000
+    assert hot_keys(big.where("k <> -1"), "k") == {} and hot_keys(big.where("false"), "k") == {}
