@@ -12,8 +12,10 @@ cross-entropy is at most the quantile CALIBRATED of what texts of that language
 Letters are the characters of Unicode's categories L, in training and prediction alike. Texts that are null or have no
 letter are `und` with score 0, as are all texts where nothing was learned. Rows are judged one by one, whatever their
 doc_id and other columns; long texts are read whole; an empty table gives an empty result, and no labels at all give
-models that call every text `und`. Of labels, the LANGUAGES most frequent ones are learned; a label's sample has FITTED
-texts and CALIBRATING ones at most, of MAX_CHARS characters or less. Rows with one doc_id and label count as often as they stand there.
+models that call every text `und`. Every label with a text of MAX_CHARS characters or less is learned. Its sample has FITTED texts and
+CALIBRATING ones at most, and of each kind the first text and those after it within the label's share of CHARS characters.
+Rows with one doc_id and label count as often as they stand there. N-grams of all orders and their contexts are counted and hashed
+by Spark; the driver holds them as arrays only, whose size CHARS and the number of labels bound.
 """
 
 from __future__ import annotations
@@ -22,22 +24,24 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sporeline.llm._shared import slices, table
+from sporeline.llm._shared import discard, materialize, slices, table
 
 WORD = re.compile(r"[^\W\d_]+")  # letters, and numbers that aren't digits
 ORDER, DISCOUNT = 5, 0.75
 START, END = "\x02", "\x03"
 #: Labelled texts of a language that models are fitted on at most, and those that calibrate rejection; both within Spark's limit for ranking before a shuffle.
 FITTED, CALIBRATING, CALIBRATED = 1000, 250, 0.99
-#: Labels that are learned at most, and characters of a text that is learned from.
-LANGUAGES, MAX_CHARS = 500, 1_000_000
+#: Characters of a text that is learned from at most, and of all texts that models are fitted on, of which each label has the same share.
+MAX_CHARS, CHARS = 1_000_000, 50_000_000
 #: Scores of different words that a worker keeps, and words that are scored at once, times languages.
 CACHED, AT_ONCE = 1_200_000, 80_000
 #: Values of a table of n-grams by languages that a worker looks up as a whole; larger ones stay sparse.
@@ -57,6 +61,11 @@ def _hashes(codes: np.ndarray, order: int) -> np.ndarray:
     return h
 
 
+def _keys(grams: list[str], order: int) -> np.ndarray:
+    """The hash of each of these n-grams of one order."""
+    return _hashes(_codes("".join(grams)), order)[order - 1 :: order] if order and grams else np.full(len(grams), _hashes(np.zeros(1, np.uint64), 0)[0])
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
 
@@ -83,8 +92,7 @@ class Sparse:
     def of(cls, held: list[dict[str, tuple[float, ...]]], order: int, width: int) -> Sparse:
         names = list(dict.fromkeys(g for x in held for g in x))
         place = {g: i for i, g in enumerate(names)}
-        codes = _codes("".join(names))
-        keys = _hashes(codes, order)[order - 1 :: order] if order and names else np.full(len(names), _hashes(np.zeros(1, np.uint64), 0)[0])
+        keys = _keys(names, order)
         by = np.argsort(keys, kind="stable")
         rank = np.empty(len(names), np.int64)
         rank[by] = np.arange(len(names))
@@ -94,6 +102,13 @@ class Sparse:
         order_ = np.lexsort((language, row))
         return cls(keys[by], np.r_[0, np.cumsum(np.bincount(row, minlength=len(names)))], language[order_], values[order_])
 
+    @classmethod
+    def of_entries(cls, keys: np.ndarray, languages: np.ndarray, values: np.ndarray) -> Sparse:
+        """From a hash, a language and values for each entry, in any order."""
+        by = np.lexsort((languages, keys))
+        hashes, starts = np.unique(keys[by], return_index=True)
+        return cls(hashes, np.r_[starts, len(keys)], languages[by], values[by])
+
     def find(self, keys: np.ndarray, n: int, missing: tuple[float, ...]) -> list[np.ndarray]:
         """For each value a table of keys by n languages."""
         if not len(self.hashes):
@@ -130,7 +145,7 @@ class Models:
 
     @classmethod
     def fit(cls, languages: list[str], top: list[tuple[str, str, int]], order: int = ORDER, discount: float = DISCOUNT) -> Models:
-        """top: language, n-gram of the highest order, count. Every n-gram of a word comes padded with START."""
+        """As models_of() does, from counts at hand. top: language, n-gram of the highest order, count; n-grams at a word's start are padded with START."""
         out = cls(languages)
         place = {x: i for i, x in enumerate(languages)}
         out.uniform = 1 / max(2, len({g[-1] for _, g, _ in top}))
@@ -197,8 +212,8 @@ class Scorer:
         return n, out
 
 
-def predict(docs: DataFrame, models: Models, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, lang_pred, score, cross_entropy, accepted for each row of docs."""
+def predict(docs: DataFrame, models: Models, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred, score, cross_entropy, accepted for each row of docs, and the string columns keep as they were."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,11 +228,12 @@ def predict(docs: DataFrame, models: Models, text: str = "text", key: str = "doc
             names = [m.languages[i] if k else "und" for i, k in zip(best.tolist(), known.tolist(), strict=True)]
             accepted = known & (lowest <= limits[best]) if m.languages else known
             yield pa.record_batch(
-                [b.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(known, 1 / odds, 0.0)), pa.array(lowest, mask=~known), pa.array(accepted)],
-                names=["doc_id", "lang_pred", "score", "cross_entropy", "accepted"],
+                [b.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(known, 1 / odds, 0.0)), pa.array(lowest, mask=~known), pa.array(accepted), *(b.column(c) for c in keep)],
+                names=["doc_id", "lang_pred", "score", "cross_entropy", "accepted", *keep],
             )
 
-    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(work, "doc_id long, lang_pred string, score double, cross_entropy double, accepted boolean")
+    schema = ", ".join(["doc_id long, lang_pred string, score double, cross_entropy double, accepted boolean", *(f"{c} string" for c in keep)])
+    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"), *keep).mapInArrow(work, schema)
 
 
 def top_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -235,25 +251,62 @@ def top_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return words.select("lang", "n", F.explode(grams).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def models_of(top: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> Models:
+    """Models from lang, gram, n of the highest order. Only hashes, labels and values of n-grams and contexts come to the driver, as arrays."""
+    levels = [top]
+    for k in range(order - 1, 0, -1):
+        rest = F.substring("gram", 2, k)
+        met = F.when(rest.startswith(START), F.col("n")).otherwise(1)  # a word's start has nothing before it to tell apart
+        levels.append(levels[-1].groupBy("lang", rest.alias("gram")).agg(F.sum(met).alias("n")))
+    parts = []
+    for k, x in zip(range(order, 0, -1), levels, strict=True):
+        total = F.sum("n")
+        contexts = x.groupBy("lang", F.substring("gram", 1, k - 1).alias("gram")).agg(total.cast("double").alias("v"), (discount * F.count("*") / total).alias("w"))
+        parts.append(x.select("lang", "gram", F.lit(2 * k).alias("table"), F.greatest(F.col("n") - discount, F.lit(0.0)).alias("v"), F.lit(0.0).alias("w")))
+        parts.append(contexts.select("lang", "gram", F.lit(2 * k + 1).alias("table"), "v", "w"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams, keys = np.array(b.column("gram").to_pylist(), object), np.zeros(b.num_rows, np.uint64)
+            sizes = np.fromiter(map(len, grams), int, len(grams))
+            for n in np.unique(sizes).tolist():
+                keys[sizes == n] = _keys(grams[sizes == n].tolist(), n)
+            yield pa.record_batch([b.column("lang"), b.column("table"), pa.array(keys.view(np.int64)), b.column("v"), b.column("w")], names=["lang", "table", "key", "v", "w"])
+
+    held = reduce(DataFrame.unionByName, parts).mapInArrow(hashed, "lang string, table int, key long, v double, w double").toArrow()
+    names = sorted(pc.unique(held["lang"]).to_pylist())
+    language = pc.index_in(held["lang"], pa.array(names, pa.string())).to_numpy().astype(np.int64)
+    table_, keys, values = held["table"].to_numpy(), held["key"].to_numpy().view(np.uint64), np.column_stack([held["v"].to_numpy(), held["w"].to_numpy()])
+    out = Models(names)
+    for k in range(1, order + 1):
+        for to, which, width in ((out.grams, 2 * k, 1), (out.contexts, 2 * k + 1, 2)):
+            at = table_ == which
+            to.append(Sparse.of_entries(keys[at], language[at], values[at, :width]))
+    out.uniform = 1 / max(2, len(out.grams[0].hashes))
+    return out
+
+
 def train(labelled: DataFrame, fitted: int = FITTED, calibrating: int = CALIBRATING) -> Models:
-    """Models from at most fitted + calibrating texts of each language, the lowest by a hash of doc_id (columns doc_id, text, lang).
+    """Models from a bounded sample of each label's texts, the lowest by a hash of doc_id (columns doc_id, text, lang).
 
-    Every fifth hash is kept for calibration. Each task ranks its own rows first and hands on those within the limit only.
+    Every fifth hash is kept for calibration, unless a label has no others. Each task ranks its own rows first and hands on those within the limit only.
     """
-    usable = labelled.where(f"lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL AND length(text) <= {MAX_CHARS}")
-    often = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang").collect()
-    usable = usable.where(F.col("lang").isin([x.lang for x in often])) if often else usable.where("false")
+    usable = labelled.where(f"lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL AND length(text) <= {MAX_CHARS}").select("doc_id", "text", "lang")
+    share = CHARS / max(1, usable.select("lang").distinct().count())
     part = F.when(F.lit(calibrating > 0), (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 4).cast("int")).otherwise(0)
-    rank = F.row_number().over(Window.partitionBy("lang", "part").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ranked = usable.select("doc_id", "lang", part.alias("part")).withColumn("r", rank).where(F.col("r") <= max(fitted, calibrating))
-    chosen = ranked.where(F.col("r") <= F.when(F.col("part") == 1, calibrating).otherwise(fitted)).select("doc_id", "lang", "part").distinct()
-    sample = usable.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"]).persist()  # LANGUAGES * (fitted + calibrating) ids at most
-    fit = F.col("part") == 0
-    top = [(x.lang, x.gram, x.n) for x in top_counts(sample.where(fit)).toLocalIterator()]
-    models = Models.fit(sorted({x[0] for x in top}), top)
-    own = predict(sample.where(~fit), models).join(F.broadcast(chosen.where(~fit).select("doc_id", "lang")), "doc_id").where("lang = lang_pred")
+    by = Window.partitionBy("lang", "part").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ranked = usable.select("doc_id", "lang", part.alias("part"), F.length("text").cast("long").alias("size")).withColumn("r", F.row_number().over(by)).where(F.col("r") <= max(fitted, calibrating))
+    within = (F.col("r") <= F.when(F.col("part") == 1, calibrating).otherwise(fitted)) & (F.col("chars") <= share)
+    kept = ranked.withColumn("chars", F.sum("size").over(by)).where((F.col("r") == 1) | within)
+    # a label whose texts are all of the part that calibrates is fitted on them
+    chosen = materialize(kept.select("doc_id", "lang", (F.col("part") - F.min("part").over(Window.partitionBy("lang"))).alias("part")).distinct(), "chosen")
+    sample = materialize(usable.join(chosen, ["doc_id", "lang"]), "sample")
+    top = materialize(top_counts(sample.where("part = 0")), "grams")
+    models = models_of(top)
+    own = predict(sample.where("part = 1"), models, keep=("lang",)).where("lang = lang_pred")
     models.limits = {x.lang: float(x.q) for x in own.groupBy("lang").agg(F.percentile_approx("cross_entropy", CALIBRATED).alias("q"), F.count("*").alias("n")).where("n >= 20").collect()}
-    sample.unpersist()
+    for x in (chosen, sample, top):
+        discard(x)
     return models
 
 

@@ -177,3 +177,97 @@ def test_sparse_tables_hold_what_each_language_has(monkeypatch, small):
     keys = [language_id._hashes(language_id._codes(g), 2)[1] for g in ("cd", "zz", "ab")]
     a, b = kept.find(np.array(keys, np.uint64), 3, (0.0, 1.0))
     assert a.tolist() == [[3, 0, 5], [0, 0, 0], [1, 0, 0]] and b.tolist() == [[4, 1, 6], [1, 1, 1], [2, 1, 1]]
+
+
+def test_models_built_by_spark_are_those_of_dictionaries(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join("".join(rng.choice("abcdé漢") for _ in range(rng.randint(1, 7))) for _ in range(20)), x) for i, x in enumerate(["p", "q", "r"] * 5)]
+    top = language_id.top_counts(spark.createDataFrame(rows, SCHEMA), 4)
+    got = language_id.models_of(top, 4)
+    want = language_id.Models.fit(["p", "q", "r"], [(x.lang, x.gram, x.n) for x in top.collect()], 4)
+    assert got.languages == want.languages and got.uniform == want.uniform
+    for a, b in zip(got.grams + got.contexts, want.grams + want.contexts, strict=True):
+        assert all((getattr(a, c) == getattr(b, c)).all() for c in ("hashes", "starts", "languages", "values"))
+
+
+def test_every_label_is_learned_however_rare(spark):
+    rows = [(3 * k + i, f"{chr(0x4E00 + k)}{chr(0x4E00 + k)} {chr(0x4E00 + k)}", f"x{k:03}") for k in range(600) for i in range(3)]
+    models = language_id.train(spark.createDataFrame([*rows, (9999, "only", "one")], SCHEMA))
+    assert len(models.languages) == 601
+    got = language_id.predict(spark.createDataFrame([(1, chr(0x4E00 + 550) * 2, None), (2, "only", None)], SCHEMA), models).collect()
+    assert [r.lang_pred for r in got] == ["x550", "one"]
+
+
+def test_equal_languages_go_by_name_and_unlike_texts_are_rejected(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=30)), "aa") for i in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    models = language_id.train(docs)
+    odd = spark.createDataFrame([(i, "xyzzyx qwvvkk zzzz " * 5, None) for i in range(5)], SCHEMA)
+    own = language_id.predict(docs, models).collect()
+    assert sum(r.accepted for r in own) >= 0.95 * len(own)
+    assert set(models.limits) == {"aa"} and not any(r.accepted for r in language_id.predict(odd, models).collect())
+    twice = docs.selectExpr("doc_id", "text", "lang").unionByName(docs.selectExpr("doc_id", "text", "'AB' AS lang"))
+    assert {r.lang_pred for r in language_id.predict(docs, language_id.train(twice)).collect()} == {"AB"}
+
+
+def plain_costs(texts, order=language_id.ORDER, discount=language_id.DISCOUNT):
+    """A function of a word and the uniform chance: its nats under the Kneser-Ney model of these texts, by dictionaries."""
+    tables = [{}]
+    for t in texts:
+        for w in language_id.words_of(t):
+            for g in grams(w, order):
+                tables[0][g] = tables[0].get(g, 0) + 1
+    for _ in range(order - 1):
+        lower = {}
+        for g, n in tables[-1].items():
+            lower[g[1:]] = lower.get(g[1:], 0) + (n if g[1] == language_id.START else 1)
+        tables.append(lower)
+    after = {}
+    for held in tables:
+        for g, n in held.items():
+            x = after.setdefault(g[:-1], [0, 0])
+            after[g[:-1]] = [x[0] + n, x[1] + 1]
+    tables = {len(next(iter(h))): h for h in tables}
+
+    def p(g, uniform):
+        if not g:
+            return uniform
+        if g[:-1] not in after:
+            return p(g[1:], uniform)
+        total, kinds = after[g[:-1]]
+        return max(0, tables[len(g)].get(g, 0) - discount) / total + discount * kinds / total * p(g[1:], uniform)
+
+    return tables[1], lambda w, uniform: -sum(math.log(p(g, uniform)) for g in grams(w, order))
+
+
+def test_query_as_by_dictionaries(spark, sf_dir):
+    """Of sf0.001 every labelled document is within the sample, so the query's languages, scores and limits follow from all of them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", F.expr("crc32(string(doc_id)) % 3 = 1").alias("out"), F.expr("pmod(xxhash64(doc_id), 5) = 4").alias("kept")).collect()
+    learned = [r for r in docs if not r.out and r.lang is not None and r.text is not None]
+    names = sorted({r.lang for r in learned})
+    models = {x: plain_costs([r.text for r in learned if r.lang == x and not r.kept]) for x in names}
+    uniform = 1 / len({g for held, _ in models.values() for g in held})
+    costs = {}
+
+    def entropy(words, x):
+        for w in words:
+            if (w, x) not in costs:
+                costs[w, x] = models[x][1](w, uniform)
+        return sum(costs[w, x] for w in words) / sum(len(w) + 1 for w in words)
+
+    want = {}
+    for r in docs:
+        words = language_id.words_of(r.text)
+        want[r.doc_id] = {x: entropy(words, x) for x in names} if words else None
+    got = {r.doc_id: r for r in language_id.op2_language_id(spark, sf_dir).collect()}
+    assert set(got) == set(want)
+    for d, h in want.items():
+        if h is None:
+            assert got[d].lang_pred == "und" and got[d].score == 0
+            continue
+        best = min(names, key=lambda x: h[x])
+        n = sum(len(w) + 1 for w in language_id.words_of(next(r.text for r in docs if r.doc_id == d)))
+        assert got[d].lang_pred == best and got[d].cross_entropy == pytest.approx(h[best], rel=1e-9)
+        assert got[d].score == pytest.approx(1 / sum(math.exp(-min(n, language_id.EVIDENCE) * (h[x] - h[best])) for x in names), rel=1e-6)
