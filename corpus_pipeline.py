@@ -2,6 +2,11 @@
 
 Each stage works on all that the one before has kept: quality rules drop documents, of near-duplicates one stays,
 repeated passages are cut out of all texts but one, documents that hold a benchmark item go, and what is left is encoded.
+
+Null and empty texts fail the quality rules, so no later stage meets them but for texts that are cut to nothing. Very long texts are
+read whole. Of ties, such as repeated rows of one doc_id, near-dedup keeps those of the smallest doc_id, all rows of it; rows without a
+doc_id pass if their text does. A passage stays in the text of the lowest hash that has it. Empty tables of documents or of items give no rows or drop none. Extra columns go along to the last stage, whatever
+their names.
 """
 
 from __future__ import annotations
