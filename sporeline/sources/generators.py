@@ -100,13 +100,18 @@ def random_regular(spark: SparkSession, n: int, degree: int, seed: int = 0, roun
 
     Stubs (degree for each node) in random order are paired as neighbours. Loops and repeated pairs are then mended in
     rounds: each is dealt to another pair at random and swaps an end with it; swaps that share a pair, or would make a new
-    clash, are drawn anew in the next round, so degrees never change.
+    clash, are drawn anew in the next round, so degrees never change. A graph with more than half of all edges is the
+    complement of one with fewer, as swaps hardly find room in it; it has n * degree edges of its own in any case.
     """
     _checked(n, degree=degree)
     if n * degree % 2 or degree >= n:
         raise ValueError("degree is less than n, and n * degree is even")
     if not degree:
         return Graph(node_range(spark, n), spark.createDataFrame([], "src long, dst long"))
+    if 2 * degree > n - 1:
+        few = random_regular(spark, n, n - 1 - degree, seed, rounds)
+        ends = few.nodes.select(F.col("node").alias("src"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("dst")).where("src <> dst")
+        return Graph(few.nodes, ends.join(few.edges.select("src", "dst"), ["src", "dst"], "left_anti"))
     stubs = numbered(_drawn(spark, n * degree, seed, 1).select(F.floor(F.col("id") / degree).alias("node"), "u1", "id"), "u1", "id", name="place")
     ends = F.min_by("node", "place").alias("a"), F.max_by("node", "place").alias("b")
     pairs = stored(stubs.groupBy(F.floor(F.col("place") / 2).alias("id")).agg(*ends), "pairs")

@@ -134,3 +134,10 @@ def test_strategy_by_degrees(spark):
     star = graphs.Graph(graphs.node_range(spark, 200), spark.range(1, 200).selectExpr("id AS src", "0L AS dst"))
     assert A.degree_summary(star).first().strategy == "salted"
     assert A.degree_summary(G.circulant(spark, 20, 4, 1)).first().strategy == "plain"
+
+
+@pytest.mark.parametrize("n, degree", [(6, 5), (9, 8), (10, 7), (7, 4)])
+def test_dense_regular_graphs(spark, n, degree):
+    edges = {(r.src, r.dst) for r in G.random_regular(spark, n, degree, 3).edges.collect()}
+    assert len(edges) == n * degree and all(a != b and (b, a) in edges for a, b in edges)
+    assert {sum(a == v for a, _ in edges) for v in range(n)} == {degree}
