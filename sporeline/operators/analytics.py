@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sporeline.sources.graphs import SKEWED, STRONGLY, Graph
+from sporeline.sources.graphs import SKEWED, STRONGLY, Graph, numbered, symmetrised
+from sporeline.sources.storage import dropped, shared_dir, stored
 
 
 def in_degrees(graph: Graph) -> DataFrame:
@@ -26,10 +29,63 @@ def bandwidth(graph: Graph) -> DataFrame:
     return graph.edges.agg(F.coalesce(F.max(F.abs(F.col("src") - F.col("dst"))), F.lit(0)).alias("bandwidth"))
 
 
+def permutation_check(order: DataFrame, n: int) -> DataFrame:
+    """One row, valid: whether order(new, old) is a bijection of 0..n-1."""
+    x = order.agg(F.count("*").alias("n"), *(f(c).alias(f"{k}_{c}") for c in ("new", "old") for k, f in (("low", F.min), ("high", F.max), ("each", F.count_distinct))))
+    valid = F.col("n") == n
+    for c in ("new", "old") if n else ():
+        valid = valid & (F.col(f"low_{c}") == 0) & (F.col(f"high_{c}") == n - 1) & (F.col(f"each_{c}") == n)
+    return x.select(F.coalesce(valid, F.lit(False)).alias("valid"))
+
+
 def is_permutation(order: DataFrame, n: int) -> bool:
     """Whether order(new, old) is a bijection of 0..n-1."""
-    x = order.agg(F.count("*").alias("n"), *(f(c).alias(f"{k}_{c}") for c in ("new", "old") for k, f in (("low", F.min), ("high", F.max), ("each", F.count_distinct)))).first()
-    return x.n == n and (n == 0 or all((x[f"low_{c}"], x[f"high_{c}"], x[f"each_{c}"]) == (0, n - 1, n) for c in ("new", "old")))
+    return permutation_check(order, n).first().valid
+
+
+def levels_from_roots(graph: Graph, placed: DataFrame) -> DataFrame:
+    """node, place, root, level from placed(node, place): the smallest place that edges lead from, and how many edges away it is.
+
+    Pairs of root and level travel one edge a round, from nodes whose pair has changed; there are as many rounds as the most distant
+    node is edges away. graph has both directions of each edge.
+    """
+    reached = stored(placed.select("node", "place", F.col("place").alias("root"), F.lit(0).cast("long").alias("level"), F.lit(True).alias("moved")), "levels")
+    while not reached.where("moved").isEmpty():
+        sending = reached.where("moved").select(F.col("node").alias("src"), F.struct("root", "level").alias("_at"))
+        heard = graph.joined(sending, "src").groupBy(F.col("dst").alias("node")).agg(F.min("_at").alias("_at"))
+        nearer = F.col("_at").isNotNull() & (F.struct(F.col("_at.root").alias("root"), (F.col("_at.level") + 1).alias("level")) < F.struct("root", "level"))
+        held = reached.join(heard, "node", "left").withColumn("moved", nearer)
+        at = lambda c, x: F.when(F.col("moved"), x).otherwise(F.col(c)).alias(c)
+        before, reached = reached, stored(held.select("node", "place", at("root", F.col("_at.root")), at("level", F.col("_at.level") + 1), "moved"), "levels")
+        dropped(before)
+    return reached.drop("moved")
+
+
+def reverse_cuthill_mckee(graph: Graph) -> DataFrame:
+    """new, old: the reverse Cuthill-McKee order of the graph, without regard to directions, loops and parallel edges.
+
+    Each component is searched from its node of lowest (degree, id), components in the order of those. A level is ranked at once:
+    nodes follow the first neighbour that they have in the level before, and of one such neighbour the lowest (degree, id)
+    first, which is the order of a queue that takes one node at a time. All components advance together; a level is one join and one
+    sort by ranges, so the jobs are as many as the deepest component has levels: few in contact networks, many in long chains.
+    """
+    spark, n = graph.nodes.sparkSession, graph.nodes.count()
+    both = stored(symmetrised(graph.edges.select("src", "dst").where("src <> dst")).distinct(), "neighbours")
+    flat = Graph(graph.nodes, both).measured()
+    levels = levels_from_roots(flat, numbered(in_degrees(flat), "degree", "node", name="place"))
+    sorted_levels = stored(levels.repartitionByRange("level", "node").sortWithinPartitions("level"), "levels")  # a level's nodes lie together
+    dropped(levels)
+    deepest = sorted_levels.agg(F.max("level").alias("level")).first().level or 0
+    ranks, schema = f"{shared_dir(spark)}/ranks-{uuid.uuid4().hex}", "node long, root long, level long, rank long"
+    at = lambda k: f"{ranks}/step={k}"
+    sorted_levels.where("level = 0").select("node", "root", "level", F.col("root").alias("rank")).write.parquet(at(0))
+    for k in range(1, deepest + 1):
+        before = spark.read.schema(schema).parquet(at(k - 1)).select(F.col("node").alias("src"), "rank")
+        first = flat.joined(before, "src").groupBy(F.col("dst").alias("node")).agg(F.min("rank").alias("_first"))
+        here = numbered(sorted_levels.where(F.col("level") == k).join(first, "node"), "_first", "place", name="rank")
+        here.select("node", "root", "level", "rank").write.parquet(at(k))
+    order = numbered(spark.read.schema(schema).parquet(ranks), "root", "level", "rank", name="place")
+    return order.select((F.lit(n - 1) - F.col("place")).alias("new"), F.col("node").alias("old"))
 
 
 def permuted(graph: Graph, order: DataFrame) -> Graph:

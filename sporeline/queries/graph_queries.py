@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +30,15 @@ def query(sql: str | None = None):
     return register
 
 
-# Sizes and seeds of the generated graphs.
-RING, RING_DEGREE, RING_SEED = 2001, 8, 11
-NODES, SEED, RADIUS = 2000, 5, 0.03
-RING_OFFSETS = G.circulant_offsets(RING, RING_DEGREE, RING_SEED)
+# Degrees and seeds of the generated graphs, which have as many nodes as the trade graph.
+RING_DEGREE, RING_SEED, SEED = 8, 11, 5
+#: Mean number of neighbours of a node of the geometric graph, times 1 / pi.
+NEAR = 1.8
+_SIZE = f"g AS MATERIALIZED (SELECT {X.N} AS n)"
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> int:
+    return X.table(spark, sf_dir, "customer").count() + X.table(spark, sf_dir, "supplier").count()
 
 
 @query(f"WITH {X.edges_sql('weighted')} SELECT src, dst, weight FROM edges")
@@ -99,52 +107,53 @@ def edge_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.load_graph(spark, path, g.nodes.count(), base=1).edges
 
 
-@query(f"SELECT (i + o + {RING}) % {RING} AS src, i AS dst FROM (SELECT unnest(range({RING})) AS i), (SELECT unnest({RING_OFFSETS}) AS o)")
+@query(
+    f"WITH {_SIZE}, d AS (SELECT k, 1 + floor({X.uniform_sql('k', RING_SEED, 1)} * ((n - 1) // 2))::BIGINT AS o FROM g, (SELECT unnest(range(64)) AS k)), o AS (SELECT o FROM d GROUP BY o ORDER BY min(k) LIMIT {RING_DEGREE // 2}), "
+    "s AS (SELECT o FROM o UNION ALL SELECT -o FROM o) SELECT (i + o + n) % n AS src, i AS dst FROM g, (SELECT unnest(range(n)) AS i FROM g), s"
+)
 def circulant_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.circulant(spark, RING, RING_DEGREE, RING_SEED).edges
+    return G.circulant(spark, _nodes(spark, sf_dir), RING_DEGREE, RING_SEED).edges
 
 
-def _drawn_sql(count: int, draws: int) -> str:
-    return f"SELECT id, {', '.join(f'{X.uniform_sql("id", SEED, k)} AS u{k}' for k in range(1, draws + 1))} FROM (SELECT unnest(range({count})) AS id)"
+def _drawn_sql(each: int, draws: int) -> str:
+    return f"SELECT id, n, {', '.join(f'{X.uniform_sql("id", SEED, k)} AS u{k}' for k in range(1, draws + 1))} FROM g, (SELECT unnest(range(n * {each})) AS id FROM g)"
 
 
 def _er_sql(mean_degree: int, spread: int, rounds: int = 3) -> str:
     """The draws of so many rounds; more are needed if a node has more than rounds * spread edges to higher ones."""
-    import math
-
-    skip = f"(least(floor(ln(u) / {math.log1p(-mean_degree / (NODES - 1))!r}::DOUBLE), {NODES}) + 1)::BIGINT"
-    parts, at = [], f"(SELECT unnest(range({NODES})) AS node, unnest(range({NODES})) AS low)"
+    skip = f"(least(floor(ln(u) / ln(1 - {mean_degree}::DOUBLE / (n - 1))), n) + 1)::BIGINT"
+    parts, at = [_SIZE], "(SELECT unnest(range(n)) AS node, unnest(range(n)) AS low FROM g)"
     for r in range(1, rounds + 1):
-        lanes = f"SELECT node, low, k, {X.uniform_sql(f'node * {spread} + k', SEED, r)} AS u FROM {at}, (SELECT unnest(range({spread})) AS k)"
-        parts.append(f"r{r} AS MATERIALIZED (SELECT node, k, low + sum({skip}) OVER (PARTITION BY node ORDER BY k) AS b FROM ({lanes}))")
-        at = f"(SELECT node, b AS low FROM r{r} WHERE k = {spread - 1} AND b < {NODES})"
-    once = " UNION ALL ".join(f"SELECT node AS src, b::BIGINT AS dst FROM r{r} WHERE b < {NODES}" for r in range(1, rounds + 1))
+        lanes = f"SELECT node, low, k, n, {X.uniform_sql(f'node * {spread} + k', SEED, r)} AS u FROM {at}, (SELECT unnest(range({spread})) AS k), g"
+        parts.append(f"r{r} AS MATERIALIZED (SELECT node, k, n, low + sum({skip}) OVER (PARTITION BY node ORDER BY k) AS b FROM ({lanes}))")
+        at = f"(SELECT node, b AS low FROM r{r} WHERE k = {spread - 1} AND b < n)"
+    once = " UNION ALL ".join(f"SELECT node AS src, b::BIGINT AS dst FROM r{r} WHERE b < n" for r in range(1, rounds + 1))
     return f"WITH {', '.join(parts)}, once AS ({once}) SELECT src, dst FROM once UNION ALL SELECT dst, src FROM once"
 
 
 @query(_er_sql(8, 13))
 def er_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.erdos_renyi(spark, NODES, 8, SEED).edges
+    return G.erdos_renyi(spark, _nodes(spark, sf_dir), 8, SEED).edges
 
 
-@query(f"WITH d AS ({_drawn_sql(NODES * 8, 1)}) SELECT src, t + (t >= src)::BIGINT AS dst FROM (SELECT id // 8 AS src, floor(u1 * {NODES - 1})::BIGINT AS t FROM d)")
+@query(f"WITH {_SIZE}, d AS ({_drawn_sql(8, 1)}) SELECT src, t + (t >= src)::BIGINT AS dst FROM (SELECT id // 8 AS src, floor(u1 * (n - 1))::BIGINT AS t FROM d)")
 def random_out_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.random_out(spark, NODES, 8, SEED).edges
+    return G.random_out(spark, _nodes(spark, sf_dir), 8, SEED).edges
 
 
 @query()
 def random_regular_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.random_regular(spark, NODES, 8, SEED).edges
+    return G.random_regular(spark, _nodes(spark, sf_dir), 8, SEED).edges
 
 
 @query()
 def ws_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.watts_strogatz(spark, NODES, 6, 0.1, SEED).edges
+    return G.watts_strogatz(spark, _nodes(spark, sf_dir), 6, 0.1, SEED).edges
 
 
 @query()
 def ba_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.barabasi_albert(spark, NODES, 4, SEED).edges
+    return G.barabasi_albert(spark, _nodes(spark, sf_dir), 4, SEED).edges
 
 
 def _shape(graph: graphs.Graph) -> DataFrame:
@@ -154,26 +163,27 @@ def _shape(graph: graphs.Graph) -> DataFrame:
 
 
 # What the definitions say of the graphs, without a draw.
-@query(f"SELECT unnest(range({NODES})) AS node, 8::BIGINT AS degree, 8::BIGINT AS n_neighbours, 0::BIGINT AS loops")
+@query(f"WITH {_SIZE} SELECT unnest(range(n)) AS node, 8::BIGINT AS degree, 8::BIGINT AS n_neighbours, 0::BIGINT AS loops FROM g")
 def random_regular_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = G.random_regular(spark, NODES, 8, SEED).edges
+    e = G.random_regular(spark, _nodes(spark, sf_dir), 8, SEED).edges
     return e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("degree"), F.countDistinct("src").alias("n_neighbours"), F.sum((F.col("src") == F.col("dst")).cast("long")).alias("loops"))
 
 
-@query(f"SELECT {NODES * 6}::BIGINT AS n_edges, 0::BIGINT AS loops, 0::BIGINT AS repeated")
+@query(f"WITH {_SIZE} SELECT (n * 6)::BIGINT AS n_edges, 0::BIGINT AS loops, 0::BIGINT AS repeated FROM g")
 def ws_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shape(G.watts_strogatz(spark, NODES, 6, 0.1, SEED))
+    return _shape(G.watts_strogatz(spark, _nodes(spark, sf_dir), 6, 0.1, SEED))
 
 
-@query(f"SELECT unnest(range(4, {NODES})) AS node, 4::BIGINT AS n_lower")
+@query(f"WITH {_SIZE} SELECT unnest(range(4, n)) AS node, 4::BIGINT AS n_lower FROM g")
 def ba_lower_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = G.barabasi_albert(spark, NODES, 4, SEED).edges
+    e = G.barabasi_albert(spark, _nodes(spark, sf_dir), 4, SEED).edges
     return e.where("dst < src").groupBy(F.col("src").alias("node")).agg(F.countDistinct("dst").alias("n_lower"))
 
 
-@query(f"WITH d AS ({_drawn_sql(NODES, 2)}) SELECT a.id AS src, b.id AS dst FROM d a JOIN d b ON a.id <> b.id AND (a.u1 - b.u1) * (a.u1 - b.u1) + (a.u2 - b.u2) * (a.u2 - b.u2) <= {RADIUS!r}::DOUBLE * {RADIUS!r}::DOUBLE")
+@query(f"WITH {_SIZE}, d AS ({_drawn_sql(1, 2)}) SELECT a.id AS src, b.id AS dst FROM d a JOIN d b ON a.id <> b.id AND (a.u1 - b.u1) * (a.u1 - b.u1) + (a.u2 - b.u2) * (a.u2 - b.u2) <= sqrt({NEAR!r}::DOUBLE / a.n) * sqrt({NEAR!r}::DOUBLE / a.n)")
 def geometric_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.geometric(spark, NODES, RADIUS, SEED).edges
+    n = _nodes(spark, sf_dir)
+    return G.geometric(spark, n, math.sqrt(NEAR / n), SEED).edges
 
 
 _DEGREES = f"{X.edges_sql('multi')}, degrees AS (SELECT node, coalesce(d, 0) AS degree FROM nodes LEFT JOIN (SELECT dst, count(*) AS d FROM edges GROUP BY dst) ON node = dst)"
@@ -204,6 +214,42 @@ def permute_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.permuted(g, order).edges
 
 
+@query(
+    f"WITH {X.edges_sql('weighted')}, {_ORDER}, o AS (SELECT 'whole' AS part, * FROM ord UNION ALL SELECT 'one missing', * FROM ord WHERE new > 0 UNION ALL SELECT 'one twice', greatest(new, 1), old FROM ord) "
+    f"SELECT part, count(*) = {X.N} AND count(DISTINCT new) = {X.N} AND count(DISTINCT old) = {X.N} AND min(new) = 0 AND min(old) = 0 AND max(new) = {X.N} - 1 AND max(old) = {X.N} - 1 AS valid FROM o GROUP BY part"
+)
+def permutation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, n = X.trade(spark, sf_dir, "weighted"), _nodes(spark, sf_dir)
+    order = graphs.numbered(with_uniform(g.nodes, "u", F.col("node"), 3, 1), "u", "node", name="new").select("new", F.col("node").alias("old"))
+    parts = {"whole": order, "one missing": order.where("new > 0"), "one twice": order.withColumn("new", F.greatest("new", F.lit(1)))}
+    return reduce(DataFrame.unionByName, (A.permutation_check(o, n).select(F.lit(k).alias("part"), "valid") for k, o in parts.items()))
+
+
+_NEIGHBOURS = (
+    "nb AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges WHERE src <> dst), "
+    "places AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY coalesce(d, 0), node) - 1 AS place FROM nodes LEFT JOIN (SELECT dst, count(*) AS d FROM nb GROUP BY dst) ON node = dst), "
+    # the whole state at each round: root * 1000000 + level, until no node hears of a smaller one
+    "reach AS (SELECT 0 AS it, node, place * 1000000 AS code FROM places UNION ALL SELECT it + 1, node, least(reach.code, coalesce(m, reach.code)) FROM reach LEFT JOIN "
+    "(SELECT dst, min(code) + 1 AS m FROM nb JOIN reach ON src = node GROUP BY dst) ON node = dst QUALIFY bool_or(m < reach.code) OVER ()), "
+    "lv AS MATERIALIZED (SELECT node, code // 1000000 AS root, code % 1000000 AS level FROM reach WHERE it = (SELECT max(it) FROM reach)), "
+    "ranks AS (SELECT level, node, root AS pos FROM lv WHERE level = 0 UNION ALL SELECT f.level, lv.node, row_number() OVER (ORDER BY f.parent, places.place) - 1 FROM "
+    "(SELECT dst, ranks.level + 1 AS level, min(pos) AS parent FROM nb JOIN ranks ON src = ranks.node GROUP BY ALL) f JOIN lv ON lv.node = f.dst AND lv.level = f.level JOIN places ON places.node = lv.node), "
+    f"rcm AS MATERIALIZED (SELECT {X.N} - row_number() OVER (ORDER BY root, lv.level, pos) AS new, node AS old FROM ranks JOIN lv USING (node))"
+)
+
+
+@query(f"WITH RECURSIVE {X.edges_sql()}, {_NEIGHBOURS} SELECT new, old FROM rcm")
+def rcm_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.reverse_cuthill_mckee(X.trade(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {X.edges_sql('regional')}, {_NEIGHBOURS.replace(X.N, '(SELECT count(*) FROM nodes)')} SELECT a.new AS src, b.new AS dst FROM edges JOIN rcm a ON a.old = src JOIN rcm b ON b.old = dst")
+def rcm_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and regions: a component for each region, with a hub in it."""
+    g = X.regional(spark, sf_dir)
+    return A.permuted(g, A.reverse_cuthill_mckee(g)).edges
+
+
 _ENSEMBLE = f"WITH {X.edges_sql('weighted')}, {X.ensemble_sql('seir')}"
 _IN = "degrees AS (SELECT node, coalesce(d, 0) AS degree FROM nodes LEFT JOIN (SELECT dst, count(*) AS d FROM edges GROUP BY dst) ON node = dst)"
 

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sporeline.functions.rng import with_uniform
+from sporeline.functions.rng import uniform, with_uniform
 from sporeline.sources.graphs import Graph, node_range, numbered, symmetrised
 from sporeline.sources.storage import dropped, stored
 
@@ -23,11 +23,15 @@ def _checked(n: int, **numbers: int) -> None:
 
 
 def circulant_offsets(n: int, degree: int, seed: int | None) -> list[int]:
-    """Seeded offsets in both directions, and half the ring if the degree is odd."""
+    """Seeded offsets in both directions, and half the ring if the degree is odd: the first different ones that are drawn from lanes 0, 1, .."""
     _checked(n, degree=degree)
     if degree >= n or n * degree % 2:
         raise ValueError("a regular graph needs degree < n and an even n * degree")
-    drawn = random.Random(seed).sample(range(1, (n + 1) // 2), degree // 2)
+    seed, half, lane = random.getrandbits(63) if seed is None else seed, (n - 1) // 2, 0
+    drawn: dict[int, None] = {}
+    while len(drawn) < degree // 2:
+        drawn[1 + int(uniform(lane, seed, 1) * half)] = None
+        lane += 1
     return [sign * o for o in drawn for sign in (1, -1)] + [n // 2] * (degree % 2)
 
 

@@ -1,6 +1,7 @@
 """Graphs and generators: hand-computed cases, properties, and what is refused."""
 
 import math
+import random
 
 import pytest
 
@@ -141,3 +142,43 @@ def test_dense_regular_graphs(spark, n, degree):
     edges = {(r.src, r.dst) for r in G.random_regular(spark, n, degree, 3).edges.collect()}
     assert len(edges) == n * degree and all(a != b and (b, a) in edges for a, b in edges)
     assert {sum(a == v for a, _ in edges) for v in range(n)} == {degree}
+
+
+def cuthill_mckee(n, edges):
+    """new -> old, by a queue that takes one node at a time, reversed."""
+    near = [sorted({b for a, b in edges if a == v != b} | {a for a, b in edges if b == v != a}) for v in range(n)]
+    place, order = (lambda v: (len(near[v]), v)), []
+    for root in sorted(range(n), key=place):
+        queue = [root] if root not in order else []
+        order += queue
+        while queue:
+            new = sorted((v for v in near[queue.pop(0)] if v not in order), key=place)
+            queue += new
+            order += new
+    return order[::-1]
+
+
+@pytest.mark.parametrize("n, many, seed", [(40, 30, 1), (40, 70, 2), (12, 0, 3)])
+def test_reverse_cuthill_mckee_as_a_queue(spark, n, many, seed):
+    """Components, isolated nodes, loops, parallel edges and edges in one direction only."""
+    rng = random.Random(seed)
+    edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(many)] + [(0, 0), (1, 0), (1, 0), (0, 1)]
+    g = graphs.from_edges(spark.createDataFrame(edges, "src long, dst long"), n)
+    order = A.reverse_cuthill_mckee(g)
+    assert A.is_permutation(order, n)
+    assert [r.old for r in sorted(order.collect())] == cuthill_mckee(n, edges)
+
+
+def test_reverse_cuthill_mckee_narrows_a_lattice(spark):
+    side, names = 5, list(range(25))
+    random.Random(4).shuffle(names)
+    lattice = [(names[side * i + j], names[side * k + m]) for i in range(side) for j in range(side) for k, m in ((i + 1, j), (i, j + 1)) if k < side and m < side]
+    g = graphs.from_edges(spark.createDataFrame(lattice, "src long, dst long"), 25)
+    assert A.bandwidth(g).first().bandwidth > 15
+    assert A.bandwidth(A.permuted(g, A.reverse_cuthill_mckee(g))).first().bandwidth <= side
+
+
+def test_reverse_cuthill_mckee_without_edges_or_nodes(spark):
+    none = spark.createDataFrame([], "src long, dst long")
+    assert sorted(map(tuple, A.reverse_cuthill_mckee(graphs.from_edges(none, 3)).collect())) == [(0, 2), (1, 1), (2, 0)]
+    assert A.reverse_cuthill_mckee(graphs.from_edges(none, 0)).count() == 0
