@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from sporeline.functions.rng import with_uniform
@@ -51,6 +51,15 @@ def curve_distance(a: DataFrame, b: DataFrame, value: str = "mean") -> DataFrame
     return a.join(b.select("t", F.col(value).alias("_other")), "t").agg(F.max(F.abs(d)).alias("linf"), F.sqrt(F.avg(d * d)).alias("l2"))
 
 
+def _so_far(*order: str, by, backward: bool = False) -> WindowSpec:
+    """The rows from the first to the present one; backward: from the last one.
+
+    What comes next is sought in the opposite order, as a frame up to the last row is read anew for each row.
+    """
+    w = Window.partitionBy(by).orderBy(*(F.desc(c) if backward else F.asc(c) for c in order))
+    return w.rowsBetween(Window.unboundedPreceding, 0)
+
+
 def resampled(curves: DataFrame, grid: DataFrame, linear: bool = False, value: str = "infected") -> DataFrame:
     """run, t, value at each time of grid (run, t): the last sample's value, or on the line to the next one.
 
@@ -58,12 +67,11 @@ def resampled(curves: DataFrame, grid: DataFrame, linear: bool = False, value: s
     one it stays.
     """
     both = curves.select("run", "t", F.col(value).cast("double").alias("_v"), F.lit(False).alias("_g")).unionByName(grid.select("run", "t", F.lit(None).cast("double").alias("_v"), F.lit(True).alias("_g")))
-    w = Window.partitionBy("run").orderBy("t", "_g")
-    so_far, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    so_far, on = _so_far("t", "_g", by="run"), _so_far("t", "_g", by="run", backward=True)
     sample_t = F.when(~F.col("_g"), F.col("t"))
     held = both.withColumn("_v0", F.last("_v", True).over(so_far))
     if linear:
-        held = held.withColumn("_t0", F.last(sample_t, True).over(so_far)).withColumn("_t1", F.first(sample_t, True).over(on)).withColumn("_v1", F.first("_v", True).over(on))
+        held = held.withColumn("_t0", F.last(sample_t, True).over(so_far)).withColumn("_t1", F.last(sample_t, True).over(on)).withColumn("_v1", F.last("_v", True).over(on))
         part = F.when(F.col("_t1") > F.col("_t0"), (F.col("t") - F.col("_t0")) / (F.col("_t1") - F.col("_t0"))).otherwise(0.0)
         held = held.withColumn("_v0", F.when(F.col("_t1").isNull(), F.col("_v0")).otherwise(F.col("_v0") + part * (F.col("_v1") - F.col("_v0"))))
     return held.where("_g").select("run", "t", F.col("_v0").alias(value))
@@ -79,16 +87,15 @@ def resampled_by_range(curves: DataFrame, grid: DataFrame, linear: bool = False,
     held = ranged(both, "samples", "run", "t", "_g", "_v")
     sample = F.when(~F.col("_g") & F.col("_v").isNotNull(), F.struct("t", "_v"))
     ends = held.groupBy("run", "_part").agg(F.max(sample).alias("_last"), F.min(sample).alias("_first"))
-    parts = Window.partitionBy("run").orderBy("_part")  # a row for each range that the run is in
-    carried = ends.select(
-        F.col("run").alias("_run"), F.col("_part").alias("_of"), F.last("_last", True).over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"), F.first("_first", True).over(parts.rowsBetween(1, Window.unboundedFollowing)).alias("_later")
-    ).where("_earlier is not null or _later is not null")
+    # a row for each range that the run is in
+    earlier, later = (Window.partitionBy("run").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_part"), F.desc("_part")))
+    carried = ends.select(F.col("run").alias("_run"), F.col("_part").alias("_of"), F.last("_last", True).over(earlier).alias("_earlier"), F.last("_first", True).over(later).alias("_later")).where("_earlier is not null or _later is not null")
     met = held.join(F.broadcast(carried), held["run"].eqNullSafe(carried["_run"]) & (held["_part"] == carried["_of"]), "left")
-    w = Window.partitionBy("_part", "run").orderBy("t", "_g", "_v")
-    out = met.withColumn("_s0", F.coalesce(F.last(sample, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_earlier"))
+    order, within = ("t", "_g", "_v"), ["_part", "run"]
+    out = met.withColumn("_s0", F.coalesce(F.last(sample, True).over(_so_far(*order, by=within)), "_earlier"))
     found = F.col("_s0._v")
     if linear:
-        out = out.withColumn("_s1", F.coalesce(F.first(sample, True).over(w.rowsBetween(0, Window.unboundedFollowing)), "_later"))
+        out = out.withColumn("_s1", F.coalesce(F.last(sample, True).over(_so_far(*order, by=within, backward=True)), "_later"))
         part = F.when(F.col("_s1.t") > F.col("_s0.t"), (F.col("t") - F.col("_s0.t")) / (F.col("_s1.t") - F.col("_s0.t"))).otherwise(0.0)
         found = F.when(F.col("_s1").isNull(), found).otherwise(found + part * (F.col("_s1._v") - found))
     return out.where("_g").select("run", "t", found.alias(value))

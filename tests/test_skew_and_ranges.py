@@ -134,6 +134,18 @@ def test_runs_over_ranges_as_in_one_task(spark, linear):
     assert got == sorted(map(tuple, T.resampled(a, b, linear).collect()), key=repr) and len(got) == len(grid)
 
 
+def test_no_row_reads_all_rows_after_it(spark):
+    """A frame up to the last row is read anew for each row, so that a long run takes the square of its samples."""
+    n = 20_000
+    samples = spark.range(n).select(F.lit(0).alias("run"), F.col("id").cast("double").alias("t"), (F.col("id") % 7).alias("infected"))
+    grid = spark.range(n + 1).select(F.lit(0).alias("run"), (F.col("id") - 0.5).alias("t"))
+    want = [None] + [(k % 7 + (k + 1) % 7) / 2 for k in range(n - 1)] + [float((n - 1) % 7)]
+    for f in (T.resampled, T.resampled_by_range):
+        df = f(samples, grid, linear=True)
+        assert "unboundedfollowing" not in df._jdf.queryExecution().toString().lower()
+        assert [r.infected for r in df.orderBy("t").collect()] == want
+
+
 def test_work_over_very_many_buckets(spark):
     """Two pieces over a million buckets: eight rows before the sums, and every bucket's amount after."""
     work = spark.createDataFrame([(0.5, 1_000_000.5, 1e6), (10.0, 13.0, 6.0), (5.0, 5.0, 9.0), (-3.0, 1.0, 4.0), (2e6, 3e6, 1.0)], "begin double, end double, amount double")
