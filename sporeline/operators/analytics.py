@@ -93,7 +93,7 @@ def permuted(graph: Graph, order: DataFrame) -> Graph:
     rest = [c for c in graph.edges.columns if c not in ("src", "dst")]
     of = lambda c, to: order.select(F.col("old").alias(c), F.col("new").alias(to))
     edges = graph.edges.join(of("src", "_src"), "src").join(of("dst", "_dst"), "dst")
-    return Graph(graph.nodes, edges.select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), *rest))
+    return Graph(graph.nodes, edges.select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), *rest), size=graph.size)
 
 
 def activity(graph: Graph, states: DataFrame, susceptible: int, hazard: list[int]) -> DataFrame:

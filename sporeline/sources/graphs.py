@@ -15,16 +15,29 @@ from sporeline.sources.storage import dropped, stored
 
 #: Largest over mean degree from which a graph counts as skewed, and as strongly skewed.
 SKEWED, STRONGLY = 4.0, 50.0
+#: Rows of a join or a grouping that a task gets on average. Spark's adaptive plans merge tasks by compressed bytes, of which sorted or
+#: repeated ids have few, so that a task's memory would grow with the graph. Less than four such tasks are left to those plans.
+TASK_ROWS = 500_000
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
+def dealt(df: DataFrame, rows: int | None, *by: str) -> DataFrame:
+    """df by hashes of its columns by, in as many tasks as so many rows need; as it is, if these are few or not known."""
+    tasks = -(-(rows or 0) // TASK_ROWS)
+    return df.repartition(tasks, *by) if tasks >= 4 else df
+
+
 @dataclass(frozen=True)
 class Graph:
-    """hubs(node, out_salts, in_salts), if the graph's skew was measured and any node has more edges than a task should hold."""
+    """hubs(node, out_salts, in_salts), if the graph's skew was measured and any node has more edges than a task should hold.
+
+    size: how many edges there are at most, if it is known; joins and groupings of edges have as many tasks as it needs.
+    """
 
     nodes: DataFrame
     edges: DataFrame
     hubs: DataFrame | None = None
+    size: int | None = None
 
     @property
     def weighted(self) -> bool:
@@ -38,7 +51,7 @@ class Graph:
         """The same edges in the opposite direction, with their weights."""
         rest = [c for c in self.edges.columns if c not in ("src", "dst")]
         hubs = None if self.hubs is None else self.hubs.select("node", F.col("in_salts").alias("out_salts"), F.col("out_salts").alias("in_salts"))
-        return Graph(self.nodes, self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest), hubs)
+        return Graph(self.nodes, self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest), hubs, self.size)
 
     def measured(self, tasks: int | None = None) -> Graph:
         """The graph with its hubs, from one count of edges by node: gathers deal a hub's edges to several tasks.
@@ -52,25 +65,27 @@ class Graph:
         found = degrees.agg(F.sum("o").alias("edges"), F.max(F.greatest("o", "i")).alias("most"), F.count("*").alias("nodes")).first()
         if not found.edges or found.most < SKEWED * found.edges / found.nodes or 2 * n * found.most <= found.edges:
             dropped(degrees)
-            return replace(self, hubs=None)
+            return replace(self, hubs=None, size=found.edges or 0)
         salts = lambda c: F.greatest(F.ceil(2 * n * F.col(c) / found.edges), F.lit(1)).cast("int")
         hubs = stored(degrees.where(F.greatest("o", "i") * 2 * n > found.edges).select("node", salts("o").alias("out_salts"), salts("i").alias("in_salts")), "hubs")
         dropped(degrees)
-        return replace(self, hubs=hubs)
+        return replace(self, hubs=hubs, size=found.edges)
 
-    def joined(self, side: DataFrame, end: str, how: str = "inner") -> DataFrame:
+    def joined(self, side: DataFrame, end: str, how: str = "inner", few: bool = False) -> DataFrame:
         """The edges joined with side on its column named end (src or dst), of which side has a few rows for each node.
 
-        Where the graph has hubs, their edges are dealt out by the other end, and side's rows for them are copied as often.
+        Where the graph has hubs, their edges are dealt out by the other end, and side's rows for them are copied as often. few: side may
+        be small enough to be sent to all tasks, so edges aren't dealt out beforehand.
         """
+        size = None if few else self.size
         if self.hubs is None:
-            return self.edges.join(side, end, how)
+            return dealt(self.edges, size, end).join(dealt(side, size, end), end, how)
         salts, other = ("out_salts", "dst") if end == "src" else ("in_salts", "src")
         hubs = F.broadcast(self.hubs.select(F.col("node").alias(end), F.col(salts).alias("_salts")))  # less than 4 * tasks rows
         salt = F.when(F.col("_salts") > 1, F.pmod(F.xxhash64(other), F.col("_salts"))).otherwise(0).cast("int")
-        dealt = self.edges.join(hubs, end, "left").withColumn("_salt", salt).drop("_salts")
+        salted = self.edges.join(hubs, end, "left").withColumn("_salt", salt).drop("_salts")
         copies = side.join(hubs, end, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-        return dealt.join(copies, [end, "_salt"], how).drop("_salt")
+        return dealt(salted, size, end, "_salt").join(dealt(copies, size, end, "_salt"), [end, "_salt"], how).drop("_salt")
 
     def with_weights(self, weights: DataFrame) -> Graph:
         """New weights from a table (src, dst, weight) or (src, dst, nth, weight).
@@ -82,9 +97,9 @@ class Graph:
         old = self.weight.alias("old")
         edges = self.edges.select("src", "dst", old)
         if "nth" in by:
-            edges = edges.withColumn("nth", F.row_number().over(Window.partitionBy("src", "dst").orderBy("old")) - 1)
-        new = weights.groupBy(*by).agg(F.min("weight").alias("weight"), F.count("*").alias("rows"))
-        held = edges.join(new, by, "left")
+            edges = dealt(edges, self.size, "src", "dst").withColumn("nth", F.row_number().over(Window.partitionBy("src", "dst").orderBy("old")) - 1)
+        new = dealt(weights, self.size, *by).groupBy(*by).agg(F.min("weight").alias("weight"), F.count("*").alias("rows"))
+        held = dealt(edges, self.size, *by).join(new, by, "left")
         edge = F.concat(F.col("src").cast("string"), F.lit(" to "), F.col("dst").cast("string"))
         checked = F.when(F.col("rows").isNull() | F.col("weight").isNull(), F.raise_error(F.concat(F.lit("no weight for the edge from "), edge)).cast("double")).when(F.col("rows") > 1, F.raise_error(F.concat(F.lit("two weights for the edge from "), edge)).cast("double")).otherwise(F.col("weight"))
         return replace(self, edges=held.select("src", "dst", checked.alias("weight")))
@@ -114,13 +129,13 @@ def from_edges(edges: DataFrame, num_nodes: int) -> Graph:
     bad = (F.col("src").isNull() | F.col("dst").isNull() | (F.least("src", "dst") < 0) | (F.greatest("src", "dst") >= num_nodes)).cast("long")
     w = F.col("weight").cast("double") if weighted else F.lit(1.0)
     bad_weight = (w.isNull() | F.isnan(w) | (w < 0) | (w == float("inf"))).cast("long")
-    found = edges.agg(F.sum(bad).alias("ids"), F.sum(bad_weight).alias("weights")).first()
+    found = edges.agg(F.sum(bad).alias("ids"), F.sum(bad_weight).alias("weights"), F.count("*").alias("edges")).first()
     if found.ids:
         raise ValueError(f"{found.ids} edges have an id outside of 0..{num_nodes - 1}")
     if found.weights:
         raise ValueError(f"{found.weights} edges have a weight that is negative or not finite")
     columns = [F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")] + ([F.col("weight")] if weighted else [])
-    return Graph(node_range(edges.sparkSession, num_nodes), edges.select(*columns))
+    return Graph(node_range(edges.sparkSession, num_nodes), edges.select(*columns), size=found.edges)
 
 
 def from_csr(rows: DataFrame, columns: DataFrame, incoming: bool = True) -> Graph:
@@ -133,8 +148,8 @@ def from_csr(rows: DataFrame, columns: DataFrame, incoming: bool = True) -> Grap
         raise ValueError("rows must start at 0, not decrease, and cover all columns")
     held = rows.where("row_end > row_start").select("node", F.explode(F.sequence("row_start", F.col("row_end") - 1)).alias("pos"))
     rest = ["weight"] if "weight" in columns.columns else []
-    edges = held.join(columns, "pos").select(F.col("src"), F.col("node").alias("dst"), *rest)
-    graph = Graph(rows.select("node"), edges)
+    edges = dealt(held, ok.n, "pos").join(dealt(columns, ok.n, "pos"), "pos").select(F.col("src"), F.col("node").alias("dst"), *rest)
+    graph = Graph(rows.select("node"), edges, size=ok.n or 0)
     return graph if incoming else graph.transpose()
 
 
@@ -206,17 +221,20 @@ def trade_graph(orders: DataFrame, lineitem: DataFrame, customer: DataFrame, sup
     """
     if kind not in ("unit", "weighted", "multi", "directed", "valued"):
         raise ValueError(f"no such kind of graph: {kind}")
-    n_customers = customer.count()  # counts come from the files' footers
-    sold = orders.select("o_orderkey", F.col("o_custkey").cast("long").alias("src")).join(lineitem.select("l_orderkey", F.col("l_suppkey").cast("long").alias("dst"), "l_quantity"), F.col("o_orderkey") == F.col("l_orderkey")).select("src", "dst", "l_quantity")
+    n_customers, lines = customer.count(), lineitem.count()  # counts come from the files' footers
+    ordered = dealt(orders.select("o_orderkey", F.col("o_custkey").cast("long").alias("src")), lines, "o_orderkey")
+    lined = dealt(lineitem.select("l_orderkey", F.col("l_suppkey").cast("long").alias("dst"), "l_quantity"), lines, "l_orderkey")
+    sold = ordered.join(lined, F.col("o_orderkey") == F.col("l_orderkey")).select("src", "dst", "l_quantity")
     if kind == "unit":
-        pairs = sold.select("src", "dst").distinct()
+        pairs = dealt(sold.select("src", "dst"), lines, "src", "dst").distinct()
     elif kind == "multi":
         pairs = sold.select("src", "dst")
     else:
         weight = F.sum(F.col("l_quantity").cast("double")) if kind == "valued" else F.count("*")
-        pairs = sold.groupBy("src", "dst").agg(weight.alias("weight"))
+        pairs = dealt(sold, lines, "src", "dst").groupBy("src", "dst").agg(weight.alias("weight"))
     pairs = pairs.withColumn("dst", F.col("dst") + n_customers)
-    return Graph(node_range(orders.sparkSession, n_customers + supplier.count()), pairs if kind == "directed" else symmetrised(pairs))
+    both = kind != "directed"
+    return Graph(node_range(orders.sparkSession, n_customers + supplier.count()), symmetrised(pairs) if both else pairs, size=lines * (1 + both))
 
 
 def load_edges(spark: SparkSession, path: str, base: int = 0, weights: bool = True) -> DataFrame:

@@ -134,6 +134,56 @@ def test_runs_over_ranges_as_in_one_task(spark, linear):
     assert got == sorted(map(tuple, T.resampled(a, b, linear).collect()), key=repr) and len(got) == len(grid)
 
 
+def widest(df):
+    """The most rows that a task has of df's result, and how many tasks have any."""
+    per = df.groupBy(F.spark_partition_id()).count().collect()
+    return max(r["count"] for r in per), len(per)
+
+
+def test_edges_are_dealt_to_tasks_by_their_number(spark, monkeypatch, request):
+    """Adaptive plans would merge all of these small rows into one task, whatever spark.sql.shuffle.partitions says."""
+    monkeypatch.setattr(graphs, "TASK_ROWS", 1000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    n, m = 500, 16_000
+    edges = spark.range(m).select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("src"), (F.col("id") * 11 % n).alias("dst"), F.lit(2).cast("long").alias("weight"))
+    g = graphs.from_edges(edges, n)
+    assert g.size == m and g.transpose().size == m
+    side = g.nodes.select(F.col("node").alias("src"))
+    most, tasks = widest(g.joined(side, "src"))
+    assert most < 3000 and tasks >= 8
+    placed = graphs.numbered(edges.select("src", "dst"), "dst", "src", name="pos").select("pos", "src")
+    back = graphs.from_csr(graphs.csr_rows(g), placed)
+    most, tasks = widest(back.edges)
+    assert most < 3000 and tasks >= 8 and back.size == m
+    assert sorted(map(tuple, back.edges.collect())) == sorted(map(tuple, edges.select("src", "dst").collect()))
+    weights = edges.select("src", "dst").distinct().withColumn("weight", F.col("src") * 0.5)
+    held = g.with_weights(weights).edges
+    assert widest(held)[1] >= 8
+    assert held.where("weight <> src * 0.5").count() == 0 and held.count() == m
+    states = g.nodes.select("node", F.lit(0).alias("replica"), (F.col("node") % 2).cast("int").alias("state"))
+    many = J.packed_influence(g, J.packed(states, [1], 70), 70)
+    assert widest(many)[1] >= 8
+    want = {r.node: r.influence for r in J.influence(graphs.Graph(g.nodes, g.edges), states, [1]).collect()}
+    assert {r.node: r.influence for r in many.where("replica = 0").collect()} == want
+    assert many.where("replica > 0 AND influence <> 0").count() == 0 and many.count() == 70 * n
+
+
+def test_the_trade_graph_is_made_in_tasks_by_its_lines(spark, monkeypatch, sf_dir):
+    from sporeline.operators import analytics as A
+    from sporeline.queries import fixtures as X
+
+    plain = {k: sorted(map(tuple, X.trade(spark, sf_dir, k).edges.collect())) for k in ("unit", "weighted", "multi", "directed")}
+    lines = X.table(spark, sf_dir, "lineitem").count()
+    degrees = sorted(map(tuple, A.in_degrees(X.trade(spark, sf_dir, "multi")).collect()))
+    monkeypatch.setattr(graphs, "TASK_ROWS", 500)
+    for kind, want in plain.items():
+        g = X.trade(spark, sf_dir, kind)
+        assert g.size == lines * (1 if kind == "directed" else 2)
+        assert widest(g.edges)[0] < 2000 and sorted(map(tuple, g.edges.collect())) == want
+    assert sorted(map(tuple, A.in_degrees(X.trade(spark, sf_dir, "multi")).collect())) == degrees
+
+
 def test_no_row_reads_all_rows_after_it(spark):
     """A frame up to the last row is read anew for each row, so that a long run takes the square of its samples."""
     n = 20_000
