@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sporeline.sources.graphs import Graph
+from sporeline.sources.graphs import Graph, dealt
 from sporeline.sources.storage import dropped, stored
 
 
@@ -103,7 +103,11 @@ def packed_influence(graph: Graph, masks: DataFrame, replicas: int) -> DataFrame
     """node, replica, influence from masks(node, mask). Words without a bit don't travel; a target's sums are made a word of replicas at a time."""
     words = masks.select(F.col("node").alias("src"), F.posexplode("mask").alias("_word", "_bits")).where("_bits <> 0")
     sums = [F.sum(graph.weight * F.getbit("_bits", F.lit(k))).alias(str(k)) for k in range(min(WORD, replicas))]
-    wide = graph.joined(words, "src").groupBy(F.col("dst").alias("node"), "_word").agg(*sums)
+    # A group is as wide as a word has replicas: rows are brought together before they are summed, not a group in each task.
+    sent = graph.joined(words, "src").withColumnRenamed("dst", "node").drop("src")
+    if graph.hubs is None:
+        sent = dealt(sent, None if graph.size is None else graph.size * -(-replicas // WORD), "node", "_word")
+    wide = sent.groupBy("node", "_word").agg(*sums)
     every = graph.nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(-(-replicas // WORD) - 1))).alias("_word")).join(wide, ["node", "_word"], "left")
     held = every.select("node", "_word", F.posexplode(F.array(*(F.coalesce(F.col(str(k)), F.lit(0)) for k in range(min(WORD, replicas))))).alias("_k", "influence"))
     return held.select("node", (F.col("_word") * WORD + F.col("_k")).alias("replica"), "influence").where(F.col("replica") < replicas)
@@ -113,7 +117,7 @@ def frontier_delta(graph: Graph, changed: DataFrame, inducers: list[int]) -> Dat
     """node, delta: what influence gains as nodes change, from changed(node, before, after); only edges out of changed nodes are read."""
     step = F.col("after").isin(inducers).cast("int") - F.col("before").isin(inducers).cast("int")
     moved = changed.select(F.col("node").alias("src"), step.alias("_d")).where("_d <> 0")
-    return graph.joined(moved, "src").groupBy(F.col("dst").alias("node")).agg(F.sum(graph.weight * F.col("_d")).alias("delta"))
+    return graph.joined(moved, "src", few=True).groupBy(F.col("dst").alias("node")).agg(F.sum(graph.weight * F.col("_d")).alias("delta"))
 
 
 def updated_influence(before: DataFrame, delta: DataFrame) -> DataFrame:
@@ -123,7 +127,7 @@ def updated_influence(before: DataFrame, delta: DataFrame) -> DataFrame:
 
 def frontier_edges(graph: Graph, changed: DataFrame) -> DataFrame:
     """frontier and total edges, and whether the whole influence should be rebuilt: from a fifth of all edges on."""
-    out = graph.joined(changed.select(F.col("node").alias("src")), "src", "left_semi").agg(F.count("*").alias("frontier"))
+    out = graph.joined(changed.select(F.col("node").alias("src")), "src", "left_semi", few=True).agg(F.count("*").alias("frontier"))
     both = out.crossJoin(graph.edges.agg(F.count("*").alias("total")))  # one row each
     return both.withColumn("rebuild", 5 * F.col("frontier") >= F.col("total"))
 
