@@ -52,7 +52,7 @@ def levels_from_roots(graph: Graph, placed: DataFrame) -> DataFrame:
     reached = stored(placed.select("node", "place", F.col("place").alias("root"), F.lit(0).cast("long").alias("level"), F.lit(True).alias("moved")), "levels")
     while not reached.where("moved").isEmpty():
         sending = reached.where("moved").select(F.col("node").alias("src"), F.struct("root", "level").alias("_at"))
-        heard = graph.joined(sending, "src").groupBy(F.col("dst").alias("node")).agg(F.min("_at").alias("_at"))
+        heard = graph.joined(sending, "src", few=True).groupBy(F.col("dst").alias("node")).agg(F.min("_at").alias("_at"))
         nearer = F.col("_at").isNotNull() & (F.struct(F.col("_at.root").alias("root"), (F.col("_at.level") + 1).alias("level")) < F.struct("root", "level"))
         held = reached.join(heard, "node", "left").withColumn("moved", nearer)
         at = lambda c, x: F.when(F.col("moved"), x).otherwise(F.col(c)).alias(c)
@@ -71,7 +71,7 @@ def reverse_cuthill_mckee(graph: Graph) -> DataFrame:
     """
     spark, n = graph.nodes.sparkSession, graph.nodes.count()
     both = stored(symmetrised(graph.edges.select("src", "dst").where("src <> dst")).distinct(), "neighbours")
-    flat = Graph(graph.nodes, both).measured()
+    flat = Graph(graph.nodes, both).measured().bucketed()
     levels = levels_from_roots(flat, numbered(in_degrees(flat), "degree", "node", name="place"))
     sorted_levels = stored(levels.repartitionByRange("level", "node").sortWithinPartitions("level"), "levels")  # a level's nodes lie together
     dropped(levels)
@@ -81,9 +81,11 @@ def reverse_cuthill_mckee(graph: Graph) -> DataFrame:
     sorted_levels.where("level = 0").select("node", "root", "level", F.col("root").alias("rank")).write.parquet(at(0))
     for k in range(1, deepest + 1):
         before = spark.read.schema(schema).parquet(at(k - 1)).select(F.col("node").alias("src"), "rank")
-        first = flat.joined(before, "src").groupBy(F.col("dst").alias("node")).agg(F.min("rank").alias("_first"))
+        first = flat.joined(before, "src", few=True).groupBy(F.col("dst").alias("node")).agg(F.min("rank").alias("_first"))
         here = numbered(sorted_levels.where(F.col("level") == k).join(first, "node"), "_first", "place", name="rank")
         here.select("node", "root", "level", "rank").write.parquet(at(k))
+    for old in (both, sorted_levels, *([flat.edges] if flat.by_source else [])):
+        dropped(old)
     order = numbered(spark.read.schema(schema).parquet(ranks), "root", "level", "rank", name="place")
     return order.select((F.lit(n - 1) - F.col("place")).alias("new"), F.col("node").alias("old"))
 

@@ -9,13 +9,14 @@ whose time has just got earlier, and end when none has. (Where nodes can be infe
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sporeline.functions.hazards import lognormal_parameters
 from sporeline.functions.rng import derived_seed, with_uniform
-from sporeline.sources.graphs import Graph
+from sporeline.sources.graphs import Graph, dealt
 from sporeline.sources.storage import dropped, stored
 
 # Domains of the draws of latent, infectious and sending times.
@@ -46,12 +47,15 @@ def event_times(graph: Graph, seeds: DataFrame, beta: float, infectious: tuple,
     n = graph.nodes.agg(F.count("*")).first()[0]
     dwell = _with_time(_with_time(graph.nodes.select("node"), "latent", F.col("node"), seed, LATENT, latent), "infectious", F.col("node"), seed, INFECTIOUS, infectious)
     dwell = stored(dwell, "dwell")
-    pairs = graph.edges.groupBy("src", "dst").agg(F.sum(graph.weight).cast("double").alias("w")).where("w > 0 AND src <> dst")
+    by = ["src"] if graph.hubs is None else ["src", "dst"]  # by the source alone, so that the join with dwell times needs no other shuffle
+    pairs = dealt(graph.edges, graph.size, *by).groupBy("src", "dst").agg(F.sum(graph.weight).cast("double").alias("w")).where("w > 0 AND src <> dst")
     sent = _with_time(pairs, "send", F.col("src") * n + F.col("dst"), seed, SENDING, ("exponential", 1.0)).withColumn("send", F.col("send") / (beta * F.col("w"))) if beta > 0 else pairs.withColumn("send", F.lit(float("inf")))
-    open_edges = stored(sent.join(dwell, F.col("src") == F.col("node")).where("send < infectious").select("src", "dst", (F.col("latent") + F.col("send")).alias("length")), "open-edges")
+    open_edges = Graph(graph.nodes, sent.join(dwell, F.col("src") == F.col("node")).where("send < infectious").select("src", "dst", (F.col("latent") + F.col("send")).alias("length")), size=graph.size).bucketed()
+    if not open_edges.by_source:
+        open_edges = replace(open_edges, edges=stored(open_edges.edges, "open-edges"))
     best = stored(seeds.select("node").distinct().select("node", F.lit(0.0).alias("t"), F.lit(True).alias("fresh")), "times")
     for _ in range(rounds):
-        reached = best.where("fresh").join(open_edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("t") + F.col("length")).alias("new"))
+        reached = open_edges.joined(best.where("fresh").select(F.col("node").alias("src"), "t"), "src", few=True).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("t") + F.col("length")).alias("new"))
         after = best.select("node", "t").join(reached, "node", "full").select("node", F.least("t", "new").alias("t"), (F.col("new").isNotNull() & (F.col("t").isNull() | (F.col("new") < F.col("t")))).alias("fresh"))
         after = stored(after, "times")
         dropped(best)
@@ -60,6 +64,7 @@ def event_times(graph: Graph, seeds: DataFrame, beta: float, infectious: tuple,
             break
     else:
         raise RuntimeError(f"times still change after {rounds} rounds")
+    dropped(open_edges.edges)
     held = dwell.join(best.select("node", F.col("t").alias("infected_at")), "node", "left")
     return held.select("node", "infected_at", (F.col("infected_at") + F.col("latent")).alias("infectious_at"), (F.col("infected_at") + F.col("latent") + F.col("infectious")).alias("removed_at"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sporeline.sources.storage import dropped, stored
+from sporeline.sources.storage import bucketed, dropped, stored
 
 #: Largest over mean degree from which a graph counts as skewed, and as strongly skewed.
 SKEWED, STRONGLY = 4.0, 50.0
@@ -32,12 +32,14 @@ class Graph:
     """hubs(node, out_salts, in_salts), if the graph's skew was measured and any node has more edges than a task should hold.
 
     size: how many edges there are at most, if it is known; joins and groupings of edges have as many tasks as it needs.
+    by_source: the edges lie in buckets by src.
     """
 
     nodes: DataFrame
     edges: DataFrame
     hubs: DataFrame | None = None
     size: int | None = None
+    by_source: bool = False
 
     @property
     def weighted(self) -> bool:
@@ -77,6 +79,8 @@ class Graph:
         Where the graph has hubs, their edges are dealt out by the other end, and side's rows for them are copied as often. few: side may
         be small enough to be sent to all tasks, so edges aren't dealt out beforehand.
         """
+        if self.by_source and end == "src":
+            return self.edges.join(side.hint("shuffle_hash"), end, how)  # neither shuffled nor sorted
         size = None if few else self.size
         if self.hubs is None:
             return dealt(self.edges, size, end).join(dealt(side, size, end), end, how)
@@ -109,6 +113,14 @@ class Graph:
         power = F.pow(F.lit(2.0), F.floor(F.log2(F.abs("weight"))) - 7)
         return replace(self, edges=self.edges.withColumn("weight", F.when(F.col("weight") == 0, F.col("weight")).otherwise(F.rint(F.col("weight") / power) * power)))
 
+    def bucketed(self) -> Graph:
+        """The graph with its edges stored by source, if they are many and it has no hubs: for many joins on src."""
+        tasks = -(-(self.size or 0) // TASK_ROWS)
+        if tasks < 4 or self.hubs is not None:
+            return self
+        n = max(tasks, int(self.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        return replace(self, edges=bucketed(self.edges, "edges", "src", n), by_source=True)
+
     def stored(self) -> Graph:
         """The graph in the shared folder, with its hubs measured: for many steps over one graph."""
         return Graph(stored(self.nodes, "nodes"), stored(self.edges, "edges")).measured()

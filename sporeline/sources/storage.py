@@ -25,9 +25,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """As stored, dealt to buckets of column: joins on column read the buckets as they lie, without another shuffle of df."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", f"{shared_dir(spark)}/{table}").format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def dropped(df: DataFrame) -> None:
-    """Delete a table that stored() wrote and nothing reads any more."""
+    """Delete a table that stored() or bucketed() wrote and nothing reads any more."""
     spark = df.sparkSession
     for file in df.inputFiles()[:1]:
         folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if "-" not in folder.getName():  # a bucketed one, which has a name
+            spark.sql(f"DROP TABLE IF EXISTS {folder.getName()}")
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

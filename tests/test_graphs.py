@@ -5,6 +5,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from sporeline.operators import analytics as A
 from sporeline.sources import generators as G
 from sporeline.sources import graphs
@@ -169,6 +171,23 @@ def test_reverse_cuthill_mckee_as_a_queue(spark, n, many, seed):
     assert [r.old for r in sorted(order.collect())] == cuthill_mckee(n, edges)
 
 
+def test_reverse_cuthill_mckee_reads_edges_by_source(spark, monkeypatch):
+    """Edges of a large graph lie in buckets, so that no round shuffles or sorts them again; the order is that of a queue."""
+    monkeypatch.setattr(graphs, "TASK_ROWS", 100)
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(420)]
+    g = graphs.from_edges(spark.createDataFrame(edges, "src long, dst long"), 300)
+    flat = graphs.Graph(g.nodes, graphs.symmetrised(g.edges), size=840).bucketed()
+    side = g.nodes.select(F.col("node").alias("src"), F.lit(1).alias("x"))
+    joined = flat.joined(side, "src")
+    assert joined.count() == 840
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and plan.count("Exchange") == 1  # of the side alone
+    got = {r.old: r.new for r in A.reverse_cuthill_mckee(g).collect()}
+    assert [o for o, _ in sorted(got.items(), key=lambda x: x[1])] == cuthill_mckee(300, edges)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("edges_") and t.name not in flat.edges.inputFiles()[0]]
+
+
 def test_reverse_cuthill_mckee_narrows_a_lattice(spark):
     side, names = 5, list(range(25))
     random.Random(4).shuffle(names)

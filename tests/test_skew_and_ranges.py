@@ -261,3 +261,18 @@ def test_erfcx_to_thirteen_digits(spark):
     df = spark.createDataFrame([(x,) for x in xs], "x double").select("x", H.erfcx(F.col("x")).alias("y"))
     for r in df.collect():
         assert r.y == pytest.approx(math.exp(r.x * r.x) * math.erfc(r.x), rel=1e-13 if abs(r.x) < 8 else 5e-13)
+
+
+def test_exact_times_from_edges_by_source(spark, monkeypatch):
+    """Open edges of a large graph lie in buckets by source, are dropped at the end, and give the times of small graphs."""
+    from sporeline.plans import exact
+
+    g = star(spark, 400, 399)
+    g, seeds = graphs.from_edges(g.edges, 400), spark.range(1, 4).select(F.col("id").alias("node"))
+    run = lambda: sorted(map(tuple, exact.event_times(g, seeds, 0.8, ("exponential", 0.5), seed=3).collect()))
+    want, made = run(), []
+    monkeypatch.setattr(graphs, "TASK_ROWS", 200)
+    kept = graphs.bucketed
+    monkeypatch.setattr(graphs, "bucketed", lambda *a: made.append(kept(*a)) or made[-1])
+    assert run() == want and len(made) == 1
+    assert made[0].columns == ["src", "dst", "length"]
