@@ -18,27 +18,42 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sporeline.llm._bytebpe import ChunkCache, chunk_numbers, vocabulary
+from sporeline.llm import _bytebpe
+from sporeline.llm._bytebpe import CACHED, parts, vocabulary
 from sporeline.llm._shared import new_path, slices, table
 
 # Ids in a word and bits of each, by selector.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = 15
+#: The first selector that fits each id of up to 17 bits.
+NARROWEST = np.searchsorted(1 << WIDTHS, np.arange(1 << 17), side="right").astype(np.int8)
 #: Ids from which a block is full, and bytes from which a task hands on blocks.
 BLOCK_IDS = 1 << 17
+#: UTF-8 bytes of text whose distinct chunks a task names at once.
+NAMED_BYTES = 1 << 22
 #: Chunks that the library encodes in one text.
 RUN = 256
 
 
+def _narrowest(ids: np.ndarray) -> np.ndarray:
+    """The first selector that each id fits; ESCAPE - 1 where none does."""
+    if ids.max(initial=0) < len(NARROWEST):
+        return NARROWEST[ids]
+    return np.searchsorted(np.uint64(1) << WIDTHS.astype(np.uint64), ids, side="right").astype(np.int8)
+
+
 def _steps(fits_below: np.ndarray) -> np.ndarray:
     """For each id the first selector whose count of ids, from this one on, all fit; ESCAPE where one doesn't fit alone."""
     out = np.full(len(fits_below), ESCAPE, np.int8)
@@ -61,16 +76,15 @@ def encode_blocks(documents: list[np.ndarray]) -> list[np.ndarray]:
     for d, at in zip(documents, starts.tolist(), strict=False):
         ids[at : at + len(d)] = d
     narrow = ids.max(initial=0) < 1 << 60
-    width = np.searchsorted(np.uint64(1) << WIDTHS.astype(np.uint64), ids, side="right").astype(np.int8)  # ESCAPE - 1 where no selector fits
-    selector = _steps(width)
-    following = (np.arange(len(ids)) + np.r_[COUNTS, 1, 1][selector]).tolist()
+    selector = _steps(_narrowest(ids))
+    step = np.r_[COUNTS, 1, 1].astype(np.uint8)[selector].tobytes()
     taken: list[int] = []
     words_of = []
     for at, n in zip(starts.tolist(), sizes.tolist(), strict=False):
         end, before = at + n, len(taken)
         while at < end:
             taken.append(at)
-            at = following[at]
+            at += step[at]
         words_of.append(len(taken) - before)
     at = np.array(taken, np.int64)
     s = selector[at].astype(np.int64)
@@ -116,11 +130,67 @@ def decode_block(words: np.ndarray, word_offsets: np.ndarray, n_ids: np.ndarray)
     return ids[keep], ends[:-1]
 
 
+class ChunkIds:
+    """Numbered chunks and their ids, end to end in one array; chunk k's end at ends[k + 1].
+
+    Chunks that a space stands before, which isn't part of their names, are numbered apart from others.
+    """
+
+    def __init__(self, library, spaced: np.ndarray):
+        self.library, self.spaced = library, spaced
+        self.clear()
+
+    def clear(self) -> None:
+        self.after, self.alone, self.held = {}, {}, 0
+        self.ids, self.ends = array("I"), array("q", [0])
+
+    def _learn(self, numbers: dict[str, int], new: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        numbers.update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(new)), strict=True))
+        self.ends.frombytes((self.ends[-1] + ends.astype(np.int64)).tobytes())
+        self.ids.frombytes(ids.tobytes())
+        self.held += sum(map(len, new)) + 40 * len(new)
+
+    def _one_by_one(self, numbers: dict[str, int], new: list[str], lead: str) -> None:
+        if new:
+            ids = [np.array(e.ids, "<u4") for e in self.library([lead + x for x in new])]
+            self._learn(numbers, new, np.concatenate(ids), np.cumsum([len(x) for x in ids]))
+
+    def numbers_alone(self, chunks: list[str]) -> list[int]:
+        self._one_by_one(self.alone, [x for x in dict.fromkeys(chunks) if x not in self.alone], "")
+        return list(map(self.alone.__getitem__, chunks))
+
+    def numbers_after(self, chunks: list[str]) -> list[int]:
+        """Chunks with no other space are encoded RUN at a time, end to end: the library cuts before each, and only its first token begins with a space."""
+        found = list(map(self.after.get, chunks))
+        new = list(dict.fromkeys(x for x, n in zip(chunks, found, strict=True) if n is None))
+        if not new:
+            return found
+        plain = [x for x in new if " " not in x]
+        if plain:
+            runs = self.library([" " + " ".join(plain[k : k + RUN]) for k in range(0, len(plain), RUN)])
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in runs])
+            self._learn(self.after, plain, ids, np.r_[np.flatnonzero(self.spaced[ids])[1:], len(ids)])
+        self._one_by_one(self.after, [x for x in new if " " in x], " ")
+        return [self.after[x] if n is None else n for x, n in zip(chunks, found, strict=True)]
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunks with these numbers end to end, and where each one's end."""
+        ends = np.asarray(self.ends)
+        begins = ends[numbers]
+        sizes = ends[numbers + 1] - begins
+        placed = np.cumsum(sizes)
+        at = np.repeat(begins - placed + sizes, sizes)
+        at += np.arange(len(at))
+        return np.asarray(self.ids)[at], placed
+
+
 class LibraryEncoder:
     """Ids by the tokenizers library.
 
     With a plain byte-level BPE vocabulary, which cuts before each word anyway, the library gets each distinct chunk
-    once, and a bounded cache keeps its ids. With any other vocabulary it gets whole texts.
+    once, and a bounded cache keeps its ids. Arrow cuts texts at their spaces and names each distinct chunk of them once;
+    texts where not every space is a cut (white space after it, special strings) or that are very long are cut one by one.
+    With any other vocabulary the library gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -135,33 +205,61 @@ class LibraryEncoder:
         except ValueError:
             self.vocab = None
         if self.vocab is not None:
-            self.spaced = np.array([x[:1] == b" " for x in self.vocab.bytes_of])
-        self.cache = ChunkCache(self._chunks)
+            self.strings = {i: x for x, i in self.vocab.special.items()}
+            self.cache = ChunkIds(self._library, np.array([x[:1] == b" " for x in self.vocab.bytes_of]))
 
     def _library(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
-    def _chunks(self, new: list[str]) -> list[bytes]:
-        """The ids of chunks, as 32-bit words.
-
-        Chunks with no space but the one they begin with are encoded RUN at a time, end to end: the library cuts before
-        each, and only its first token begins with a space. The others are encoded one by one.
-        """
-        plain = [x for x in new if x[:1] == " " and " " not in x[1:]]
-        runs = self._library(["".join(plain[k : k + RUN]) for k in range(0, len(plain), RUN)])
-        ids = np.concatenate([np.zeros(0, "<u4"), *(np.array(e.ids, "<u4") for e in runs)])
-        whole, edges = ids.tobytes(), [4 * k for k in (*np.flatnonzero(self.spaced[ids]).tolist(), len(ids))]
-        codes = dict(zip(plain, (whole[a:b] for a, b in zip(edges, edges[1:], strict=False)), strict=True))
-        others = [x for x in new if x not in codes]
-        codes.update(zip(others, (np.array(e.ids, "<u4").tobytes() for e in self._library(others)), strict=True))
-        return list(map(codes.__getitem__, new))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def _cut(self, text: str) -> list[int]:
+        """The numbers of a text's chunks, whatever it has."""
+        cut = [[self.strings[s]] if s is not None else c for s, c in parts(text, self.vocab)]
+        first = self.cache.numbers_alone([c[0] for c in cut])
+        return [n for k, c in zip(first, cut, strict=True) for n in (k, *self.cache.numbers_after(c[1:]))]
+
+    def _numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all texts' chunks end to end, and how many each text has."""
+        texts = pc.fill_null(texts, "")
+        apart = pc.binary_length(texts).to_numpy(zero_copy_only=False) > 2 * _bytebpe.SPAN
+        for x in self.vocab.special:
+            apart |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(pc.if_else(pa.array(~apart), texts, ""), " ")
+        begins, sizes = lists.offsets.to_numpy()[:-1].astype(np.int64), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        named = lists.flatten().dictionary_encode()
+        chunk, names = named.indices.to_numpy(), named.dictionary.to_numpy(zero_copy_only=False).tolist()
+        later = np.ones(len(chunk), bool)
+        later[begins] = False
+        uncut = np.array([not x[:1].strip() for x in names])  # the space before it is no cut
+        if uncut.any():
+            apart |= np.bitwise_or.reduceat(uncut[chunk] & later, begins)
+            later &= np.repeat(~apart, sizes)
+        used = np.zeros(len(names), bool)
+        used[chunk[later]] = True
+        number = np.zeros(len(names), np.int64)
+        number[used] = self.cache.numbers_after(list(compress(names, used.tolist())))
+        numbers = number[chunk]
+        first = begins[~apart]
+        numbers[first] = self.cache.numbers_alone([names[k] for k in chunk[first].tolist()])
+        if apart.any():
+            runs = np.split(numbers, begins[1:])
+            for k in np.flatnonzero(apart).tolist():
+                runs[k] = np.array(self._cut(texts[k].as_py()), np.int64)
+            numbers, sizes = np.concatenate(runs), np.array([len(x) for x in runs], np.int64)
+        return numbers, sizes
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
         if self.vocab is None:
-            return [np.array(e.ids, "<u4") for e in self._library([t or "" for t in texts])]
-        cut = chunk_numbers(texts, self.vocab, self.cache)
-        whole = (b"".join(y for s, c in x for y in ([np.array([s], "<u4").tobytes()] if s is not None else self.cache.values(c))) for x in cut)
-        return [np.frombuffer(x, "<u4") for x in whole]
+            whole = texts.to_pylist() if isinstance(texts, pa.Array) else texts
+            return [np.array(e.ids, "<u4") for e in self._library([t or "" for t in whole])]
+        if not len(texts):
+            return []
+        if self.cache.held > CACHED:
+            self.cache.clear()
+        numbers, sizes = self._numbers(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        ids, placed = self.cache.gather(numbers)
+        ends = np.r_[0, placed][np.cumsum(sizes)]
+        return np.split(ids, ends[:-1])
 
 
 @lru_cache(maxsize=2)
@@ -187,8 +285,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, tex
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(tokenizer)
-        for b in slices(batches, "text"):
-            ids = [np.r_[x, np.uint32(end_id)].astype("<u4") for x in encoder.encode(b.column("text").to_pylist())]
+        for b in slices(batches, "text", NAMED_BYTES):
+            ids = [np.r_[x, np.uint32(end_id)].astype("<u4") for x in encoder.encode(b.column("text"))]
             keys = b.column("doc_id")
             part = np.searchsorted(bounds, keys.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="left")
             hashes = [zlib.crc32(x.tobytes()) for x in ids]

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -120,6 +121,32 @@ def test_store_has_all_ids_in_order(spark, library):
     assert token_store.store_digests(spark, path).count() == 0
 
 
+@pytest.mark.parametrize(("span", "cached", "size"), [(1 << 19, 72_000_000, 500), (40, 2000, 7), (40, 72_000_000, 1)])
+def test_store_encodes_arrow_columns_as_the_library(library, monkeypatch, span, cached, size):
+    monkeypatch.setattr(_bytebpe, "SPAN", span)
+    monkeypatch.setattr(token_store, "CACHED", cached)
+    whole = [*texts(), None, "a b\x1c c \x1c d", "<|endoftext|>", "a \u00a0b c", "  \n", "no  cut here ", " b a b", "\u6f22\u5b57" * 500]
+    encoder = token_store.LibraryEncoder(PATH)
+    for k in range(0, len(whole), size):
+        for text, ids in zip(whole[k : k + size], encoder.encode(pa.array(whole[k : k + size], pa.string())), strict=True):
+            assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids
+
+
+def test_store_looks_up_a_chunk_once_however_often_it_stands(library):
+    encoder, asked = token_store.LibraryEncoder(PATH), []
+    numbers = encoder.cache.numbers_after
+    encoder.cache.numbers_after = lambda chunks: asked.extend(chunks) or numbers(chunks)
+    got = encoder.encode(pa.array(["one two three two one " * 500 + "end", "two one"] * 20))
+    assert sorted(asked) == ["end", "one", "three", "two"]
+    assert got[0].tolist() == library.encode("one two three two one " * 500 + "end", add_special_tokens=False).ids
+
+
+def test_blocks_of_ids_on_either_side_of_the_table_of_widths():
+    for top in ((1 << 17) - 1, 1 << 17, (1 << 60) - 1, 1 << 60):
+        ids = np.array([0, 1, 2, 50_256, top, 3], np.uint64)
+        assert token_store._narrowest(ids).tolist() == [next((s for s, w in enumerate(token_store.WIDTHS.tolist()) if int(x) < 1 << w), 14) for x in ids]
+
+
 def test_other_vocabularies_go_to_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     got = token_store.LibraryEncoder(path).encode(["Two words", None])
