@@ -189,7 +189,7 @@ class LibraryEncoder:
 
     With a plain byte-level BPE vocabulary, which cuts before each word anyway, the library gets each distinct chunk
     once, and a bounded cache keeps its ids. Arrow cuts texts at their spaces and names each distinct chunk of them once;
-    texts where not every space is a cut (white space after it, special strings) or that are very long are cut one by one.
+    texts with special strings and very long ones are cut one by one.
     With any other vocabulary the library gets whole texts.
     """
 
@@ -226,13 +226,18 @@ class LibraryEncoder:
         lists = pc.split_pattern(pc.if_else(pa.array(~apart), texts, ""), " ")
         begins, sizes = lists.offsets.to_numpy()[:-1].astype(np.int64), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         named = lists.flatten().dictionary_encode()
-        chunk, names = named.indices.to_numpy(), named.dictionary.to_numpy(zero_copy_only=False).tolist()
+        chunk, names = named.indices.to_numpy().astype(np.int64), named.dictionary.to_numpy(zero_copy_only=False).tolist()
         later = np.ones(len(chunk), bool)
         later[begins] = False
-        uncut = np.array([not x[:1].strip() for x in names])  # the space before it is no cut
-        if uncut.any():
-            apart |= np.bitwise_or.reduceat(uncut[chunk] & later, begins)
-            later &= np.repeat(~apart, sizes)
+        head = np.array([bool(x[:1].strip()) for x in names])[chunk] | ~later
+        if not head.all():  # before white space there's no cut: what was cut there is put together again
+            at = np.flatnonzero(head)
+            size = np.diff(at, append=len(chunk))
+            whole = np.flatnonzero(size > 1)
+            joined = [" ".join([names[k] for k in chunk[a : a + n].tolist()]) for a, n in zip(at[whole].tolist(), size[whole].tolist(), strict=True)]
+            chunk, later, begins = chunk[at], later[at], (np.cumsum(head) - 1)[begins]
+            chunk[whole] = np.arange(len(names), len(names) + len(joined))
+            names, sizes = names + joined, np.diff(begins, append=len(at))
         used = np.zeros(len(names), bool)
         used[chunk[later]] = True
         number = np.zeros(len(names), np.int64)
