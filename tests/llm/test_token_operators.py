@@ -141,6 +141,16 @@ def test_store_looks_up_a_chunk_once_however_often_it_stands(library):
     assert got[0].tolist() == library.encode("one two three two one " * 500 + "end", add_special_tokens=False).ids
 
 
+def test_store_cuts_texts_with_spaces_before_white_space_all_together(library):
+    encoder, calls = token_store.LibraryEncoder(PATH), []
+    numbers = encoder.cache.numbers_after
+    encoder.cache.numbers_after = lambda chunks: calls.append(chunks) or numbers(chunks)
+    whole = ["one.  Two. \n three ", "  four  one. ", " ", "five one.  Two"]
+    got = encoder.encode(pa.array(whole))
+    assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in whole]
+    assert len(calls) == 1 and sorted(set(calls[0])) == ["Two", "Two. \n", "four ", "one. ", "three "]
+
+
 def test_blocks_of_ids_on_either_side_of_the_table_of_widths():
     for top in ((1 << 17) - 1, 1 << 17, (1 << 60) - 1, 1 << 60):
         ids = np.array([0, 1, 2, 50_256, top, 3], np.uint64)
