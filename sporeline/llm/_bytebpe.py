@@ -20,7 +20,7 @@ ODD = re.compile(r" (?:\s|\Z)")
 #: Characters of a text that are cut into chunks at once.
 SPAN = 1 << 19
 #: Characters, counting some for each entry, that a worker's cache of chunks holds.
-CACHED = 72_000_000
+CACHED = 24_000_000
 
 
 def byte_letters() -> list[str]:
@@ -178,18 +178,18 @@ class ChunkCache:
     """Values of chunks, made in batches by values_of(list of whole chunks) for those not met before.
 
     A chunk is looked up once for each time it stands in a text. Chunks that start a span stand apart, for they lack the
-    leading space that others have.
+    leading space that others have. values_of isn't kept: a cache that holds a method of its owner would outlive its task
+    in a reused worker, until Python looks for cycles.
     """
 
-    def __init__(self, values_of):
-        self.values_of = values_of
+    def __init__(self):
         self._clear()
 
     def _clear(self) -> None:
         self.new, self.made, self.held = [], [], 0
         self.first, self.rest = _Numbers(self.new, self.made, ""), _Numbers(self.new, self.made, " ")
 
-    def numbers(self, lists: list[list[str]]) -> list[list[int]]:
+    def numbers(self, lists: list[list[str]], values_of) -> list[list[int]]:
         """The numbers of each list's chunks, all of whose values are made."""
         if self.held > CACHED:
             self._clear()
@@ -201,7 +201,7 @@ class ChunkCache:
             out.append(numbers)
         if self.new:
             self.held += sum(map(len, self.new)) + 40 * len(self.new)
-            self.made.extend(self.values_of(self.new))
+            self.made.extend(values_of(self.new))
             self.new.clear()
         return out
 
@@ -209,8 +209,8 @@ class ChunkCache:
         return map(self.made.__getitem__, numbers)
 
 
-def chunk_numbers(texts: list[str | None], vocab: Vocabulary, cache: ChunkCache) -> list[list[tuple[int | None, list[int]]]]:
+def chunk_numbers(texts: list[str | None], vocab: Vocabulary, cache: ChunkCache, values_of) -> list[list[tuple[int | None, list[int]]]]:
     """For each text its parts: the id of a special string, or None and the numbers of a span's chunks."""
     cut = [list(parts(t, vocab)) for t in texts]
-    numbers = iter(cache.numbers([c for x in cut for special, c in x if special is None]))
+    numbers = iter(cache.numbers([c for x in cut for special, c in x if special is None], values_of))
     return [[(special, [] if special is not None else next(numbers)) for special, _ in x] for x in cut]

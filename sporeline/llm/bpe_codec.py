@@ -28,7 +28,7 @@ class Codec:
 
     def __init__(self, path: str):
         self.vocab: Vocabulary = vocabulary(path)
-        self.cache = ChunkCache(self._chunks)
+        self.cache = ChunkCache()
 
     def fragments_of(self, pre_tokens: list[bytes]) -> tuple[list[bytes], list[int]]:
         """All pre-tokens cut at their forced boundaries, and how many fragments each one has."""
@@ -58,7 +58,7 @@ class Codec:
 
     def coded(self, texts: list[str | None]) -> Iterator[Iterator[list[int]]]:
         """For each text its ids, in runs of bounded length."""
-        for x in chunk_numbers(texts, self.vocab, self.cache):
+        for x in chunk_numbers(texts, self.vocab, self.cache, self._chunks):
             yield ([s] if s is not None else np.frombuffer(b"".join(self.cache.values(c)), "<u4").tolist() for s, c in x)
 
     def encode(self, text: str | None) -> list[int]:

@@ -25,7 +25,7 @@ LIMIT = 1024
 class Counter:
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
-        self.cache = ChunkCache(self._chunks)
+        self.cache = ChunkCache()
 
     def _chunks(self, new: list[str]) -> list[int]:
         cut = [PRE_TOKENS.findall(x) for x in new]
@@ -37,7 +37,7 @@ class Counter:
         return [sum(counts[order[p]] for p in x) for x in cut]
 
     def counts(self, texts: list[str | None]) -> list[int]:
-        return [sum(1 if s is not None else sum(self.cache.values(c)) for s, c in x) for x in chunk_numbers(texts, self.vocab, self.cache)]
+        return [sum(1 if s is not None else sum(self.cache.values(c)) for s, c in x) for x in chunk_numbers(texts, self.vocab, self.cache, self._chunks)]
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -1,8 +1,10 @@
 """Substring dedup against plain comparisons of all pairs, and its edge cases."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sporeline.llm import substring_dedup as S
@@ -256,3 +258,69 @@ def test_a_large_group_of_copies(spark):
     docs = [(i, text) for i in range(3000)] + [(i, other) for i in range(3000, 3010)] + [(i, " ".join(prose(rng, 30))) for i in range(3010, 4000)]
     rows = S.repeated(spark.createDataFrame(docs, SCHEMA).repartition(9)).collect()
     assert {(r.doc_id, r.other_id) for r in rows} == {(i, 0) for i in range(1, 3000)} | {(i, 3000) for i in range(3001, 3010)}
+
+
+def texts_batch(texts: list[str]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["key", "text"])
+
+
+def test_seeds_of_a_text_dont_depend_on_the_texts_before_it():
+    rng, words = random.Random(19), S.WordHashes()
+    texts = [words.of(" ".join(prose(rng, rng.randint(0, 30)))) for _ in range(200)]
+    h, owner, place = S.seeds_of(texts)
+    for i, t in enumerate(texts):
+        alone = S.seeds_of([t])
+        assert alone[0].tolist() == h[owner == i].tolist() and alone[2].tolist() == place[owner == i].tolist()
+
+
+def test_seeds_of_a_block_are_made_slice_by_slice():
+    """A worker holds the seeds of a block of texts, not the texts, and arrays over the words of a slice only."""
+    rng = random.Random(20)
+    line = prose(rng, 5000)
+    batch = texts_batch([" ".join(rng.choices(line, k=400)) for _ in range(4000)])
+    assert S.BLOCK_CHARS < batch.nbytes < 3 * S.BLOCK_CHARS
+    tracemalloc.start()
+    rows = sum(r.num_rows for r in S.seed_rows(iter([batch]), 0))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 500_000
+    assert most < 100 << 20
+
+
+def test_blocks_hold_a_text_once_and_are_numbered(monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_CHARS", 2000)
+    monkeypatch.setattr(S, "ROWS", 50)
+    rng = random.Random(21)
+    texts = [" ".join(prose(rng, 100)) for _ in range(12)]
+    batches = [texts_batch(texts).slice(i, 4) for i in (0, 0, 4, 8)]
+    parts = list(S.seed_rows(iter([*batches, *batches[:1]]), 5 << 32))
+    assert max(p.num_rows for p in parts) <= 50
+    rows = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    one = [S.seeds_of([S.WordHashes().of(t)]) for t in texts]
+    blocks = [tag >> 2 for _, _, tag, _ in rows]
+    assert sorted(set(blocks)) == [(5 << 32) + k for k in range(len(set(blocks)))] and len(set(blocks)) > 2
+    for k in range(12):
+        for block in set(blocks):
+            got = sorted((h, at >> S.FAR) for (h, key, _, at), b in zip(rows, blocks, strict=True) if key == k and b == block)
+            assert got in ([], sorted(zip(one[k][0].view(np.int64).tolist(), one[k][2].tolist(), strict=True)))
+
+
+def test_contexts_are_the_same_however_many_lists_are_read_at_once(monkeypatch):
+    rng = random.Random(22)
+    lists = []
+    for _ in range(60):
+        places = sorted(rng.sample(range(200), rng.randint(1, 90)))
+        lists.append([{"place": p, "hash": rng.getrandbits(62), "low": rng.randint(0, 3), "low_place": p + rng.randint(0, 1)} for p in places])
+    kind = pa.list_(pa.struct([("place", pa.int64()), ("hash", pa.int64()), ("low", pa.int64()), ("low_place", pa.int64())]))
+    batch = pa.record_batch([pa.array(range(60), pa.int64()), pa.array(lists, kind)], names=["key", "seeds"])
+
+    def got(batches):
+        return sorted((r["hash"], r["key"], r["at"]) for p in S.context_rows(iter(batches), 0) for r in p.to_pylist())
+
+    whole = got([batch])
+    monkeypatch.setattr(S, "ROWS", 100)
+    sizes: list[int] = []
+    plain = S.contexts_of
+    monkeypatch.setattr(S, "contexts_of", lambda owner, *x: sizes.append(len(owner)) or plain(owner, *x))
+    assert got([batch.slice(0, 25), batch.slice(25, 0), batch.slice(25)]) == whole and len(whole) > 500
+    assert max(sizes) <= 100 and len(sizes) > 20

@@ -1,7 +1,9 @@
 """Codec, counts and token store against the tokenizers library."""
 
+import gc
 import hashlib
 import random
+import weakref
 import zlib
 
 import numpy as np
@@ -161,3 +163,18 @@ def test_other_vocabularies_go_to_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     got = token_store.LibraryEncoder(path).encode(["Two words", None])
     assert got[0].tolist() == Tokenizer.from_file(path).encode("Two words", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("kind", [bpe_codec.Codec, token_counts.Counter])
+def test_a_cache_goes_with_its_task(kind):
+    """Without waiting for Python to look for cycles, as a reused worker would hold one task's cache in the next."""
+    gc.disable()
+    try:
+        coder = kind(PATH)
+        for x in coder.coded(["some words"]) if kind is bpe_codec.Codec else coder.counts(["some words"]):
+            assert x
+        held = weakref.ref(coder.cache)
+        del coder, x
+        assert held() is None
+    finally:
+        gc.enable()
