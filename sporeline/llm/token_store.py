@@ -21,7 +21,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import compress
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sporeline.llm import _bytebpe
-from sporeline.llm._bytebpe import CACHED, parts, vocabulary
+from sporeline.llm._bytebpe import parts, vocabulary
 from sporeline.llm._shared import new_path, slices, table
 
 # Ids in a word and bits of each, by selector.
@@ -42,9 +42,20 @@ NARROWEST = np.searchsorted(1 << WIDTHS, np.arange(1 << 17), side="right").astyp
 #: Ids from which a block is full, and bytes from which a task hands on blocks.
 BLOCK_IDS = 1 << 17
 #: UTF-8 bytes of text whose distinct chunks a task names at once.
-NAMED_BYTES = 1 << 22
+NAMED_BYTES = 1 << 23
+#: Chunks whose ids are put together at once, and ids that are coded at once, if no text has more.
+GATHERED = 1 << 16
+CODED_IDS = 1 << 18
 #: Chunks that the library encodes in one text.
 RUN = 256
+#: Bytes that a worker's cache of chunks holds.
+CACHED = 40_000_000
+#: White space in UTF-8: single bytes, first bytes of more, and these characters' bytes as numbers.
+SPACES = [chr(c).encode() for c in range(1 << 16) if chr(c).isspace()]
+WHITE, WIDE_WHITE = np.zeros(256, bool), np.zeros(256, bool)
+WHITE[[x[0] for x in SPACES if len(x) == 1]] = True
+WIDE_WHITE[[x[0] for x in SPACES if len(x) > 1]] = True
+WHITE_CODES = np.array([int.from_bytes(x) for x in SPACES if len(x) > 1])
 
 
 def _narrowest(ids: np.ndarray) -> np.ndarray:
@@ -130,10 +141,29 @@ def decode_block(words: np.ndarray, word_offsets: np.ndarray, n_ids: np.ndarray)
     return ids[keep], ends[:-1]
 
 
+def cut_places(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the chunks of texts that lie end to end begin: at each text that isn't empty, and at each space before a character that isn't white space."""
+    first = np.zeros(len(data) + 4, bool)
+    first[offsets] = True
+    spaces = np.flatnonzero(data == 32)
+    spaces = spaces[~first[spaces + 1]]
+    after = data[spaces + 1]
+    cut = ~WHITE[after]
+    wide = np.flatnonzero(WIDE_WHITE[after])  # few characters but these begin like white space of more bytes
+    if len(wide):
+        code = np.zeros(len(wide), np.int64)
+        for j in range(1, 4):
+            code = code << 8 | data[np.minimum(spaces[wide] + j, len(data) - 1)]
+        cut[wide] = ~(np.isin(code >> 8, WHITE_CODES) | np.isin(code, WHITE_CODES))
+    first[spaces[cut]] = True
+    return np.flatnonzero(first[: len(data)])
+
+
 class ChunkIds:
-    """Numbered chunks and their ids, end to end in one array; chunk k's end at ends[k + 1].
+    """Chunks by name (the leading space is part of it), and their ids, end to end in one array; those of number k end at ends[k + 1].
 
-    Chunks that a space stands before, which isn't part of their names, are numbered apart from others.
+    Names lie in an Arrow array, which takes a fraction of what Python's strings and dictionaries would; number[i] is the i-th name's,
+    used[i] how many columns have had it (2: or more).
     """
 
     def __init__(self, library, spaced: np.ndarray):
@@ -141,37 +171,87 @@ class ChunkIds:
         self.clear()
 
     def clear(self) -> None:
-        self.after, self.alone, self.held = {}, {}, 0
+        self.names, self.number, self.used = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(0, np.uint8)
         self.ids, self.ends = array("I"), array("q", [0])
 
-    def _learn(self, numbers: dict[str, int], new: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        numbers.update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(new)), strict=True))
+    @property
+    def held(self) -> int:
+        """Bytes of names and ids."""
+        return self.names.nbytes + self.number.nbytes + self.used.nbytes + 4 * len(self.ids) + 8 * len(self.ends)
+
+    def shrink(self, most: int) -> None:
+        """Forgets the chunks that only one column had (of those kept before: none since then), or all if the others take over half of most bytes."""
+        keep = self.used > 1
+        names, number = self.names.filter(pa.array(keep)), self.number[keep]
+        ids, ends = self.gather(number)
+        self.clear()
+        self._learn(ids, ends)
+        self.names, self.number, self.used = names, np.arange(len(names), dtype=np.int32), np.ones(len(names), np.uint8)
+        if 2 * self.held > most:
+            self.clear()
+
+    def _learn(self, ids: np.ndarray, ends: np.ndarray) -> None:
         self.ends.frombytes((self.ends[-1] + ends.astype(np.int64)).tobytes())
         self.ids.frombytes(ids.tobytes())
-        self.held += sum(map(len, new)) + 40 * len(new)
 
-    def _one_by_one(self, numbers: dict[str, int], new: list[str], lead: str) -> None:
+    def _one_by_one(self, new: list[str], lead: str) -> None:
         if new:
             ids = [np.array(e.ids, "<u4") for e in self.library([lead + x for x in new])]
-            self._learn(numbers, new, np.concatenate(ids), np.cumsum([len(x) for x in ids]))
-
-    def numbers_alone(self, chunks: list[str]) -> list[int]:
-        self._one_by_one(self.alone, [x for x in dict.fromkeys(chunks) if x not in self.alone], "")
-        return list(map(self.alone.__getitem__, chunks))
-
-    def numbers_after(self, chunks: list[str]) -> list[int]:
-        """Chunks with no other space are encoded RUN at a time, end to end: the library cuts before each, and only its first token begins with a space."""
-        found = list(map(self.after.get, chunks))
-        new = list(dict.fromkeys(x for x, n in zip(chunks, found, strict=True) if n is None))
-        if not new:
-            return found
-        plain = [x for x in new if " " not in x]
+            self._learn(np.concatenate(ids), np.cumsum([len(x) for x in ids]))
+
+    def numbers_alone(self, new: list[str]) -> np.ndarray:
+        """Learns chunks that weren't met before, as they are."""
+        begin = len(self.ends) - 1
+        self._one_by_one(new, "")
+        return np.arange(begin, begin + len(new))
+
+    def numbers_after(self, new: list[str]) -> np.ndarray:
+        """Learns chunks that a space stands before, which isn't given.
+
+        Those with no other space are encoded RUN at a time, end to end: the library cuts before each, and only its first token begins with a space.
+        """
+        begin, numbers = len(self.ends) - 1, np.zeros(len(new), np.int64)
+        odd = np.array([" " in x for x in new], bool)
+        plain = list(compress(new, (~odd).tolist()))
         if plain:
             runs = self.library([" " + " ".join(plain[k : k + RUN]) for k in range(0, len(plain), RUN)])
             ids = np.concatenate([np.array(e.ids, "<u4") for e in runs])
-            self._learn(self.after, plain, ids, np.r_[np.flatnonzero(self.spaced[ids])[1:], len(ids)])
-        self._one_by_one(self.after, [x for x in new if " " in x], " ")
-        return [self.after[x] if n is None else n for x, n in zip(chunks, found, strict=True)]
+            self._learn(ids, np.r_[np.flatnonzero(self.spaced[ids])[1:], len(ids)])
+        self._one_by_one(list(compress(new, odd.tolist())), " ")
+        numbers[~odd] = np.arange(begin, begin + len(plain))
+        numbers[odd] = np.arange(begin + len(plain), begin + len(new))
+        return numbers
+
+    def _numbers_of_new(self, new: pa.Array) -> np.ndarray:
+        """Learns these chunks. Most are one space and a word, so that their bytes, which lie end to end, are cut into words in one go."""
+        offsets = np.frombuffer(new.buffers()[1], np.int32)[new.offset : new.offset + len(new) + 1]
+        data = np.frombuffer(new.buffers()[2] or b"\0", np.uint8)
+        second = data[np.minimum(offsets[:-1] + 1, len(data) - 1)]
+        word = (np.diff(offsets) > 1) & ~WHITE[second] & ~WIDE_WHITE[second] & pc.starts_with(new, " ").to_numpy(zero_copy_only=False)
+        word &= pc.count_substring(new, " ").to_numpy() == 1
+        after = data[offsets[0] : offsets[-1]][np.repeat(word, np.diff(offsets))].tobytes().decode().split(" ")[1:]
+        rest = new.filter(pa.array(~word)).to_pylist()
+        spaced = np.array([x[:1] == " " and bool(x[1:2].strip()) for x in rest], bool)
+        number = np.zeros(len(new), np.int32)
+        at = np.flatnonzero(~word)
+        number[np.r_[np.flatnonzero(word), at[spaced]]] = self.numbers_after(after + [x[1:] for x in compress(rest, spaced.tolist())])
+        number[at[~spaced]] = self.numbers_alone(list(compress(rest, (~spaced).tolist())))
+        return number
+
+    def numbers(self, chunks: pa.Array) -> np.ndarray:
+        """The number of each chunk: Arrow names the chunks after those that are known, and only what is new becomes Python's strings."""
+        if not len(chunks):
+            return np.zeros(0, np.int32)
+        known = len(self.names)
+        named = pa.chunked_array([self.names, chunks]).dictionary_encode().chunks[-1]
+        if len(named.dictionary) > known:
+            self.names, self.number = named.dictionary, np.concatenate([self.number, self._numbers_of_new(named.dictionary[known:])])
+            self.used = np.append(self.used, np.zeros(len(self.names) - known, np.uint8))
+        indices = named.indices.to_numpy()
+        seen = np.zeros(len(self.names), np.uint8)
+        seen[indices] = 1
+        self.used = np.minimum(self.used + seen, 2)
+        return self.number[indices]
 
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the chunks with these numbers end to end, and where each one's end."""
@@ -188,7 +268,7 @@ class LibraryEncoder:
     """Ids by the tokenizers library.
 
     With a plain byte-level BPE vocabulary, which cuts before each word anyway, the library gets each distinct chunk
-    once, and a bounded cache keeps its ids. Arrow cuts texts at their spaces and names each distinct chunk of them once;
+    once, and a bounded cache keeps its ids. The chunks of a column of texts are an Arrow array over the column's own bytes;
     texts with special strings and very long ones are cut one by one.
     With any other vocabulary the library gets whole texts.
     """
@@ -211,46 +291,32 @@ class LibraryEncoder:
     def _library(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
-    def _cut(self, text: str) -> list[int]:
-        """The numbers of a text's chunks, whatever it has."""
+    def _cut(self, text: str) -> pa.Array:
+        """A text's chunks, whatever it has."""
         cut = [[self.strings[s]] if s is not None else c for s, c in parts(text, self.vocab)]
-        first = self.cache.numbers_alone([c[0] for c in cut])
-        return [n for k, c in zip(first, cut, strict=True) for n in (k, *self.cache.numbers_after(c[1:]))]
+        return pa.array([x for first, *rest in cut for x in (first, *(" " + c for c in rest))], pa.string())
 
-    def _numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of all texts' chunks end to end, and how many each text has."""
+    def _chunks(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All texts' chunks end to end, and how many each text has."""
         texts = pc.fill_null(texts, "")
         apart = pc.binary_length(texts).to_numpy(zero_copy_only=False) > 2 * _bytebpe.SPAN
         for x in self.vocab.special:
             apart |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
-        lists = pc.split_pattern(pc.if_else(pa.array(~apart), texts, ""), " ")
-        begins, sizes = lists.offsets.to_numpy()[:-1].astype(np.int64), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        named = lists.flatten().dictionary_encode()
-        chunk, names = named.indices.to_numpy().astype(np.int64), named.dictionary.to_numpy(zero_copy_only=False).tolist()
-        later = np.ones(len(chunk), bool)
-        later[begins] = False
-        head = np.array([bool(x[:1].strip()) for x in names])[chunk] | ~later
-        if not head.all():  # before white space there's no cut: what was cut there is put together again
-            at = np.flatnonzero(head)
-            size = np.diff(at, append=len(chunk))
-            whole = np.flatnonzero(size > 1)
-            joined = [" ".join([names[k] for k in chunk[a : a + n].tolist()]) for a, n in zip(at[whole].tolist(), size[whole].tolist(), strict=True)]
-            chunk, later, begins = chunk[at], later[at], (np.cumsum(head) - 1)[begins]
-            chunk[whole] = np.arange(len(names), len(names) + len(joined))
-            names, sizes = names + joined, np.diff(begins, append=len(at))
-        used = np.zeros(len(names), bool)
-        used[chunk[later]] = True
-        number = np.zeros(len(names), np.int64)
-        number[used] = self.cache.numbers_after(list(compress(names, used.tolist())))
-        numbers = number[chunk]
-        first = begins[~apart]
-        numbers[first] = self.cache.numbers_alone([names[k] for k in chunk[first].tolist()])
+        plain = pc.if_else(pa.array(~apart), texts, "") if apart.any() else texts
+        offsets = np.frombuffer(plain.buffers()[1], np.int32)[plain.offset : plain.offset + len(plain) + 1]
+        data = np.frombuffer(plain.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        places = cut_places(data, offsets)
+        chunks = pa.StringArray.from_buffers(len(places), pa.py_buffer(np.append(places, len(data)).astype(np.int32)), pa.py_buffer(data))
+        ends = np.searchsorted(places, offsets)
+        sizes = np.diff(ends)
         if apart.any():
-            runs = np.split(numbers, begins[1:])
+            found, begin = [], 0
             for k in np.flatnonzero(apart).tolist():
-                runs[k] = np.array(self._cut(texts[k].as_py()), np.int64)
-            numbers, sizes = np.concatenate(runs), np.array([len(x) for x in runs], np.int64)
-        return numbers, sizes
+                found += [chunks[begin : ends[k]], self._cut(texts[k].as_py())]
+                begin, sizes[k] = ends[k], len(found[-1])
+            chunks = pa.concat_arrays([*found, chunks[begin:]])
+        return chunks, sizes
 
     def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -260,11 +326,17 @@ class LibraryEncoder:
         if not len(texts):
             return []
         if self.cache.held > CACHED:
-            self.cache.clear()
-        numbers, sizes = self._numbers(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
-        ids, placed = self.cache.gather(numbers)
-        ends = np.r_[0, placed][np.cumsum(sizes)]
-        return np.split(ids, ends[:-1])
+            self.cache.shrink(CACHED)
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        chunks, sizes = self._chunks(texts if texts.type == pa.string() else texts.cast(pa.string()))
+        numbers, ends, out, begin = self.cache.numbers(chunks), np.cumsum(sizes), [], 0
+        while begin < len(ends):  # some texts at a time, so that what is made for each id stays small
+            first = int(ends[begin] - sizes[begin])
+            stop = max(begin + 1, int(np.searchsorted(ends, first + GATHERED, side="right")))
+            ids, placed = self.cache.gather(numbers[first : ends[stop - 1]])
+            out += np.split(ids, np.r_[0, placed][ends[begin : stop - 1] - first])
+            begin = stop
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -291,12 +363,16 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, tex
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(tokenizer)
         for b in slices(batches, "text", NAMED_BYTES):
-            ids = [np.r_[x, np.uint32(end_id)].astype("<u4") for x in encoder.encode(b.column("text"))]
-            keys = b.column("doc_id")
-            part = np.searchsorted(bounds, keys.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="left")
-            hashes = [zlib.crc32(x.tobytes()) for x in ids]
-            words = [w.astype("<u8").tobytes() for w in encode_blocks(ids)]
-            yield pa.record_batch([pa.array(part, pa.int32()), keys, pa.array(hashes, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(words, pa.binary())], names=["part", "doc_id", "hash", "n_ids", "words"])
+            encoded = encoder.encode(b.column("text"))
+            group = np.cumsum([len(x) + 1 for x in encoded]) // CODED_IDS
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(encoded)]
+            for begin, end in pairwise(cuts):
+                ids = [np.append(x, np.uint32(end_id)).astype("<u4", copy=False) for x in encoded[begin:end]]
+                keys = b.column("doc_id")[begin:end]
+                part = np.searchsorted(bounds, keys.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="left")
+                hashes = [zlib.crc32(x) for x in ids]
+                words = [w.tobytes() for w in encode_blocks(ids)]
+                yield pa.record_batch([pa.array(part, pa.int32()), keys, pa.array(hashes, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(words, pa.binary())], names=["part", "doc_id", "hash", "n_ids", "words"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held, block, first = [], 0, 0, 0

@@ -153,6 +153,42 @@ def test_store_cuts_texts_with_spaces_before_white_space_all_together(library):
     assert len(calls) == 1 and sorted(set(calls[0])) == ["Two", "Two. \n", "four ", "one. ", "three "]
 
 
+def test_store_names_only_new_chunks_in_python(library):
+    encoder, asked = token_store.LibraryEncoder(PATH), []
+    numbers = encoder.cache.numbers_after
+    encoder.cache.numbers_after = lambda chunks: asked.extend(chunks) or numbers(chunks)
+    encoder.encode(pa.array(["one two three"]))
+    asked.clear()
+    assert encoder.encode(pa.array(["one two four two"]))[0].tolist() == library.encode("one two four two", add_special_tokens=False).ids
+    assert asked == ["four"]
+
+
+def test_store_keeps_chunks_in_use_when_its_cache_is_full(library, monkeypatch):
+    monkeypatch.setattr(token_store, "CACHED", 40_000)
+    encoder, asked, held = token_store.LibraryEncoder(PATH), [], []
+    library_of = encoder.cache.library
+    encoder.cache.library = lambda texts: asked.extend(texts) or library_of(texts)
+    for k in range(40):
+        text = "start of every text " + " ".join(f"rare{k}x{j}" for j in range(100)) + "  \u00a0end\n"
+        assert encoder.encode(pa.array([text, None]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
+        held.append(encoder.cache.held)
+    assert any(b < a for a, b in zip(held, held[1:], strict=False)) and max(held) < 60_000
+    assert sum(" every " in x for x in asked) == 1
+
+
+def test_store_cuts_a_slice_of_a_column_at_spaces_before_what_is_not_white(library):
+    whole = ["left out", "a \u3042\u3044 \u3000b \u2003 \u2019c \u00a0d \u00e9", " \u00a0", "x ", "", " \u1680y", "\u00e9 ", "\u0085 z \x85", "left out"]
+    column = pa.array(whole)[1:-1]
+    got = token_store.LibraryEncoder(PATH).encode(column)
+    assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in whole[1:-1]]
+    encoder = token_store.LibraryEncoder(PATH)
+    for text in ("<|endoftext|>x a", "<|endoftext|> a", "", " "):  # of the second one, only an empty chunk is new
+        for kind in (pa.string(), pa.large_string()):
+            assert encoder.encode(pa.array([text], kind))[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    data = np.frombuffer("b \u3042 \u3000 \u00e9 ".encode(), np.uint8)
+    assert token_store.cut_places(data, np.array([0, len(data)])).tolist() == [0, 1, 9]
+
+
 def test_blocks_of_ids_on_either_side_of_the_table_of_widths():
     for top in ((1 << 17) - 1, 1 << 17, (1 << 60) - 1, 1 << 60):
         ids = np.array([0, 1, 2, 50_256, top, 3], np.uint64)
